@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fraygraph.operators.graph_build import Graph, degrees
 from fraygraph.operators.ranking import with_percentile
 from fraygraph.operators.reach import intact_scenario, live_seeds
-from fraygraph.session import hint_small, settle
+from fraygraph.session import hint_small, settle, store
 
 
 def pagerank(
@@ -99,7 +99,7 @@ def _dependencies(graph, arcs, starts, removed, goals):
         ).filter("unit > 0")
         up = low.join(arcs, "dst").select("scenario", "s", F.col("src").alias("v"), "unit")
         up = up.groupBy("scenario", "s", "v").agg(F.sum("unit").alias("unit"))
-        state = settle(
+        state = store(
             state.join(up, ["scenario", "s", "v"], "left").withColumn(
                 "delta",
                 F.when((F.col("dist") == level - 1) & F.col("unit").isNotNull(), F.col("sigma") * F.col("unit")).otherwise(F.col("delta")),
@@ -123,7 +123,7 @@ def coreness(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         counted = seen.groupBy("v", "val", F.least("theirs", "val").alias("level")).agg(F.count(F.lit(1)).alias("n"))
         above = Window.partitionBy("v").orderBy(F.col("level").desc())
         h = counted.withColumn("h", F.least(F.col("level").cast("long"), F.sum("n").over(above)))
-        state = settle(h.groupBy("v", "val").agg(F.max("h").cast("int").alias("h")).select("v", F.col("h").alias("val"), (F.col("h") != F.col("val")).alias("moved")))
+        state = store(h.groupBy("v", "val").agg(F.max("h").cast("int").alias("h")).select("v", F.col("h").alias("val"), (F.col("h") != F.col("val")).alias("moved")))
     return vertices.select("v").join(state.select("v", F.col("val").alias("coreness")), "v", "left").na.fill(0, ["coreness"])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fraygraph.operators.graph_build import Graph
 from fraygraph.operators.ranking import number_within
 from fraygraph.operators.reach import live_seeds
-from fraygraph.session import hint_small, replicate, settle
+from fraygraph.session import hint_small, replicate, settle, store
 
 
 def edge_roles(graph: Graph) -> DataFrame:
@@ -141,12 +141,14 @@ def max_flow(graph: Graph, scenarios: DataFrame, removed: DataFrame | None = Non
     the tokens back level by level, pairing the tokens at a vertex with its entering arcs by number; surplus tokens stop.
     Tokens that arrive are edge-disjoint shortest paths. A scenario ends when no target is levelled.
     """
-    arcs = hint_small(settle(graph.edges.select("src", "dst")))
+    arcs = settle(graph.edges.select("src", "dst"))
+    rows = arcs.count()  # a vertex has at most this many entering arcs, and so many tokens, per scenario
+    arcs = hint_small(arcs)
     removed = hint_small(settle(removed.select("scenario", "v").distinct())) if removed is not None else None
     dead = hint_small(settle(removed_edges.select("scenario", "src", "dst").distinct())) if removed_edges is not None else None
     targets = hint_small(settle(graph.targets))
-    seeds = settle(live_seeds(graph.spread(graph.sources, scenarios), removed))
-    used = settle(scenarios.select("scenario").limit(0).join(graph.edges.select("src", "dst").limit(0)))
+    seeds = store(live_seeds(graph.spread(graph.sources, scenarios), removed))
+    used = store(scenarios.select("scenario").limit(0).join(graph.edges.select("src", "dst").limit(0)))
     active = seeds
     while True:
         reached = _levels(graph, arcs, active, used, removed, dead, targets)
@@ -155,7 +157,7 @@ def max_flow(graph: Graph, scenarios: DataFrame, removed: DataFrame | None = Non
         tokens = hits.join(goals, ["scenario", "level"])
         starts = _entering(tokens, arcs, used, dead, reached)
         step = F.struct("src", "dst", "forward")
-        tokens = settle(
+        tokens = store(
             starts.select(
                 "scenario", F.struct("src", "dst").alias("token"), F.col("u").alias("v"), (F.col("level") - 1).alias("level"),
                 F.array(step).alias("path"),
@@ -165,21 +167,21 @@ def max_flow(graph: Graph, scenarios: DataFrame, removed: DataFrame | None = Non
             break
         while not tokens.filter("level > 0").isEmpty():
             moving = tokens.filter("level > 0")
-            doors = number_within(_entering(moving, arcs, used, dead, reached), ["scenario", "v"], ["u", "forward"], "n")
-            queue = number_within(moving, ["scenario", "v"], ["token"], "n")
+            doors = number_within(_entering(moving, arcs, used, dead, reached), ["scenario", "v"], ["u", "forward"], "n", group_rows=rows)
+            queue = number_within(moving, ["scenario", "v"], ["token"], "n", group_rows=rows)
             moved = queue.drop("level").join(doors, ["scenario", "v", "n"]).select(
                 "scenario", "token", F.col("u").alias("v"), (F.col("level") - 1).alias("level"),
                 F.concat("path", F.array(step)).alias("path"),
             )
-            tokens = settle(moved.unionByName(tokens.filter("level = 0")))
+            tokens = store(moved.unionByName(tokens.filter("level = 0")))
         flips = tokens.select("scenario", F.explode("path").alias("e")).select("scenario", "e.*")
         undone = flips.filter("not forward").select("scenario", "src", "dst")
-        used = settle(
+        used = store(
             used.join(undone, ["scenario", "src", "dst"], "left_anti").unionByName(
                 flips.filter("forward").select("scenario", "src", "dst")
             )
         )
-        active = active.join(tokens.select("scenario").distinct(), "scenario", "left_semi")
+        active = seeds.join(tokens.select("scenario").distinct(), "scenario", "left_semi")
     return Flow(_net_out(graph, scenarios, used, targets), used)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fraygraph.operators import curves, removal
 from fraygraph.operators.graph_build import Graph, GraphEnsemble
 from fraygraph.operators.ranking import number_within, random_key
-from fraygraph.session import settle
+from fraygraph.session import settle, store
 
 
 def rewire(edges: DataFrame, nulls: int, seed: int, swaps_per_edge: int = 10) -> DataFrame:
@@ -19,10 +19,11 @@ def rewire(edges: DataFrame, nulls: int, seed: int, swaps_per_edge: int = 10) ->
     as many swaps as there are edges, so 2 * swaps_per_edge rounds try swaps_per_edge swaps per edge.
     """
     members = F.explode(F.sequence(F.lit(0), F.lit(nulls - 1))).alias("g")
-    state = settle(edges.select(members, "src", "dst"))
+    rows = edges.count()
+    state = store(edges.select(members, "src", "dst"))
     for step in range(2 * swaps_per_edge):
         keyed = state.withColumn("_key", random_key(seed, F.lit(step), "g", "src", "dst"))
-        paired = number_within(keyed, ["g"], ["_key"], "n").withColumn("pair", F.floor((F.col("n") - 1) / 2))
+        paired = number_within(keyed, ["g"], ["_key"], "n", group_rows=rows).withColumn("pair", F.floor((F.col("n") - 1) / 2))
         ends = F.struct("n", "src", "dst")
         pairs = paired.groupBy("g", "pair").agg(F.min(ends).alias("x"), F.max(ends).alias("y"))
         swap = (
@@ -42,7 +43,7 @@ def rewire(edges: DataFrame, nulls: int, seed: int, swaps_per_edge: int = 10) ->
             (F.first("try") & F.bool_and("_fits")).alias("accept"), F.collect_list(F.struct("src", "dst", "proposed")).alias("e")
         )
         chosen = F.filter("e", lambda x: x["proposed"] == F.when(F.col("accept"), 1).otherwise(0))
-        state = settle(kept.select("g", F.explode(chosen).alias("e")).select("g", "e.src", "e.dst"))
+        state = store(kept.select("g", F.explode(chosen).alias("e")).select("g", "e.src", "e.dst"))
     return reassign_weights(edges, state, nulls, seed)
 
 
@@ -52,7 +53,7 @@ def reassign_weights(edges: DataFrame, rewired: DataFrame, nulls: int, seed: int
     old = edges.select(members, "src", "dst", "weight").withColumn("_key", random_key(seed, F.lit("w"), "g", "src", "dst"))
     old = number_within(old, ["g", "src"], ["_key"], "k").select("g", "src", "k", "weight")
     new = number_within(rewired, ["g", "src"], ["dst"], "k")
-    return settle(new.join(old, ["g", "src", "k"]).select("g", "src", "dst", "weight"))
+    return store(new.join(old, ["g", "src", "k"]).select("g", "src", "dst", "weight"))
 
 
 def ensemble(graph: Graph, nulls: int, seed: int, swaps_per_edge: int = 10) -> GraphEnsemble:

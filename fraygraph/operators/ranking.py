@@ -24,8 +24,15 @@ def unit_uniform(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], name: str = "n", salts: int = 16) -> DataFrame:
-    """Number the rows of each key group 1..size. Salted: a group is numbered in ``salts`` pieces plus offsets."""
+def number_within(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "n", salts: int = 16, group_rows: int | None = None
+) -> DataFrame:
+    """Number the rows of each key group 1..size. Salted: a group is numbered in ``salts`` pieces plus offsets.
+
+    ``group_rows`` is a proven bound on the group size; up to ``PLAIN_GROUP_ROWS`` one window does.
+    """
+    if group_rows is not None and group_rows <= PLAIN_GROUP_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     pieces = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -61,7 +61,7 @@ def removal_cap(removed: DataFrame | None) -> tuple[DataFrame | None, list[str]]
 
 def source_words(graph: Graph) -> DataFrame:
     """(s, word, bit): sources packed 63 to a mask, so the reach relation has one row per word instead of per source."""
-    numbered = number_within(graph.sources.withColumn("_all", F.lit(0)), ["_all"], ["v"])
+    numbered = number_within(graph.sources.withColumn("_all", F.lit(0)), ["_all"], ["v"], group_rows=graph.vertices.count())
     index = F.col("n") - 1
     return settle(numbered.select(F.col("v").alias("s"), F.floor(index / WORD).cast("int").alias("word"), (index % WORD).cast("int").alias("bit")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fraygraph.operators import central, flow, reach
 from fraygraph.operators.graph_build import Graph
 from fraygraph.operators.ranking import batch_of_rank, exact_rank, random_key, removal_schedule, schedule_table  # noqa: F401
-from fraygraph.session import hint_small, settle
+from fraygraph.session import hint_small, settle, store
 
 EDGE_ORDERS = ("strongest", "weakest", "random")
 
@@ -107,7 +107,7 @@ def adaptive_removals(
         keyed = scores.withColumn("_tie", random_key(seed, F.lit(batch), "v"))
         top = exact_rank(keyed, ["scenario"], "score", "_tie", group_rows=graph.size).filter(F.col("rank") <= size)
         chosen = top.select("scenario", "v", F.lit(batch).alias("batch"))
-        gone = settle(chosen if gone is None else gone.unionByName(chosen))
+        gone = store(chosen if gone is None else gone.unionByName(chosen))
     return gone
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written under the shared checkpoint folder, read back with its real size.
+
+    A checkpoint keeps the planner's size estimate, and the estimate of a join is a product: in loops whose state joins
+    itself the estimate would gain digits exponentially and planning would stall. Those loops store their state.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hint_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a settled table, given only after counting that it has at most ``rows`` rows.
 
