@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def rounded(column: Column, digits: int) -> Column:
-    """Rounded value; NaN and null become null."""
-    return F.when(column.isNotNull() & ~F.isnan(column.cast("double")), F.round(column.cast("double"), digits))
+    """Value rounded half to even; NaN and null become null."""
+    value = column.cast("double")
+    return F.when(column.isNotNull() & ~F.isnan(value), F.rint(value * 10.0**digits) / 10.0**digits)
 
 
 def significant(column: Column, digits: int) -> Column:

@@ -108,9 +108,9 @@ def _(spark, sf):
     return S.last_writes(rows, ["user_id"], "arrival").drop("arrival")
 
 
-@query("io8_pending", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("io8_pending", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def _(spark, sf):
-    done = G.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = G.table(spark, sf, "orders").filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return S.pending(G.table(spark, sf, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
@@ -203,7 +203,7 @@ def _(spark, sf):
     return rows.select("v", F.coalesce(scalars.role_code(F.col("role")), F.lit(0)).alias("role_code"), "class_code")
 
 
-@query("pf7_rounding", """SELECT l_orderkey, l_linenumber, l_partkey, round(x, 3) AS rounded, CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE
+@query("pf7_rounding", """SELECT l_orderkey, l_linenumber, l_partkey, round_even(x * 1000, 0) / 1000 AS rounded, CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE
 round_even(x * pow(10.0::DOUBLE, 3 - floor(log10(abs(x))) - 1), 0) / pow(10.0::DOUBLE, 3 - floor(log10(abs(x))) - 1) END AS three FROM
 (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * l_discount AS x FROM lineitem)""")
 def _(spark, sf):
