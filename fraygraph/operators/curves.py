@@ -193,9 +193,9 @@ def log_grid(df: DataFrame, by: list[str], value: str, points: int = 120) -> Dat
 
 def ccdf_on_grid(df: DataFrame, by: list[str], value: str, points: int = 120) -> DataFrame:
     """(by, at, p) on the log grid: the CCDF at the smallest distinct value >= at."""
-    steps = ccdf(df, by, value).select(*by, F.col(value).cast("double").alias("pos"), "p", F.lit(1).alias("kind"))
-    grid = log_grid(df, by, value, points).select(*by, F.col("at").alias("pos"), F.lit(None).cast("double").alias("p"), F.lit(0).alias("kind"))
+    steps = ccdf(df, by, value).select(*by, F.col(value).cast("double").alias("pos"), "p", F.lit(1).alias("_kind"))
+    grid = log_grid(df, by, value, points).select(*by, F.col("at").alias("pos"), F.lit(None).cast("double").alias("p"), F.lit(0).alias("_kind"))
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ahead = part.orderBy("pos", "kind").rowsBetween(0, Window.unboundedFollowing)
+    ahead = part.orderBy("pos", "_kind").rowsBetween(0, Window.unboundedFollowing)
     both = steps.unionByName(grid).withColumn("p", F.first("p", True).over(ahead))
-    return both.filter("kind = 0").select(*by, F.col("pos").alias("at"), F.coalesce("p", F.lit(0.0)).alias("p"))
+    return both.filter("_kind = 0").select(*by, F.col("pos").alias("at"), F.coalesce("p", F.lit(0.0)).alias("p"))

@@ -72,9 +72,8 @@ def tree_vertices(graph: Graph) -> DataFrame:
     parents = settle(parents)
     wanted = settle(hops.join(hint_small(settle(graph.targets)), "v", "left_semi").select("s", "v", F.lit(True).alias("fresh")))
     while not wanted.filter("fresh").isEmpty():
-        up = wanted.filter("fresh").join(parents, (wanted.s == parents.s) & (wanted.v == parents.dst)).select(
-            parents.s.alias("s"), F.col("parent").alias("v"), F.lit(None).cast("boolean").alias("fresh")
-        )
+        up = wanted.filter("fresh").select("s", F.col("v").alias("dst")).join(parents, ["s", "dst"])
+        up = up.select("s", F.col("parent").alias("v"), F.lit(None).cast("boolean").alias("fresh"))
         both = wanted.select("s", "v", F.lit(False).alias("fresh")).unionByName(up).groupBy("s", "v").agg(F.min("fresh").alias("known"))
         wanted = settle(both.select("s", "v", F.col("known").isNull().alias("fresh")))
     return wanted.filter("s <> v").select("v").distinct()

@@ -19,11 +19,11 @@ def rewire(edges: DataFrame, nulls: int, seed: int, swaps_per_edge: int = 10) ->
     as many swaps as there are edges, so 2 * swaps_per_edge rounds try swaps_per_edge swaps per edge.
     """
     members = F.explode(F.sequence(F.lit(0), F.lit(nulls - 1))).alias("g")
-    rows = edges.count()
+    size = edges.count()
     state = store(edges.select(members, "src", "dst"))
     for step in range(2 * swaps_per_edge):
         keyed = state.withColumn("_key", random_key(seed, F.lit(step), "g", "src", "dst"))
-        paired = number_within(keyed, ["g"], ["_key"], "n", group_rows=rows).withColumn("pair", F.floor((F.col("n") - 1) / 2))
+        paired = number_within(keyed, ["g"], ["_key"], "n", group_rows=size).withColumn("pair", F.floor((F.col("n") - 1) / 2))
         ends = F.struct("n", "src", "dst")
         pairs = paired.groupBy("g", "pair").agg(F.min(ends).alias("x"), F.max(ends).alias("y"))
         swap = (
