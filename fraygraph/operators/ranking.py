@@ -54,7 +54,7 @@ def exact_rank(
     name: str = "rank",
     descending: bool = True,
     group_rows: int | None = None,
-    splits: int = 256,
+    splits: int = 64,
 ) -> DataFrame:
     """Rank 1..size by score, ties by the md5 column ``tie`` ascending; exact for groups of any size.
 
