@@ -130,8 +130,8 @@ def coreness(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 def coreness_histogram(cores: DataFrame) -> DataFrame:
     """(coreness, vertices, deepest)."""
     counts = cores.groupBy("coreness").agg(F.count(F.lit(1)).alias("vertices"))
-    deepest = cores.agg(F.max("coreness").alias("top"))
-    return counts.join(F.broadcast(deepest), F.col("coreness") <= F.col("top")).select("coreness", "vertices", (F.col("coreness") == F.col("top")).alias("deepest"))
+    top = F.max("coreness").over(Window.partitionBy(F.lit(0)))  # one row per core level
+    return counts.select("coreness", "vertices", (F.col("coreness") == top).alias("deepest"))
 
 
 def out_strength(graph, scenarios=None, removed=None) -> DataFrame:

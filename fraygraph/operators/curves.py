@@ -121,16 +121,12 @@ def cascade_summary(curves: DataFrame, by: list[str], size: str = "avalanche") -
 
 def threshold_table(critical: DataFrame, strategy: str = "strategy") -> DataFrame:
     """Per targeted strategy: f_c, whether it lies below the random interval, and whether it is the most damaging."""
-    random = mean_ci(critical.filter(F.col(strategy) == "random"), [], "f_c").select(
-        F.col("mean").alias("random_mean"), F.col("low").alias("random_low"), F.col("high").alias("random_high")
-    )
+    random = mean_ci(critical.filter(F.col(strategy) == "random"), [], "f_c").first()
     targeted = critical.filter(F.col(strategy) != "random").groupBy(strategy).agg(F.avg("f_c").alias("f_c"), F.avg("f_c_batch").alias("f_c_batch"))
-    most = targeted.agg(F.min_by(strategy, F.struct("f_c", strategy)).alias("most_damaging"))
-    table = targeted.join(F.broadcast(random)).join(F.broadcast(most))
-    return table.select(
-        strategy, "f_c", "f_c_batch", "random_mean", "random_low", "random_high",
-        (F.col("f_c") < F.col("random_low")).alias("below_random"), (F.col(strategy) == F.col("most_damaging")).alias("most_damaging"),
-    )
+    first = F.min_by(strategy, F.struct("f_c", strategy)).over(Window.partitionBy(F.lit(0)))  # one row per strategy
+    limits = [F.lit(random[c]).cast("double").alias(f"random_{c}") for c in ("mean", "low", "high")]
+    table = targeted.select(strategy, "f_c", "f_c_batch", *limits, (F.col(strategy) == first).alias("most_damaging"))
+    return table.withColumn("below_random", F.col("f_c") < F.col("random_low"))
 
 
 def null_summary(real: DataFrame, nulls: DataFrame, by: list[str], value: str, alpha: float) -> DataFrame:

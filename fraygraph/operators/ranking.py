@@ -67,14 +67,12 @@ def exact_rank(
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(by, F.col(tie))))
     value = F.col(score).cast("double") * (-1 if descending else 1)
     data = df.withColumn("_value", value)
-    grid = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    cuts = data.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx("_value", grid, 10_000))).alias("_cuts"))
     celled = (
-        (data.join(cuts, keys) if keys else data.withColumn("_one", F.lit(1)).join(cuts.withColumn("_one", F.lit(1)), "_one"))
+        _with_cuts(data, data, keys, splits)
         .withColumn("_lower", F.size(F.filter("_cuts", lambda c: c < F.col("_value"))))
         .withColumn("_heavy", F.array_contains("_cuts", F.col("_value")).cast("int"))
         .withColumn("_part", F.when(F.col("_heavy") == 1, F.substring(F.col(tie), 1, 2)).otherwise(F.lit("")))
-        .drop("_cuts", "_one")
+        .drop("_cuts")
     )
     cell = ["_lower", "_heavy", "_part"]
     sizes = celled.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_rows"))
@@ -89,17 +87,32 @@ def exact_rank(
     )
 
 
-def value_ranks(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+def _with_cuts(df: DataFrame, sample: DataFrame, keys: list[str], splits: int) -> DataFrame:
+    """Adds ``_cuts``: at most ``splits`` - 1 ascending quantiles of ``sample._value`` per key group (a mergeable sketch)."""
+    grid = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx("_value", grid, 1_000))).alias("_cuts")
+    if keys:
+        return df.join(sample.groupBy(*keys).agg(cuts), keys)
+    found = sample.agg(cuts).first()["_cuts"] or []
+    return df.withColumn("_cuts", F.array(*[F.lit(float(c)) for c in found]).cast("array<double>"))
+
+
+def value_ranks(df: DataFrame, keys: list[str], score: str, splits: int = 64) -> DataFrame:
     """(keys, score, ties, below, total): the distinct-value histogram with cumulative counts.
 
-    Only distinct values meet in a window, and equal values were counted before the shuffle.
+    Equal values are counted before the shuffle. Distinct values are cut into ranges, running sums are taken inside a
+    range and offset by the counts of the ranges before, so a continuous score is not ordered in one task.
     """
-    histogram = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("ties"))
+    histogram = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("ties")).withColumn("_value", F.col(score).cast("double"))
+    celled = _with_cuts(histogram, histogram, keys, splits)
+    celled = celled.withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col("_value")))).drop("_cuts", "_value")
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    lower = part.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    return histogram.withColumn("below", F.coalesce(F.sum("ties").over(lower), F.lit(0))).withColumn(
-        "total", F.sum("ties").over(part)
-    )
+    earlier = part.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = celled.groupBy(*keys, "_cell").agg(F.sum("ties").alias("_rows"))
+    offsets = cells.select(*keys, "_cell", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(part).alias("total"))
+    lower = Window.partitionBy(*keys, "_cell").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("ties").over(lower), F.lit(0))
+    return celled.withColumn("_in", below).join(offsets, [*keys, "_cell"]).select(*keys, score, "ties", (F.col("_in") + F.col("_before")).alias("below"), "total")
 
 
 def average_rank() -> Column:

@@ -224,7 +224,7 @@ def _(spark, sf):
     return table.select("v", "degree_pct", "pagerank_pct", "sm_betweenness_pct")
 
 
-@query("pf8_bottleneck_candidates", f"{SWITCH}, {PERCENTILES_CTE} SELECT v, degree, sm_betweenness FROM pcts WHERE degree_pct < 50 AND pagerank_pct < 60 AND sm_betweenness_pct >= 60".replace("pagerank_pct < 60", "pagerank_pct < 50"))
+@query("pf8_bottleneck_candidates", f"{SWITCH}, {PERCENTILES_CTE} SELECT v, degree, sm_betweenness FROM pcts WHERE degree_pct < 50 AND pagerank_pct < 50 AND sm_betweenness_pct >= 60")
 def _(spark, sf):
     table = central.percentile_table(switch_scores(spark, sf), ["degree", "pagerank", "sm_betweenness"])
     return central.bottleneck_candidates(table, 50.0, 60.0).select("v", "degree", "sm_betweenness")
@@ -310,8 +310,7 @@ gone AS MATERIALIZED (SELECT concat('group|', class) AS scenario, v FROM vertice
 seen AS (SELECT grp AS "group", size, n_sources, n_targets, flow AS flow_after, 1 - flow / intact::DOUBLE AS flow_drop FROM sizes JOIN gone_flow ON scenario = concat('group|', grp) CROSS JOIN whole),
 nul AS (SELECT split_part(scenario, '|', 2)::BIGINT AS size, 1 - flow / intact::DOUBLE AS d FROM gone_flow CROSS JOIN whole WHERE scenario LIKE 'draw|%')
 SELECT "group", size::INTEGER AS size, n_sources, n_targets, flow_after, round(flow_drop, 9) AS flow_drop, (1 + count(*) FILTER (WHERE d >= flow_drop)) / (1 + count(*))::DOUBLE AS p_value,
-round(avg(d), 9) AS random_mean, round(stddev_samp(d), 9) AS random_sd, round(flow_drop - avg(d), 9) AS excess FROM seen JOIN nul USING (size) GROUP BY ALL""".replace("GROUP BY ALL\"\"\"", "")
-       .replace("nul USING (size) GROUP BY ALL", "nul USING (size) GROUP BY \"group\", size, n_sources, n_targets, flow_after, flow_drop"))
+round(avg(d), 9) AS random_mean, round(stddev_samp(d), 9) AS random_sd, round(flow_drop - avg(d), 9) AS excess FROM seen JOIN nul USING (size) GROUP BY "group", size, n_sources, n_targets, flow_after, flow_drop""")
 def _(spark, sf):
     graph = G.trade(spark, sf)
     table = K.group_impact(graph, graph.vertices.select(F.col("class").alias("group"), "v"), 25, 9)
@@ -427,14 +426,14 @@ prs AS (SELECT c, count(*) AS pairs FROM (SELECT DISTINCT a.c, a.src, b.dst FROM
 SELECT c AS compartment, (SELECT count(*) FROM comp x WHERE x.c = m.c) AS vertices, sum(least(ins, outs))::BIGINT AS flow, coalesce(any_value(pairs), 0) AS reachable_pairs FROM mid m LEFT JOIN prs USING (c) GROUP BY c""")
 def _(spark, sf):
     """Each compartment's induced subgraph with its own terminals."""
-    graph, parts = G.trade(spark, sf), None
+    parts = None
     for name, sub in compartment_graphs(spark, sf).items():
         intact = reach.intact_scenario(sub)
         row = flow.flow_values(sub, intact).join(reach.reachable_pair_counts(sub, intact), "scenario").select(
             F.lit(name).alias("compartment"), F.lit(sub.size).cast("long").alias("vertices"), "flow", "reachable_pairs"
         )
         parts = row if parts is None else parts.unionByName(row)
-    return parts.filter(F.lit(graph is not None))
+    return parts
 
 
 @G.remembered

@@ -188,7 +188,8 @@ def _(spark, sf):
     worst = flow_aucs(spark, sf).agg(F.min_by("strategy", F.struct("auc_flow", "strategy")).alias("worst_order"))
     biggest = runs.filter("batch > 0").agg(F.max("avalanche").alias("largest_cascade"), F.max_by(place, F.struct("avalanche", place)).alias("largest_at"))
     silent = runs.join(half, RUN).filter("batch <= half").agg(F.sum("avalanche").alias("silenced_at_half"))
-    return worst.join(F.broadcast(biggest)).join(F.broadcast(silent))
+    rows = worst.unionByName(biggest, True).unionByName(silent, True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 @query("rm5_fragility_scores", RUNS + f", {AUC_CTE}, pairs AS (SELECT strategy, trial, batch, fraction_removed, reachable_pairs AS flow FROM curves), "
