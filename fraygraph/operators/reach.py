@@ -129,13 +129,21 @@ def cut_off(graph: Graph, scenarios: DataFrame, removed: DataFrame | None = None
     return present.join(reached, ["scenario", "v"], "left_anti").select("scenario", "v")
 
 
-def disconnection(graph: Graph, scenarios: DataFrame, removed: DataFrame) -> DataFrame:
+def source_labels(graph: Graph, scenarios: DataFrame, removed: DataFrame) -> DataFrame:
+    """(scenario, s, v, val): the label of ``disconnection`` per source; s still reaches v after batch k when val > k."""
+    caps = removed.select("scenario", F.col("v").alias("dst"), F.col("batch").alias("cap"))
+    return _labels(graph, scenarios, removed, caps, ["scenario", "s"], True)
+
+
+def disconnection(graph: Graph, scenarios: DataFrame, removed: DataFrame, per_source: DataFrame | None = None) -> DataFrame:
     """Whole removal orders at once. ``removed`` is (scenario, v, batch).
 
     The label of v is the largest, over paths from a source, of the earliest removal on the path; v keeps a source
     through batch k exactly when label > k. Returns (scenario, v, removed_at, silenced_at); null where it never happens,
-    silenced_at 0 for vertices that never had a source.
+    silenced_at 0 for vertices that never had a source. With ``per_source`` labels at hand no fixpoint is run.
     """
+    if per_source is not None:
+        return _label_table(graph, scenarios, removed, per_source.groupBy("scenario", "v").agg(F.max("val").alias("val")))
     caps = removed.select("scenario", F.col("v").alias("dst"), F.col("batch").alias("cap"))
     return _label_table(graph, scenarios, removed, _labels(graph, scenarios, removed, caps, ["scenario"], False))
 
@@ -188,7 +196,8 @@ def avalanches(timeline: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def pair_curve(
-    graph: Graph, scenarios: DataFrame, batches: DataFrame, removed: DataFrame | None = None, removed_edges: DataFrame | None = None
+    graph: Graph, scenarios: DataFrame, batches: DataFrame, removed: DataFrame | None = None,
+    removed_edges: DataFrame | None = None, per_source: DataFrame | None = None,
 ) -> DataFrame:
     """(scenario, batch, reachable_pairs) for a whole vertex order (scenario, v, batch) or edge order (scenario, src, dst, batch)."""
     if removed_edges is not None:
@@ -197,8 +206,7 @@ def pair_curve(
         send = lambda val, cap: F.least(val, F.coalesce(cap, F.lit(NEVER)))
         labels = propagate(seeds, graph.arcs(), F.max, send, ["scenario", "s"], caps, ["scenario", "src", "dst"])
     else:
-        caps = removed.select("scenario", F.col("v").alias("dst"), F.col("batch").alias("cap"))
-        labels = _labels(graph, scenarios, removed, caps, ["scenario", "s"], True)
+        labels = source_labels(graph, scenarios, removed) if per_source is None else per_source
     ends = labels.join(hint_small(settle(graph.targets)), "v")
     lost = ends.groupBy("scenario", F.col("val").alias("batch")).agg(F.count(F.lit(1)).alias("lost"))
     total = ends.groupBy("scenario").agg(F.count(F.lit(1)).alias("total"))

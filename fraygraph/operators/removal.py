@@ -63,12 +63,13 @@ def edge_removals(orders: DataFrame, edge_count: int, batch_fraction: float = 0.
 def measure(graph: Graph, scenarios: DataFrame, batches: DataFrame, removed: DataFrame, layered: bool | None = None) -> DataFrame:
     """(scenario, batch, fraction_removed, flow, reachable_pairs, avalanche) of vertex removals (scenario, v, batch).
 
-    Flow, pairs and cascades each come from one pass over all runs and batches.
+    Flow is one pass over all runs and batches; pairs and cascades share one fixpoint.
     """
     removed = settle(removed.select("scenario", "v", "batch"))
     flows = flow.flow_curve(graph, scenarios, batches, removed, layered=layered)
-    pairs = reach.pair_curve(graph, scenarios, batches, removed)
-    cuts = reach.avalanches(reach.disconnection(graph, scenarios, removed), batches)
+    labels = reach.source_labels(graph, scenarios, removed)
+    pairs = reach.pair_curve(graph, scenarios, batches, per_source=labels)
+    cuts = reach.avalanches(reach.disconnection(graph, scenarios, removed, labels), batches)
     joined = flows.join(pairs, ["scenario", "batch"]).join(cuts, ["scenario", "batch"]).join(hint_small(batches.select("batch", "fraction_removed")), "batch")
     return joined.select("scenario", "batch", "fraction_removed", "flow", "reachable_pairs", F.col("newly_cut").alias("avalanche"))
 

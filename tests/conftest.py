@@ -12,7 +12,7 @@ from fraygraph.session import local_session, settle  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", 4)
+    session = local_session("8", 2)
     yield session
     session.stop()
 

@@ -160,8 +160,8 @@ def test_longer_run_keeps_prefix(spark, mesh):
 def test_edge_attack_curves(spark, mesh):
     edges, graph = mesh
     orders = removal.edge_orders(graph, 1, 5)
-    removed = removal.edge_removals(orders, len(edges), 0.1)
-    batches = removal.edge_batch_table(spark, len(edges), 0.1)
+    removed = removal.edge_removals(orders, len(edges), 0.25)
+    batches = removal.edge_batch_table(spark, len(edges), 0.25)
     scenarios = removed.select("scenario").distinct()
     table = found(removal.measure_edges(graph, scenarios, batches, removed, layered=False))
     gone = {}
@@ -189,7 +189,7 @@ def test_same_size_draws_are_exact(spark):
 def test_group_impact_runs_general_and_layered_alike(spark, toy):
     graph = toy(["s1>a", "s2>a", "s2>b", "a>m1", "b>m1", "b>m2", "s1>m2"], ["s1", "s2"], ["m1", "m2"])
     groups = spark.createDataFrame([("left", "a"), ("right", "b"), ("right", "s1")], "group string, v string")
-    both = [found(K.group_impact(graph, groups, 8, 2, layered=x)) for x in (True, False)]
+    both = [found(K.group_impact(graph, groups, 4, 2, layered=x)) for x in (True, False)]
     assert both[0] == both[1]
 
 

@@ -7,7 +7,7 @@ import __spark_entry__ as entry_module
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
-CHOSEN = [n for n in QUERIES if n in SQL and n.split("_")[0][:2] in ("io", "pf", "j1", "j5", "j6", "ag", "w1", "w4", "se", "dq", "fl") and "general" not in n and n not in ("fl2_min_cut", "pf8_bottleneck_candidates")]
+CHOSEN = [n for n in QUERIES if n in SQL and n.split("_")[0][:2] in ("io", "j1", "j6", "w4", "se", "fl") and "general" not in n and n != "fl2_min_cut"]
 
 
 @pytest.fixture(scope="module")
