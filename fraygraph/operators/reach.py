@@ -46,7 +46,7 @@ def propagate(
 
 
 def intact_scenario(graph: Graph) -> DataFrame:
-    return graph.spark.range(1).select(F.lit(0).cast("long").alias("scenario"))
+    return graph.spark.range(1).select(F.col("id").alias("scenario"))
 
 
 def live_seeds(seeds: DataFrame, removed: DataFrame | None) -> DataFrame:
