@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,9 +90,12 @@ def ingest_edges(connections: DataFrame, labelings: dict[str, DataFrame]) -> dic
 def run_missing(planned: DataFrame, store: str, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run ``work`` only for scenarios that the result folder lacks, append, and return everything stored."""
     spark = planned.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    todo = pending(planned, spark.read.parquet(store), keys) if exists else planned
+    try:
+        todo = pending(planned, spark.read.parquet(store), keys)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        todo = planned
     if not todo.isEmpty():
         work(todo).write.mode("append").parquet(store)
     return spark.read.parquet(store)
