@@ -96,7 +96,7 @@ def scan(documents: DataFrame, rows: list, text: str) -> DataFrame:
             made["item_ids"].append(sorted(found))
         return made
 
-    return with_arrow(documents, text, RESULT, run)
+    return with_arrow(documents, [text], RESULT, run)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", n: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:

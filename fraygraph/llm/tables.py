@@ -27,8 +27,8 @@ def read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def with_arrow(df: DataFrame, text: str, added: str, function: Callable[[list], dict[str, list]]) -> DataFrame:
-    """``df`` with the columns of the DDL ``added``, computed from the values of ``text`` batch by batch.
+def with_arrow(df: DataFrame, read_columns: list[str], added: str, function: Callable[..., dict[str, list]]) -> DataFrame:
+    """``df`` with the columns of the DDL ``added``, computed from the values of some columns batch by batch.
 
     Columns of ``df`` that have the name of an added one are replaced. Batches are bounded by Spark's Arrow limits.
     """
@@ -42,7 +42,7 @@ def with_arrow(df: DataFrame, text: str, added: str, function: Callable[[list],
 
         arrow = to_arrow_schema(new)
         for batch in batches:
-            made = function(batch.column(text).to_pylist())
+            made = function(*(batch.column(c).to_pylist() for c in read_columns))
             columns = [batch.column(n) for n in names] + [pa.array(made[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *new.names])
 
