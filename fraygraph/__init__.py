@@ -3,3 +3,10 @@
 Graphs, removal scenarios, runs and curves are DataFrames. Every operator carries a
 ``scenario`` key, so many knock-outs, trials or randomized graphs advance in one job.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on workers travel with their task, so the workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
