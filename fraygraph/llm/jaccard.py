@@ -389,9 +389,9 @@ def join_components(documents: DataFrame) -> DataFrame:
     nodes = store(classes.select("node", "first_id", "t.*", "n_shingles", "key1", "key2", "commonness"))
 
     near = store(similar_groups(nodes, documents))
-    groups = components(near)
+    groups = components(near).toDF("node", "_label")
     label = F.coalesce("_label", "node").alias("label")
-    small = hint_small(groups.withColumnRenamed("label", "_label"))
+    small = hint_small(groups)
     grouped = store(nodes.join(small, "node", "left").select("node", label, "first_id", "text_key", "text_bytes"))
 
     one_each = described.filter("n_shingles > 0").join(small, "node", "left").select("n_shingles", "bins", "prefix", label)
@@ -405,7 +405,7 @@ def join_components(documents: DataFrame) -> DataFrame:
         pairs = pairs.join(side.toDF(x, *[f"{c}_{x}" for c in ("label", "least", "nodes", "bins")]), x)
     opened = store(can_link(pairs))
     across = store(open_groups(opened, grouped, documents))
-    joined = components(across).withColumnsRenamed({"node": "label", "label": "_joined"})
+    joined = components(across).toDF("label", "_joined")
 
     final = grouped.join(hint_small(joined), "label", "left").withColumn("final", F.coalesce("_joined", "label"))
     ids = store(final.groupBy("final").agg(F.min("first_id").alias("component_id")))

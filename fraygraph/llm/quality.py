@@ -32,8 +32,8 @@ SHORT = 5
 LANGUAGES = 200
 LEAST_CHARACTERS = 200
 LEAST_WORDS = 60
-MOST_CLASS_DISTANCE = 0.35
-MOST_WORD_DISTANCE = 0.70
+MOST_CLASS_DISTANCE = 0.32
+MOST_WORD_DISTANCE = 0.45
 SCALE = 1 << 30
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\r\x0b\x0c"
