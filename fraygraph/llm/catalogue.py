@@ -1,6 +1,6 @@
 """The registered queries of the operators and their SQL."""
 
-from fraygraph.llm import decontaminate, jaccard, mixing, quality, token_counts, token_output  # noqa: F401
+from fraygraph.llm import decontaminate, jaccard, language_id, mixing, quality, token_counts, token_output  # noqa: F401
 from fraygraph.llm.tables import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
