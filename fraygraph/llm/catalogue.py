@@ -1,6 +1,8 @@
 """The registered queries of the operators and their SQL."""
 
-from fraygraph.llm import decontaminate, jaccard, language_id, mixing, quality, token_counts, token_output  # noqa: F401
+from fraygraph.llm import (  # noqa: F401
+    chat, chunk_dedup, decontaminate, jaccard, language_id, licences, mixing, quality, token_counts, token_output,
+)
 from fraygraph.llm.tables import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -378,41 +378,62 @@ def open_groups(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> Dat
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def join_components(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``documents`` (doc_id, text)."""
+def _joined(documents: DataFrame) -> DataFrame:
+    """Per row of ``documents``: doc_id, text_key, text_bytes, n_shingles and, unless it is empty, the document that names its
+    component (first: struct of doc_id, text_key, text_bytes; the least id, null last)."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = store(describe(documents, common_shingles(documents)))
-    classes = described.filter("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "text_bytes")).alias("t"), F.max("n_shingles").alias("n_shingles"),
-        F.min("key1").alias("key1"), F.min("key2").alias("key2"), F.max("commonness").alias("commonness"),
+    some = described.filter("n_shingles > 0")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "text_bytes")
+    classes = some.groupBy("node").agg(
+        F.min(row).alias("first"), F.max("n_shingles").alias("n_shingles"), F.min("key1").alias("key1"), F.min("key2").alias("key2"), F.max("commonness").alias("commonness")
     )
-    nodes = store(classes.select("node", "first_id", "t.*", "n_shingles", "key1", "key2", "commonness"))
+    nodes = store(classes.select("node", "first", "first.text_key", "first.text_bytes", "n_shingles", "key1", "key2", "commonness"))
 
-    near = store(similar_groups(nodes, documents))
-    groups = components(near).toDF("node", "_label")
+    small = hint_small(components(store(similar_groups(nodes, documents))).toDF("node", "_label"))
     label = F.coalesce("_label", "node").alias("label")
-    small = hint_small(groups)
-    grouped = store(nodes.join(small, "node", "left").select("node", label, "first_id", "text_key", "text_bytes"))
+    grouped = store(nodes.join(small, "node", "left").select("node", label, "first", "text_key", "text_bytes"))
 
-    one_each = described.filter("n_shingles > 0").join(small, "node", "left").select("n_shingles", "bins", "prefix", label)
+    one_each = some.join(small, "node", "left").select("n_shingles", "bins", "prefix", label)
     code = F.xxhash64("label").alias("grp")
     bounds = store(group_bounds(one_each))
-    sizes = hint_small(bounds.filter("nodes > 1").select("label", "least", "most"))
-    cells = one_each.join(sizes, "label", "left").select("prefix", code, F.coalesce("least", "n_shingles").cast("int").alias("least"), F.coalesce("most", "n_shingles").cast("int").alias("most"))
-    pairs = store(group_pairs(cells))
+    sizes = hint_small(bounds.filter("least < most").select("label", "least", "most"))
+    least, most = (F.coalesce(c, "n_shingles").cast("int").alias(c) for c in ("least", "most"))
+    pairs = store(group_pairs(one_each.join(sizes, "label", "left").select("prefix", code, least, most)))
     side = bounds.select(code, "label", "least", "nodes", "bins")
     for x in ("a", "b"):
         pairs = pairs.join(side.toDF(x, *[f"{c}_{x}" for c in ("label", "least", "nodes", "bins")]), x)
-    opened = store(can_link(pairs))
-    across = store(open_groups(opened, grouped, documents))
-    joined = components(across).toDF("label", "_joined")
-
-    final = grouped.join(hint_small(joined), "label", "left").withColumn("final", F.coalesce("_joined", "label"))
-    ids = store(final.groupBy("final").agg(F.min("first_id").alias("component_id")))
-    by_node = final.join(ids, "final").select("node", "component_id")
-    return described.select("doc_id", "n_shingles", "node").join(by_node, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    across = open_groups(store(can_link(pairs)), grouped, documents)
+
+    merged = hint_small(components(store(across)).toDF("label", "_merged"))
+    final = grouped.join(merged, "label", "left").withColumn("final", F.coalesce("_merged", "label"))
+    firsts = final.groupBy("final").agg(F.min("first").alias("_first"))
+    by_node = final.join(firsts, "final").select("node", F.col("_first").alias("first"))
+    return described.select("doc_id", "text_key", "text_bytes", "n_shingles", "node").join(by_node, "node", "left").drop("node")
+
+
+def join_components(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``documents`` (doc_id, text)."""
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id")
+    return _joined(documents).select("doc_id", "n_shingles", component)
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """``documents`` with one document of each component, the one that names it; empty texts stay."""
+    found = store(_joined(documents))
+    key = [F.col("doc_id"), F.col("text_key"), F.col("text_bytes")]
+    is_first = key[0].eqNullSafe(F.col("first.doc_id")) & (key[1] == F.col("first.text_key")) & (key[2] == F.col("first.text_bytes"))
+    named = found.filter("n_shingles > 0").select(*[c.alias(f"_{i}") for i, c in enumerate(key)], is_first.alias("_is_first"))
+    dropped = hint_small(named.filter("NOT _is_first").drop("_is_first").distinct())
+    repeated = named.filter("_is_first").groupBy("_0", "_1", "_2").count().filter("count > 1").drop("count")
+    keyed = documents.withColumns({"_key": F.xxhash64("text"), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_0")) & (F.col("_key") == F.col("_1")) & (F.col("_bytes") == F.col("_2"))
+    kept = keyed.join(dropped, same, "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*documents.columns)
+    repeated = hint_small(store(repeated))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_key", "_bytes"])
+    return kept.join(repeated, same, "left_anti").unionByName(once).select(*documents.columns)
 
 
 @query("op3_jaccard_components")
