@@ -27,7 +27,7 @@ RUN_CHARACTERS = 500_000
 class TokenIds:
     """Encodes texts to little-endian 32-bit ids; ``path`` is a tokenizer file of the `tokenizers` library."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,20 +70,27 @@ class TokenIds:
 
         A full cache becomes the older one, so what recurs stays and memory is bounded.
         """
-        known = missing.intersection(self.older)
-        self.chunks.update((c, self.older[c]) for c in known)
-        new = list(missing - known)
-        cut = [PIECES.findall(c) for c in new]
-        wanted = {p for pieces in cut for p in pieces}.difference(self.pieces)
+        chunks, older, new = self.chunks, self.older, []
+        for chunk in missing:
+            coded = older.get(chunk)
+            if coded is None:
+                new.append(chunk)
+            else:
+                chunks[chunk] = coded
+        cut = list(map(PIECES.findall, new))
         if len(self.pieces) > self.most:
             self.older_pieces, self.pieces = self.pieces, {}
-            wanted = {p for pieces in cut for p in pieces}
-        known = wanted.intersection(self.older_pieces)
-        self.pieces.update((p, self.older_pieces[p]) for p in known)
-        if unseen := sorted(wanted - known):
+        pieces, older, unseen = self.pieces, self.older_pieces, []
+        for piece in set().union(*cut).difference(pieces):
+            coded = older.get(piece)
+            if coded is None:
+                unseen.append(piece)
+            else:
+                pieces[piece] = coded
+        if unseen:
             self._learn(unseen)
-        for chunk, pieces in zip(new, cut):
-            self.chunks[chunk] = b"".join([self.pieces[p] for p in pieces])
+        for chunk, own in zip(new, cut):
+            chunks[chunk] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as bytes of little-endian unsigned 32-bit integers."""
