@@ -8,7 +8,8 @@ the connected components of all links, not the links themselves, so groups of ne
    blocks of a large group. Components of these links are the groups of the matrix.
 2. *Token-group matrix.* Its cells are the distinct (shingle, group) of the prefix shingles of all members: linked nodes share
    a shingle among their first n - ceil(0.85 n) + 1 in any fixed order. The order puts shingles that very many documents hold
-   last, so common passages make few cells. Shingles in several groups name the pairs of groups that can be linked at all.
+   last, so common passages make few cells. Shingles in several groups name the pairs of groups that can be linked at all,
+   if what both have left from that shingle on is enough.
 3. *Bound.* A group keeps the least and largest member and, per hash bin, the most shingles of a member in that bin: a
    compressed union. The sum over bins of the smaller counts bounds the overlap of any member with any member of another
    group; pairs that cannot reach the needed overlap are not opened.
@@ -70,7 +71,7 @@ def common_shingles(documents: DataFrame, most: int = COMMON) -> np.ndarray:
 
         def report():
             found, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= max(4, docs // 1000)
+            often = count >= max(3, docs // 2000)
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often])], names=["shingle", "docs"])
 
         for batch in batches:
@@ -230,64 +231,88 @@ def similar_groups(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     return block_links(with_texts(members, documents))
 
 
-def group_pairs(cells: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of groups that share a prefix shingle and whose sizes allow a link."""
+CELLS = "shingle long, grp long, least int, most int, rest int"
+
+
+def group_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of groups that may hold a link, from the prefixes of ``members`` (prefix, n_shingles, grp, least,
+    most).
+
+    A cell of the matrix also keeps ``rest``: the most shingles that a member has from this one on, in the order. Take the
+    first shingle that two linked documents share: all they share is in the rest of both. So groups are paired by a shingle
+    only if both rests, and their sizes, allow the needed overlap.
+    """
 
     def cell_rows(batches):
         for batch in batches:
             found = []
-            for prefix, group, least, most in zip(*(c.to_pylist() for c in batch.columns)):
+            for prefix, n, group, least, most in zip(*(c.to_pylist() for c in batch.columns)):
                 shingles = np.frombuffer(prefix, np.int64)
-                rows = np.empty((len(shingles), 4), np.int64)
-                rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = shingles, group, least, most
+                rows = np.empty((len(shingles), 5), np.int64)
+                rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4] = shingles, group, least, most, n - np.arange(len(shingles))
                 found.append(rows)
-            rows = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            rows = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+            rows = rows[np.lexsort((-rows[:, 4], rows[:, 1], rows[:, 0]))]
             first = np.ones(len(rows), bool)
             first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
             rows = rows[first]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], names=["shingle", "grp", "least", "most"])
-
-    matrix = cells.select("prefix", "grp", "least", "most").mapInArrow(cell_rows, "shingle long, grp long, least int, most int")
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].astype(k)) for i, k in enumerate(kinds)], names=[c.split()[0] for c in CELLS.split(", ")])
+
+    def fitting(left, right):
+        need = np.maximum(PERCENT * np.maximum(left[:, 2], right[:, 2]) / 100, PERCENT * (left[:, 2] + right[:, 2]) / (100 + PERCENT)) - 1e-6
+        sizes = (left[:, 2] * PERCENT <= right[:, 3] * 100) & (right[:, 2] * PERCENT <= left[:, 3] * 100)
+        return (left[:, 1] != right[:, 1]) & sizes & (left[:, 4] >= need) & (right[:, 4] >= need)
+
+    def found_in(rows):
+        """Pairs in sorted whole runs of equal shingles; in order of least size the partners of a group are a stretch."""
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+        change = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        sizes = np.diff(np.append(change, len(rows)))
+        twos = change[sizes == 2]
+        pairs = [(twos, twos + 1)]
+        for start, size in zip(change[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            own = rows[start : start + size]
+            # A cell whose rest is below the least need of its own size pairs with nobody.
+            own_places = start + np.flatnonzero(own[:, 4] * 100 >= PERCENT * own[:, 2])
+            least, most = rows[own_places, 2], rows[own_places, 3]
+            counts = np.maximum(np.searchsorted(least * PERCENT, most * 100, "right") - np.arange(len(least)) - 1, 0)
+            for at in range(0, len(least), 4096):
+                part = counts[at : at + 4096]
+                left = at + np.repeat(np.arange(len(part)), part)
+                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part)
+                left, right = own_places[left], own_places[right]
+                good = fitting(rows[left], rows[right])
+                pairs.append((left[good], right[good]))
+        left, right = (np.concatenate(x) for x in zip(*pairs))
+        good = fitting(rows[left], rows[right])
+        named = np.sort(np.stack([rows[left[good], 1], rows[right[good], 1]], 1), axis=1)
+        return np.unique(named, axis=0)
 
     def pairs(batches):
-        """Runs of equal shingles in sorted batches; groups in order of their least size, so a partner's sizes bound the run."""
-        rest = np.zeros((0, 4), np.int64)
-
-        def found(rows):
-            rows = np.unique(rows, axis=0)
-            change = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-            sizes = np.diff(np.append(change, len(rows)))
-            out = []
-            twos = change[sizes == 2]
-            if len(twos):
-                out.append(np.stack([rows[twos], rows[twos + 1]], 1))
-            for start, size in zip(change[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                own = rows[start : start + size]
-                own = own[np.argsort(own[:, 2], kind="stable")]
-                ends = np.searchsorted(own[:, 2] * PERCENT, own[:, 3] * 100, "right")
-                counts = np.maximum(ends - np.arange(size) - 1, 0)
-                left = np.repeat(np.arange(size), counts)
-                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
-                out.append(np.stack([own[left], own[right]], 1))
-            both = np.concatenate(out) if out else np.zeros((0, 2, 4), np.int64)
-            fits = (both[:, 0, 2] * PERCENT <= both[:, 1, 3] * 100) & (both[:, 1, 2] * PERCENT <= both[:, 0, 3] * 100) & (both[:, 0, 1] != both[:, 1, 1])
-            named = np.unique(np.sort(both[fits][:, :, 1], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1])], names=["a", "b"])
-
+        rest, held, size = np.zeros((0, 5), np.int64), [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], 1)
-            rows = np.concatenate([rest, rows])
+            rows = np.concatenate([rest, np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], 1)])
             cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             rest = rows[cut:]
             if cut:
-                yield found(rows[:cut])
+                held.append(found_in(rows[:cut]))
+                size += len(held[-1])
+            if size > CHUNK:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                yield named_pairs(held.pop())
+                size = 0
         if len(rest):
-            yield found(rest)
+            held.append(found_in(rest))
+        if held:
+            yield named_pairs(np.unique(np.concatenate(held), axis=0))
+
+    def named_pairs(rows):
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
 
-    dealt = matrix.repartition("shingle").sortWithinPartitions("shingle")
+    dealt = members.mapInArrow(cell_rows, CELLS).repartition("shingle").sortWithinPartitions("shingle")
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
@@ -399,7 +424,7 @@ def _joined(documents: DataFrame) -> DataFrame:
     bounds = store(group_bounds(one_each))
     sizes = hint_small(bounds.filter("least < most").select("label", "least", "most"))
     least, most = (F.coalesce(c, "n_shingles").cast("int").alias(c) for c in ("least", "most"))
-    pairs = store(group_pairs(one_each.join(sizes, "label", "left").select("prefix", code, least, most)))
+    pairs = store(group_pairs(one_each.join(sizes, "label", "left").select("prefix", "n_shingles", code, least, most)))
     side = bounds.select(code, "label", "least", "nodes", "bins")
     for x in ("a", "b"):
         pairs = pairs.join(side.toDF(x, *[f"{c}_{x}" for c in ("label", "least", "nodes", "bins")]), x)
