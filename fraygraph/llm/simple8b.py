@@ -21,7 +21,7 @@ FOUR, SIXTY = np.uint64(4), np.uint64(60)
 
 def _fitting(ids: np.ndarray, room: np.ndarray) -> np.ndarray:
     """The most ids from each place on that fit one word and belong to one document; 0 for a value that needs an escape."""
-    most = ids.copy()
+    most = ids.astype(np.uint32) if len(ids) and ids.max() < 1 << 32 else ids.copy()
     fits = (ids < np.uint64(1 << 60)).astype(np.uint8)
     width = 1
     for count in COUNTS[-2::-1]:
@@ -30,7 +30,7 @@ def _fitting(ids: np.ndarray, room: np.ndarray) -> np.ndarray:
         wider = most.copy()
         wider[: len(ids) - (count - width)] = np.maximum(most[: len(ids) - (count - width)], most[count - width :])
         most, width = wider, count
-        good = (most < np.uint64(1 << (60 // count))) & (room >= count)
+        good = (most < most.dtype.type(min(1 << (60 // count), np.iinfo(most.dtype).max))) & (room >= count)
         if not good.any():
             break
         fits[good] = count

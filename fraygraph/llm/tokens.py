@@ -7,6 +7,7 @@ a bounded cache, and only unseen pieces go through the library, joined to longer
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -27,14 +28,14 @@ RUN_CHARACTERS = 500_000
 class TokenIds:
     """Encodes texts to little-endian 32-bit ids; ``path`` is a tokenizer file of the `tokenizers` library."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.chunks, self.older = {}, {}
-        self.pieces, self.older_pieces = {}, {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         described = json.loads(self.tokenizer.to_str())
         pre = described.get("pre_tokenizer") or {}
         self.cuts = (
@@ -54,48 +55,45 @@ class TokenIds:
 
     def _learn(self, pieces: list[str]) -> None:
         worded = [p for p in pieces if len(p) > 1 and p[0] == " " and p[1].isalpha()]
-        runs = [worded[i : i + JOINED] for i in range(0, len(worded), JOINED)]
-        for run, coded in zip(runs, self._whole(["".join(r) for r in runs])):
-            ids = np.frombuffer(coded, "<u4")
-            starts = np.flatnonzero(self.opens[ids])
+        known = self.known
+        for i in range(0, len(worded), JOINED):
+            run = worded[i : i + JOINED]
+            coded = self._whole(["".join(run)])[0]
+            starts = np.flatnonzero(self.opens[np.frombuffer(coded, "<u4")])
             if len(starts) == len(run):  # else a piece has an inner id that starts with a blank
-                edges = [*(starts * 4).tolist(), len(coded)]
-                for k, piece in enumerate(run):
-                    self.pieces[piece] = coded[edges[k] : edges[k + 1]]
-        rest = [p for p in pieces if p not in self.pieces]
-        self.pieces.update(zip(rest, self._whole(rest)))
+                edges = (starts * 4).tolist()
+                known.update(zip(run, [coded[a:b] for a, b in zip(edges, [*edges[1:], len(coded)])]))
+        rest = [p for p in pieces if p not in known]
+        known.update(zip(rest, self._whole(rest)))
 
     def _meet(self, missing: set[str]) -> None:
-        """Give the stretches that are not in the newer cache their ids, from the older cache or the library.
-
-        A full cache becomes the older one, so what recurs stays and memory is bounded.
-        """
-        chunks, older, new = self.chunks, self.older, []
+        """Give stretches that are not in the newer cache their ids, from the older cache or piece by piece."""
+        known, older, new = self.known, self.older, []
         for chunk in missing:
             coded = older.get(chunk)
             if coded is None:
                 new.append(chunk)
             else:
-                chunks[chunk] = coded
+                known[chunk] = coded
         cut = list(map(PIECES.findall, new))
-        if len(self.pieces) > self.most:
-            self.older_pieces, self.pieces = self.pieces, {}
-        pieces, older, unseen = self.pieces, self.older_pieces, []
-        for piece in set().union(*cut).difference(pieces):
+        unseen = []
+        for piece in set().union(*cut).difference(known):
             coded = older.get(piece)
             if coded is None:
                 unseen.append(piece)
             else:
-                pieces[piece] = coded
+                known[piece] = coded
         if unseen:
             self._learn(unseen)
         for chunk, own in zip(new, cut):
-            chunks[chunk] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+            if len(own) != 1:  # else the stretch is the piece
+                known[chunk] = b"".join([known[p] for p in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as bytes of little-endian unsigned 32-bit integers."""
         found: list[bytes] = [b""] * len(texts)
         whole, run, length = [], [], 0
+        gc.disable()  # the many small strings here hold no cycles, and looking for some takes time
         for k, text in enumerate(texts):
             if not self.cuts or PLAIN.search(text) or TIGHT.search(text) or any(s in text for s in self.special):
                 whole.append(k)
@@ -106,15 +104,25 @@ class TokenIds:
                 self._encode_run(texts, run, found)
                 run, length = [], 0
         self._encode_run(texts, run, found)
+        gc.enable()
         for k in whole:
             found[k] = self._whole([texts[k]])[0]
         return found
 
     def _encode_run(self, texts: list[str], run: list[int], found: list[bytes]) -> None:
-        if len(self.chunks) > self.most:
-            self.older, self.chunks = self.chunks, {}
-        chunks = [texts[k].replace(" ", "\0 ").split("\0") for k in run]
-        if missing := set().union(*chunks).difference(self.chunks):
-            self._meet(missing)
-        for k, cut in zip(run, chunks):
-            found[k] = b"".join(map(self.chunks.__getitem__, cut))
+        if len(self.known) > self.most:  # a full cache becomes the older one: what recurs stays, and memory is bounded
+            self.older, self.known = self.known, {}
+        chunks, ends = [], []
+        for k in run:
+            chunks += texts[k].replace(" ", "\0 ").split("\0")
+            ends.append(len(chunks))
+        coded = list(map(self.known.get, chunks))
+        gaps = [i for i, c in enumerate(coded) if c is None]
+        if gaps:
+            self._meet({chunks[i] for i in gaps})
+            for i in gaps:
+                coded[i] = self.known[chunks[i]]
+        start = 0
+        for k, end in zip(run, ends):
+            found[k] = b"".join(coded[start:end])
+            start = end
