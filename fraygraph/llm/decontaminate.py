@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraygraph.llm.tables import query, read, with_arrow
+from fraygraph.llm.tables import query, read, set_aside, with_arrow
 from fraygraph.llm.words import ALPHANUMERIC, WordHashes, alphanumeric_words, window_hashes
 
 BLOCK_ROWS = 400_000
@@ -135,20 +135,19 @@ def cut_words(text: str, hit: list[int]) -> str:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", n: int = WINDOW) -> DataFrame:
     """``documents`` without leaked items: whole documents go, or with ``remove="spans"`` only the hit stretches."""
-    columns = documents.columns
-    found = find_leaks(documents, benchmark, text, n)
+    apart, back = set_aside(documents, RESULT)
+    found = find_leaks(apart, benchmark, text, n)
     if remove == "documents":
-        return found.filter(F.size("hit_words") == 0).select(*columns)
+        return back(found.filter(F.size("hit_words") == 0))
 
     def run(batches):
         for batch in batches:
             texts = [
                 cut_words(t, h) if h else t for t, h in zip(batch.column(text).to_pylist(), batch.column("hit_words").to_pylist())
             ]
-            at = batch.schema.get_field_index(text)
-            yield batch.set_column(at, text, pa.array(texts, pa.string())).select(columns)
+            yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(texts, pa.string()))
 
-    return found.mapInArrow(run, documents.schema)
+    return back(found.mapInArrow(run, found.schema))
 
 
 ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraygraph.llm.tables import query, read, with_arrow
+from fraygraph.llm.tables import query, read, set_aside, with_arrow
 from fraygraph.llm.words import WordHashes, alphanumeric_words, window_hashes
 from fraygraph.session import store
 
@@ -197,7 +197,8 @@ def judge(documents: DataFrame, references: dict[str | None, Reference]) -> Data
 def keep_good(documents: DataFrame, references: dict[str | None, Reference] | None = None) -> DataFrame:
     """The kept documents, with the columns of ``documents``."""
     references = learn_references(documents) if references is None else references
-    return judge(documents, references).filter("kept").select(*documents.columns)
+    apart, back = set_aside(documents, RESULT)
+    return back(judge(apart, references).filter("kept"))
 
 
 @query("op7_quality_rules")

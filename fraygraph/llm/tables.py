@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,13 @@ def with_arrow(df: DataFrame, read_columns: list[str], added: str, function: Cal
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *new.names])
 
     return df.mapInArrow(run, schema)
+
+
+def set_aside(df: DataFrame, added: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns that have the name of one in the DDL ``added`` renamed, and the way back to the columns of ``df``."""
+    clash = set(T._parse_datatype_string(added).names) & set(df.columns)
+
+    def back(found: DataFrame) -> DataFrame:
+        return found.select(*[F.col(f"_own_{c}").alias(c) if c in clash else F.col(c) for c in df.columns])
+
+    return df.withColumnsRenamed({c: f"_own_{c}" for c in clash}), back
