@@ -19,18 +19,29 @@ MAGIC = b"S8B1"
 FOUR, SIXTY = np.uint64(4), np.uint64(60)
 
 
+# The most ids of each number of bits that share a word.
+BY_BITS = np.array([next((c for c in COUNTS if 60 // c >= max(1, bits)), 0) for bits in range(65)], np.uint8)
+BY_VALUE = BY_BITS[np.ceil(np.log2(np.arange(1 << 16) + 1.0)).astype(int)]
+
+
 def _fitting(ids: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """The most ids from each place on that fit one word and belong to one document; 0 for a value that needs an escape."""
-    most = ids.astype(np.uint32) if len(ids) and ids.max() < 1 << 32 else ids.copy()
-    fits = (ids < np.uint64(1 << 60)).astype(np.uint8)
-    width = 1
+    """The most ids from each place on that fit one word and belong to one document; 0 for a value that needs an escape.
+
+    A stretch fits if every id in it may share a word with so many; the least such number slides over the ids.
+    """
+    least = BY_VALUE[np.minimum(ids, np.uint64(0xFFFF)).astype(np.int64)]
+    large = np.flatnonzero(ids > np.uint64(0xFFFF))
+    if len(large):
+        powers = np.array([(1 << bits) - 1 for bits in range(65)], np.uint64)
+        least[large] = BY_BITS[np.searchsorted(powers, ids[large])]
+    fits, width = np.minimum(least, 1), 1
     for count in COUNTS[-2::-1]:
         if len(ids) < count:
             break
-        wider = most.copy()
-        wider[: len(ids) - (count - width)] = np.maximum(most[: len(ids) - (count - width)], most[count - width :])
-        most, width = wider, count
-        good = (most < most.dtype.type(min(1 << (60 // count), np.iinfo(most.dtype).max))) & (room >= count)
+        wider = least.copy()
+        wider[: len(ids) - (count - width)] = np.minimum(least[: len(ids) - (count - width)], least[count - width :])
+        least, width = wider, count
+        good = (least >= count) & (room >= count)
         if not good.any():
             break
         fits[good] = count
@@ -41,15 +52,14 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Words, first word of each document, and escapes of the concatenated ``ids`` of documents with ``lengths``."""
     ids = np.ascontiguousarray(ids, np.uint64)
     ends = np.cumsum(lengths, dtype=np.int64)
-    room = np.repeat(ends, lengths) - np.arange(len(ids))
+    room = np.minimum(np.repeat(ends, lengths) - np.arange(len(ids)), 60).astype(np.uint8)
     steps = _fitting(ids, room).tobytes()
-    starts, at, last = [], 0, len(ids)
-    append = starts.append
+    begins, at, last = bytearray(len(ids)), 0, len(ids)
     while at < last:
-        append(at)
+        begins[at] = 1
         at += steps[at] or 1
-    starts = np.array(starts, np.int64)
-    taken = np.frombuffer(steps, np.uint8)[starts] if len(starts) else np.zeros(0, np.uint8)
+    starts = np.flatnonzero(np.frombuffer(begins, np.uint8))
+    taken = np.frombuffer(steps, np.uint8)[starts]
     words = np.zeros(len(starts), np.uint64)
     for selector, count in enumerate(COUNTS):
         own = np.flatnonzero(taken == count)

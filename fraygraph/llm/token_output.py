@@ -12,6 +12,7 @@ written, ordered by text among equal ids. An empty table gives no blocks and no
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -79,35 +80,51 @@ def write_ids(documents: DataFrame, path: str, end_id: int = END_ID, tokenizer:
     dealt.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids) of every document written: ids as little-endian 32-bit integers, start counts the ids before."""
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(payload, start) of every block: its bytes and the ids before it in all shards."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per writing task
     starts = totals.select("shard", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("shard_start"))
-    placed = blocks.join(hint_small(starts), "shard").select("payload", (F.col("shard_start") + F.col("ids_before")).alias("start"))
+    return blocks.join(hint_small(starts), "shard").select("payload", (F.col("shard_start") + F.col("ids_before")).alias("start"))
+
+
+def _decoded(batches):
+    """(doc_ids, starts, ids per document, all ids as little-endian bytes) of every block."""
+    for batch in batches:
+        for payload, start in zip(batch.column(0), batch.column(1).to_pylist()):
+            names, ids, lengths = simple8b.unpack_block(payload.as_py())
+            ends = np.cumsum(lengths, dtype=np.int64)
+            yield pa.array(names, pa.int64()), start + ends - lengths, 4 * (ends - lengths), 4 * ends, memoryview(ids.astype("<u4").tobytes())
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, ids) of every document written: ids as little-endian 32-bit integers, start counts the ids before."""
+
+    def run(batches):
+        for names, starts, begins, ends, data in _decoded(batches):
+            ids = pa.array([bytes(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([names, pa.array(starts), ids], names=["doc_id", "start", "ids"])
+
+    return _placed(spark, path).mapInArrow(run, "doc_id long, start long, ids binary")
+
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document written, from its decoded ids."""
 
     def run(batches):
-        for batch in batches:
-            for payload, start in zip(batch.column(0), batch.column(1).to_pylist()):
-                names, ids, lengths = simple8b.unpack_block(payload.as_py())
-                ends = np.cumsum(lengths, dtype=np.int64)
-                data = memoryview(ids.astype("<u4").tobytes())
-                texts = [bytes(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(texts, pa.binary())],
-                    names=["doc_id", "start", "ids"],
-                )
+        for names, starts, begins, ends, data in _decoded(batches):
+            crc = pa.array([zlib.crc32(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, pa.array(starts), pa.array((ends - begins) // 4), crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
+    return _placed(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """Write ``documents`` to a new folder below the shared one, read it back: (doc_id, start, n_tokens, ids_crc32)."""
     path = f"{checkpoint_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     write_ids(documents, path)
-    n_tokens = (F.octet_length("ids") / 4).cast("long")
-    return read_ids(spark, path).select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return read_digests(spark, path)
 
 
 @query("op10_token_ids")

@@ -18,6 +18,7 @@ import numpy as np
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(f"[^\t-\r -~{LETTERS}]")
 TIGHT = re.compile(r"\s \s|\s \Z")
+LOOSE = tuple(" " + c for c in " \t\n\v\f\r")
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+")
 # The pattern of a ByteLevel pre-tokenizer without prefix blank is the one that PIECES follows.
 FORMAT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -25,6 +26,11 @@ JOINED = 200
 RUN_CHARACTERS = 500_000
 
 
+def _tight(text: str) -> bool:
+    """Whether a blank stands between white space, or between white space and the end."""
+    return (text.endswith(" ") or any(x in text for x in LOOSE)) and TIGHT.search(text) is not None
+
+
 class TokenIds:
     """Encodes texts to little-endian 32-bit ids; ``path`` is a tokenizer file of the `tokenizers` library."""
 
@@ -75,9 +81,11 @@ class TokenIds:
                 new.append(chunk)
             else:
                 known[chunk] = coded
-        cut = list(map(PIECES.findall, new))
+        # A blank and letters are one piece; other stretches are cut.
+        mixed = [c for c in new if c[:1] != " " or not c[1:].isalpha()]
+        cut = list(map(PIECES.findall, mixed))
         unseen = []
-        for piece in set().union(*cut).difference(known):
+        for piece in set(new).difference(mixed).union(*cut).difference(known):
             coded = older.get(piece)
             if coded is None:
                 unseen.append(piece)
@@ -85,7 +93,7 @@ class TokenIds:
                 known[piece] = coded
         if unseen:
             self._learn(unseen)
-        for chunk, own in zip(new, cut):
+        for chunk, own in zip(mixed, cut):
             if len(own) != 1:  # else the stretch is the piece
                 known[chunk] = b"".join([known[p] for p in own])
 
@@ -95,7 +103,7 @@ class TokenIds:
         whole, run, length = [], [], 0
         gc.disable()  # the many small strings here hold no cycles, and looking for some takes time
         for k, text in enumerate(texts):
-            if not self.cuts or PLAIN.search(text) or TIGHT.search(text) or any(s in text for s in self.special):
+            if not self.cuts or PLAIN.search(text) or _tight(text) or any(s in text for s in self.special):
                 whole.append(k)
                 continue
             run.append(k)
