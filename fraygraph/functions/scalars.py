@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fraygraph.operators.ranking import value_ranks
+
 
 def rounded(column: Column, digits: int) -> Column:
     """Value rounded half to even; NaN and null become null."""
@@ -30,13 +32,16 @@ def encode(df: DataFrame, column: str, code: str) -> DataFrame:
 
 
 def dictionary(df: DataFrame, column: str, code: str) -> DataFrame:
+    """(column, code): the number of distinct labels before each label."""
     words = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return words.withColumn(code, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1).cast("int"))
+    return value_ranks(words, [], column).select(column, F.col("below").cast("int").alias(code))
 
 
 def name_search(df: DataFrame, name: str, text: str, limit: int = 8) -> DataFrame:
-    """Case-insensitive lookup: names that start with the text (short first), then names that contain it (early first)."""
-    at = F.instr(F.lower(name), F.lit(text.lower()))
+    """Case-insensitive lookup of the trimmed text: names that start with it (short first), then names that contain it (early
+    first). A blank text finds nothing."""
+    wanted = text.strip().lower()
+    at = F.instr(F.lower(name), F.lit(wanted)) if wanted else F.lit(0)
     group = F.when(at == 1, 0).otherwise(1)
     place = F.when(at == 1, F.length(name)).otherwise(at)
     hits = df.filter(at > 0).select(name, group.alias("hit_group"), place.alias("place"))

@@ -15,12 +15,13 @@ from fraygraph.session import hint_small, settle, store
 
 def pagerank(
     graph: Graph, scenarios: DataFrame | None = None, removed: DataFrame | None = None,
-    damping: float = 0.85, iterations: int = 30, tolerance: float | None = None,
+    damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-9, most: int = 1000,
 ) -> DataFrame:
     """(scenario, v, score): weighted, directed; dangling mass and restarts spread evenly over present vertices.
 
     The mass of dangling vertices and the vertex count are per-scenario sums, one row each, joined back broadcast-sized.
-    Scores sum to 1 per scenario. With ``tolerance`` it stops when no scenario moves more than that in total.
+    Scores sum to 1 per scenario. It stops when no scenario moves more than ``tolerance`` in total; not getting there in
+    ``most`` steps is an error. With ``iterations`` exactly so many steps are taken.
     """
     scenarios = intact_scenario(graph) if scenarios is None else scenarios
     present = settle(live_seeds(graph.spread(graph.vertices.select("v"), scenarios), removed))
@@ -34,7 +35,7 @@ def pagerank(
     base = settle(present.join(sinks, ["scenario", "v"], "left").na.fill(True, ["sink"]).join(counts, "scenario"))
     linked = hint_small(links)
     state = base.withColumn("score", F.lit(1.0) / F.col("n"))
-    for _ in range(iterations):
+    for step in range(1, 1 + (most if iterations is None else iterations)):
         given = state.select("scenario", F.col("v").alias("src"), "score").join(linked, ["scenario", "src"])
         given = given.select("scenario", F.col("dst").alias("v"), (F.col("score") * F.col("share")).alias("in"))
         stuck = state.groupBy("scenario").agg(F.sum(F.when(F.col("sink"), F.col("score")).otherwise(0.0)).alias("stuck"))
@@ -43,10 +44,12 @@ def pagerank(
         score = (F.lit(1 - damping) + F.lit(damping) * F.col("stuck")) / F.col("n") + F.lit(damping) * F.coalesce("in", F.lit(0.0))
         nxt = nxt.select("scenario", "v", "n", "sink", score.alias("score"), "was")
         state = settle(nxt)
-        if tolerance is not None:
+        if iterations is None:
             moved = state.groupBy("scenario").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("moved"))
             if moved.filter(F.col("moved") > tolerance).isEmpty():
                 break
+            if step == most:
+                raise RuntimeError(f"scores still move more than {tolerance} after {most} steps")
         state = state.drop("was")
     return state.select("scenario", "v", "score")
 
@@ -174,7 +177,7 @@ def strategy_scores(name: str, graph: Graph, scenarios: DataFrame | None = None,
     return STRATEGIES[name](graph, scenarios, removed)
 
 
-def score_table(graph: Graph, include_betweenness: bool = True, iterations: int = 30) -> DataFrame:
+def score_table(graph: Graph, include_betweenness: bool = True, iterations: int | None = None) -> DataFrame:
     """One row per vertex with degrees, strengths, PageRank and restricted (and full) betweenness."""
     table = degrees(graph.edges, graph.vertices)
     columns = {"pagerank": pagerank(graph, iterations=iterations), "sm_betweenness": betweenness(graph, restricted=True)}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraygraph.functions.special import t_quantile
+from fraygraph.operators.ranking import value_ranks
 
 
 def restore_fractions(curves: DataFrame, n: int, column: str = "fraction_removed") -> DataFrame:
@@ -168,16 +169,27 @@ def histogram(df: DataFrame, by: list[str], value: str, bins: int = 24) -> DataF
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
-    """(by, quantiles): exact, linearly interpolated."""
-    return df.groupBy(*by).agg(F.percentile(value, [float(q) for q in shares]).alias("quantiles"))
+    """(by, quantiles): exact, linearly interpolated, from the histogram of distinct values with cumulative counts."""
+    ranks = value_ranks(df, by, value)
+    ends = []
+    for share in shares:
+        place = F.lit(float(share)) * (F.col("total") - 1)
+        for i, at in enumerate((F.floor(place), F.ceil(place))):
+            here = (F.col("below") <= at) & (at < F.col("below") + F.col("ties"))
+            ends.append(F.max(F.when(here, F.col(value))).cast("double").alias(f"_{i}"))
+    packed = [F.struct(low, high) for low, high in zip(ends[::2], ends[1::2])]
+    found = ranks.groupBy(*by).agg(F.max("total").alias("_total"), F.array(*packed).alias("_ends"))
+    values = []
+    for i, share in enumerate(shares):
+        place = F.lit(float(share)) * (F.col("_total") - 1)
+        pair = F.col("_ends")[i]
+        values.append(pair["_0"] + (pair["_1"] - pair["_0"]) * (place - F.floor(place)))
+    return found.select(*by, F.array(*values).alias("quantiles"))
 
 
 def ccdf(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, value, p): share of the positive values at or above each distinct value."""
-    counts = df.filter(F.col(value) > 0).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    above = part.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*by, value, (F.sum("n").over(above) / F.sum("n").over(part)).alias("p"))
+    return value_ranks(df.filter(F.col(value) > 0), by, value).select(*by, value, ((F.col("total") - F.col("below")) / F.col("total")).alias("p"))
 
 
 def log_grid(df: DataFrame, by: list[str], value: str, points: int = 120) -> DataFrame:

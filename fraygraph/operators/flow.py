@@ -28,9 +28,19 @@ def edge_roles(graph: Graph) -> DataFrame:
 
 
 def is_layered(graph: Graph) -> bool:
-    """True when every edge goes S->I, I->M or S->M."""
-    kind = F.concat("src_role", "dst_role")
-    return edge_roles(graph).filter(~kind.isin("SI", "IM", "SM")).isEmpty()
+    """True when every edge goes S->I, I->M or S->M; found once per graph."""
+    if graph.layers is None:
+        kind = F.concat("src_role", "dst_role")
+        graph.layers = edge_roles(graph).filter(~kind.isin("SI", "IM", "SM")).isEmpty()
+    return graph.layers
+
+
+def use_layers(graph: Graph, layered: bool | None) -> bool:
+    """Whether to take the closed form; a caller who asks for it on another graph gets an error, not a wrong flow."""
+    graph.require_disjoint_terminals()
+    if layered and not is_layered(graph):
+        raise ValueError("the closed form needs a graph whose edges all go S->I, I->M or S->M")
+    return is_layered(graph) if layered is None else layered
 
 
 def layered_curve(graph: Graph, scenarios: DataFrame, batches: DataFrame, removed: DataFrame | None = None, removed_edges: DataFrame | None = None) -> DataFrame:
@@ -195,7 +205,7 @@ def _net_out(graph, scenarios, used, targets) -> DataFrame:
 
 def flow_values(graph: Graph, scenarios: DataFrame, removed: DataFrame | None = None, layered: bool | None = None) -> DataFrame:
     """(scenario, flow) under vertex removals; picks the closed form when the graph is layered."""
-    layered = is_layered(graph) if layered is None else layered
+    layered = use_layers(graph, layered)
     if not layered:
         return max_flow(graph, scenarios, removed).value
     one = graph.spark.range(1, 2).select(F.col("id").cast("int").alias("batch"))
@@ -208,7 +218,7 @@ def flow_curve(
     removed_edges: DataFrame | None = None, layered: bool | None = None,
 ) -> DataFrame:
     """(scenario, batch, flow) along removal orders (scenario, v, batch) or (scenario, src, dst, batch)."""
-    layered = is_layered(graph) if layered is None else layered
+    layered = use_layers(graph, layered)
     if layered:
         return layered_curve(graph, scenarios, batches, removed, removed_edges)
     steps = replicate(batches.select(F.col("batch").alias("at")), scenarios)

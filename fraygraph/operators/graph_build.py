@@ -184,6 +184,8 @@ class Graph:
     def __init__(self, vertices: DataFrame, edges: DataFrame, terminals: DataFrame):
         self.vertices, self.edges, self.terminals = vertices, edges, terminals
         self._size: int | None = None
+        self._disjoint = False
+        self.layers: bool | None = None
 
     @property
     def spark(self):
@@ -215,8 +217,10 @@ class Graph:
         return self.terminals.groupBy("v").agg(F.countDistinct("role").alias("roles")).filter("roles > 1")
 
     def require_disjoint_terminals(self) -> "Graph":
-        if not self.overlapping_terminals().isEmpty():
-            raise ValueError("a vertex is both a source and a target")
+        if not self._disjoint:
+            if not self.overlapping_terminals().isEmpty():
+                raise ValueError("a vertex is both a source and a target")
+            self._disjoint = True
         return self
 
 

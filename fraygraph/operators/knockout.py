@@ -27,7 +27,7 @@ def flow_drops(graph: Graph, removals: DataFrame, layered: bool | None = None) -
     On general graphs a scenario is solved only if it removes a vertex that carries a unit of one intact flow: the
     others leave that flow untouched and cannot lower it.
     """
-    layered = flow.is_layered(graph) if layered is None else layered
+    layered = flow.use_layers(graph, layered)
     names = removals.select("scenario").distinct()
     if layered:
         values = flow.flow_values(graph, names, removals, True)

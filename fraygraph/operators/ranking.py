@@ -1,15 +1,21 @@
-"""Order-dependent operators that never sort a whole group in one task.
+"""Order-dependent operators that never need a whole group in one task.
 
-``number_within`` gives any dense numbering, ``exact_rank`` the numbering of an order, ``value_ranks`` competition,
-average and percentile ranks through the histogram of distinct values.
+``number_within`` and ``exact_rank`` number the rows of an order, ``value_ranks`` gives competition, average and percentile
+ranks through the histogram of distinct values.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PLAIN_GROUP_ROWS = 200_000
+from fraygraph.session import store
+
+# Rows of a group that one task may order; a larger group, or one of unknown size, is dealt to ranges.
+ONE_TASK_ROWS = 200_000
 
 
 def random_key(seed, *parts) -> Column:
@@ -24,95 +30,66 @@ def unit_uniform(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def number_within(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "n", salts: int = 16, group_rows: int | None = None
-) -> DataFrame:
-    """Number the rows of each key group 1..size. Salted: a group is numbered in ``salts`` pieces plus offsets.
+def number_ordered(df: DataFrame, keys: list[str], order: list[Column], name: str, group_rows: int | None = None) -> DataFrame:
+    """Number the rows of each key group 1..size in ``order``; equal to one window over the group, for groups of any size.
+
+    Rows are dealt to ranges of (keys, order) by Spark's sampled range exchange, which takes every type as it is and nulls as
+    a value, so a group is spread over as many tasks as it fills. A number is the row number inside the range plus the rows
+    of the same group in earlier ranges. The ranges are stored before they are counted, so both readings see the same ones.
 
-    ``group_rows`` is a proven bound on the group size; up to ``PLAIN_GROUP_ROWS`` one window does.
+    ``group_rows`` is a proven bound on the group size; up to ``ONE_TASK_ROWS`` a window gives the same numbers at once.
     """
-    if group_rows is not None and group_rows <= PLAIN_GROUP_ROWS:
+    if group_rows is not None and group_rows <= ONE_TASK_ROWS:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    pieces = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select(*keys, "_salt", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    return (
-        salted.withColumn("_rn", F.row_number().over(within))
-        .join(offsets, [*keys, "_salt"])
-        .withColumn(name, F.col("_rn") + F.col("_before"))
-        .drop("_salt", "_rn", "_before", "_rows")
+    ranged = store(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_key{i}" for i in range(len(keys))]
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_range").alias("_of"), "_before"
     )
+    same = F.col("_range") == F.col("_of")
+    for key, other in zip(keys, names):
+        same = same & F.col(key).eqNullSafe(F.col(other))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    numbered = ranged.withColumn("_inside", inside).join(offsets, same)
+    return numbered.withColumn(name, (F.col("_inside") + F.col("_before")).cast("int")).select(*df.columns, name)
 
 
-def exact_rank(
-    df: DataFrame,
-    keys: list[str],
-    score: str,
-    tie: str,
-    name: str = "rank",
-    descending: bool = True,
-    group_rows: int | None = None,
-    splits: int = 64,
-) -> DataFrame:
-    """Rank 1..size by score, ties by the md5 column ``tie`` ascending; exact for groups of any size.
-
-    ``group_rows`` is a proven bound on the group size; up to ``PLAIN_GROUP_ROWS`` a plain window is used. Above,
-    approximate quantiles cut the scores into ranges, a value heavy enough to be a quantile is cut again by tie prefix,
-    and a rank is the rows in earlier cells plus the row number inside the own cell.
-    """
-    by = F.col(score).desc() if descending else F.col(score).asc()
-    if group_rows is not None and group_rows <= PLAIN_GROUP_ROWS:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(by, F.col(tie))))
-    value = F.col(score).cast("double") * (-1 if descending else 1)
-    data = df.withColumn("_value", value)
-    celled = (
-        _with_cuts(data, data, keys, splits)
-        .withColumn("_lower", F.size(F.filter("_cuts", lambda c: c < F.col("_value"))))
-        .withColumn("_heavy", F.array_contains("_cuts", F.col("_value")).cast("int"))
-        .withColumn("_part", F.when(F.col("_heavy") == 1, F.substring(F.col(tie), 1, 2)).otherwise(F.lit("")))
-        .drop("_cuts")
-    )
-    cell = ["_lower", "_heavy", "_part"]
-    sizes = celled.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, *cell, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, *cell).orderBy("_value", tie)
-    return (
-        celled.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, *cell])
-        .withColumn(name, (F.col("_rn") + F.col("_before")).cast("int"))
-        .drop("_rn", "_before", "_value", *cell)
-    )
+def number_within(df: DataFrame, keys: list[str], order: list[str], name: str = "n", group_rows: int | None = None) -> DataFrame:
+    """Number the rows of each key group 1..size in ascending ``order``, nulls first."""
+    return number_ordered(df, keys, [F.col(c).asc() for c in order], name, group_rows)
 
 
-def _with_cuts(df: DataFrame, sample: DataFrame, keys: list[str], splits: int) -> DataFrame:
-    """Adds ``_cuts``: at most ``splits`` - 1 ascending quantiles of ``sample._value`` per key group (a mergeable sketch)."""
-    grid = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    cuts = F.array_sort(F.array_distinct(F.percentile_approx("_value", grid, 1_000))).alias("_cuts")
-    if keys:
-        return df.join(sample.groupBy(*keys).agg(cuts), keys)
-    found = sample.agg(cuts).first()["_cuts"] or []
-    return df.withColumn("_cuts", F.array(*[F.lit(float(c)) for c in found]).cast("array<double>"))
+def exact_rank(
+    df: DataFrame, keys: list[str], score: str, tie: str, name: str = "rank", descending: bool = True, group_rows: int | None = None
+) -> DataFrame:
+    """Rank 1..size by score, null scores last, equal scores by ``tie`` ascending."""
+    by = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
+    return number_ordered(df, keys, [by, F.col(tie).asc()], name, group_rows)
 
 
-def value_ranks(df: DataFrame, keys: list[str], score: str, splits: int = 64) -> DataFrame:
-    """(keys, score, ties, below, total): the distinct-value histogram with cumulative counts.
+def value_ranks(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """(keys, score, ties, below, total) per distinct score that is not null: the histogram with cumulative counts.
 
-    Equal values are counted before the shuffle. Distinct values are cut into ranges, running sums are taken inside a
-    range and offset by the counts of the ranges before, so a continuous score is not ordered in one task.
+    Equal values are counted before the shuffle. The histogram is dealt to ranges of (keys, score); running sums are taken
+    inside a range and moved by the counts of the ranges before, so no group of distinct values is ordered in one task.
     """
-    histogram = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("ties")).withColumn("_value", F.col(score).cast("double"))
-    celled = _with_cuts(histogram, histogram, keys, splits)
-    celled = celled.withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col("_value")))).drop("_cuts", "_value")
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = part.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = celled.groupBy(*keys, "_cell").agg(F.sum("ties").alias("_rows"))
-    offsets = cells.select(*keys, "_cell", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(part).alias("total"))
-    lower = Window.partitionBy(*keys, "_cell").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("ties").over(lower), F.lit(0))
-    return celled.withColumn("_in", below).join(offsets, [*keys, "_cell"]).select(*keys, score, "ties", (F.col("_in") + F.col("_before")).alias("below"), "total")
+    histogram = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("ties"))
+    ranged = store(histogram.repartitionByRange(*keys, score).withColumn("_range", F.spark_partition_id()))
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row per range
+    earlier = part.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_key{i}" for i in range(len(keys))]
+    offsets = ranged.groupBy(*keys, "_range").agg(F.sum("ties").alias("_rows")).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_range").alias("_of"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(part).alias("total"),
+    )
+    lower = Window.partitionBy(*keys, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_range") == F.col("_of")
+    for key, other in zip(keys, names):
+        same = same & F.col(key).eqNullSafe(F.col(other))
+    inside = ranged.withColumn("_in", F.coalesce(F.sum("ties").over(lower), F.lit(0)))
+    return inside.join(offsets, same).select(*keys, score, "ties", (F.col("_in") + F.col("_before")).alias("below"), "total")
 
 
 def average_rank() -> Column:
@@ -124,40 +101,41 @@ def mid_rank_percentile() -> Column:
     return F.lit(100.0) * (average_rank() - F.lit(0.5)) / F.col("total")
 
 
+def join_ranks(df: DataFrame, ranks: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """``df`` with the other columns of ``ranks`` by keys and score; null where the score is null."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    renamed = ranks.withColumnsRenamed({**dict(zip(keys, names)), score: "_score"})
+    same = F.col(score) == F.col("_score")
+    for key, other in zip(keys, names):
+        same = same & F.col(key).eqNullSafe(F.col(other))
+    return df.join(renamed, same, "left").drop(*names, "_score")
+
+
 def with_percentile(df: DataFrame, score: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Adds the mid-rank percentile among the rows with a score; null where the score is null."""
     keys = keys or []
-    ranks = value_ranks(df, keys, score).withColumn(name, mid_rank_percentile())
-    return df.join(ranks.select(*keys, score, name), [*keys, score], "left")
+    return join_ranks(df, value_ranks(df, keys, score).select(*keys, score, mid_rank_percentile().alias(name)), keys, score)
 
 
 def competition_rank(df: DataFrame, score: str, keys: list[str] | None = None) -> DataFrame:
-    """Adds ``rank`` (1 + rows with a higher score) and ``ties`` (rows with the same score)."""
+    """Adds ``rank`` (1 + rows with a higher score) and ``ties`` (rows with the same score); both null where the score is."""
     keys = keys or []
-    ranks = value_ranks(df, keys, score).select(
-        *keys, score, (F.col("total") - F.col("below") - F.col("ties") + 1).alias("rank"), "ties"
-    )
-    return df.join(ranks, [*keys, score])
+    rank = F.col("total") - F.col("below") - F.col("ties") + 1
+    return join_ranks(df, value_ranks(df, keys, score).select(*keys, score, rank.alias("rank"), "ties"), keys, score)
 
 
-def removal_schedule(n: int, batch_fraction: float = 0.01, max_fraction: float = 0.5) -> list[int]:
-    """Batch sizes: a share of what remains, rounded up, until the wanted share of n is gone."""
-    sizes: list[int] = []
-    gone = 0
-    while gone < n and gone < max_fraction * n:
-        left = n - gone
-        step = batch_fraction * left
-        whole = int(step) + (1 if step > int(step) else 0)
-        sizes.append(min(left, max(1, whole)))
-        gone += sizes[-1]
-    return sizes
+def removal_steps(n: int, batch_fraction: float = 0.01, max_fraction: float = 0.5) -> Iterator[tuple[int, int]]:
+    """(first, last) rank of every batch: 1 % of what is left, rounded up, as long as less than ``max_fraction`` is gone."""
+    last = 0
+    while last < min(n, max_fraction * n):
+        first, last = last + 1, last + math.ceil(batch_fraction * (n - last))
+        yield first, last
 
 
 def schedule_table(spark, n: int, batch_fraction: float = 0.01, max_fraction: float = 0.5) -> DataFrame:
     """(batch, size, first_rank, last_rank, fraction_removed); batch 0 is the intact graph. A few hundred rows."""
-    rows, gone = [(0, 0, 0, 0, 0.0)], 0
-    for batch, size in enumerate(removal_schedule(n, batch_fraction, max_fraction), start=1):
-        rows.append((batch, size, gone + 1, gone + size, (gone + size) / n))
-        gone += size
+    steps = enumerate(removal_steps(n, batch_fraction, max_fraction), start=1)
+    rows = [(0, 0, 0, 0, 0.0), *((batch, last - first + 1, first, last, last / n) for batch, (first, last) in steps)]
     return spark.createDataFrame(rows, "batch int, size int, first_rank int, last_rank int, fraction_removed double")
 
 

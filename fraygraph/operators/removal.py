@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fraygraph.operators import central, flow, reach
 from fraygraph.operators.graph_build import Graph
-from fraygraph.operators.ranking import batch_of_rank, exact_rank, random_key, removal_schedule, schedule_table  # noqa: F401
+from fraygraph.operators.ranking import batch_of_rank, exact_rank, random_key, removal_steps, schedule_table
 from fraygraph.session import hint_small, settle, store
 
 EDGE_ORDERS = ("strongest", "weakest", "random")
@@ -99,7 +99,7 @@ def adaptive_removals(
     All scenarios advance together, one settled state per batch. For the strengths the new scores are the old ones minus
     the edges to vertices that just went, so a whole run reads every edge once, not once per batch.
     """
-    sizes = removal_schedule(graph.size, batch_fraction, max_fraction)
+    sizes = [last - first + 1 for first, last in removal_steps(graph.size, batch_fraction, max_fraction)]
     if strategy in ("out_strength", "in_strength"):
         return _adaptive_strength(graph, strategy, scenarios, seed, sizes)
     gone = None
@@ -154,7 +154,3 @@ def edge_attack(graph: Graph, trials: int, seed: int, batch_fraction: float = 0.
     scenarios = settle(orders.select("scenario").distinct())
     removed = edge_removals(orders, n, batch_fraction, max_fraction)
     return measure_edges(graph, scenarios, settle(edge_batch_table(graph.spark, n, batch_fraction, max_fraction)), removed, layered)
-
-
-def all_scenarios(graph: Graph, n: int) -> DataFrame:
-    return graph.spark.range(n).select(F.col("id").alias("scenario"))

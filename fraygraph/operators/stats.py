@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraygraph.functions.special import log10_normal_tail, normal_tail, t_tail_two_sided
-from fraygraph.operators.ranking import average_rank, mid_rank_percentile, value_ranks
+from fraygraph.operators.ranking import average_rank, join_ranks, mid_rank_percentile, value_ranks
 
 
 def mann_whitney(df: DataFrame, by: list[str], score: str, member: str) -> DataFrame:
     """(by, n_members, n_other, u, auc, rank_biserial, median_percentile, z, p_value): do members score higher than the rest?
 
-    ``member`` is a boolean column. Average ranks, tie-corrected normal approximation with continuity correction.
+    ``member`` is a boolean column; rows without a score or membership are left out. Average ranks, tie-corrected normal approximation with continuity correction.
     """
+    df = df.filter(F.col(score).isNotNull() & F.col(member).isNotNull())
     ranks = value_ranks(df, by, score)
     ties = ranks.groupBy(*by).agg(F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).cast("double").alias("tie_term"))
     members = df.groupBy(*by, score).agg(F.count_if(F.col(member)).alias("inside"))
@@ -65,10 +66,11 @@ def welch(df: DataFrame, by: list[str], group: str, first: str, second: str, val
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """(by, rho, p_value): correlation of average ranks, p by the t approximation."""
+    """(by, rho, p_value): correlation of average ranks over the rows that have both values, p by the t approximation."""
+    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     for column in (x, y):
         ranks = value_ranks(df.select(*by, column), by, column).select(*by, column, average_rank().alias(f"_r_{column}"))
-        df = df.join(ranks, [*by, column])
+        df = join_ranks(df, ranks, by, column)
     stats = df.groupBy(*by).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count(F.lit(1)).alias("_n"))
     t = F.abs("rho") * F.sqrt((F.col("_n") - 2) / F.greatest(F.lit(1e-300), 1 - F.col("rho") * F.col("rho")))
     return stats.withColumn("p_value", t_tail_two_sided(t, F.col("_n") - 2)).drop("_n")

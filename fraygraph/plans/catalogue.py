@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fraygraph.plans import graphs, networks, runs, tables  # noqa: F401
+from fraygraph.plans import graphs, networks, runs, supply, tables  # noqa: F401
 from fraygraph.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -70,11 +71,18 @@ def hint_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def replicate(df: DataFrame, scenarios: DataFrame, blocks: int = 8) -> DataFrame:
-    """Give every row of ``df`` to every scenario: fragment-and-replicate over ``blocks``.
+def replicate(df: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Give every row of ``df`` to every scenario: fragment-and-replicate over a grid of about as many cells as there are
+    shuffle partitions, so both sides are copied about the square root of that many times only.
 
-    The output is what a caller asked for (seeds of every scenario); no task holds all scenarios.
+    The output is what a caller asked for (seeds of every scenario); no task holds all rows of a side.
     """
-    left = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = scenarios.withColumn("_block", F.pmod(F.xxhash64("scenario"), F.lit(blocks)).cast("int"))
-    return left.join(right, "_block").drop("_block")
+    side = max(2, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+
+    def own(table: DataFrame):
+        return F.pmod(F.xxhash64(*table.columns), F.lit(side)).cast("int")
+
+    left = df.withColumn("_row", own(df)).withColumn("_column", every)
+    right = scenarios.withColumn("_column", own(scenarios)).withColumn("_row", every)
+    return left.join(right, ["_row", "_column"]).drop("_row", "_column")

@@ -66,31 +66,80 @@ def test_anchor_ties_and_empty(spark):
     assert found(profile.anchor_regions(counts)) == [("A", "AL"), ("B", "a")]
 
 
+def sizes_of(*args):
+    return [last - first + 1 for first, last in ranking.removal_steps(*args)]
+
+
 def test_schedule():
-    sizes = ranking.removal_schedule(1000)
+    sizes = sizes_of(1000)
     left = 1000
     for size in sizes:
         assert size == -(-left // 100)
         left -= size
     assert 1000 - left >= 500 > 1000 - left - sizes[-1]
-    assert ranking.removal_schedule(3, 0.01, 1.0) == [1, 1, 1]
+    assert sizes_of(3, 0.01, 1.0) == [1, 1, 1] and sizes_of(10, 0.5, 1.0) == [5, 3, 1, 1] and sizes_of(0) == []
+
+
+SCORES = {
+    "double": "CASE WHEN id % 3 = 0 THEN 7.0D WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN double('NaN') ELSE double(id * 37 % 501) END",
+    "long": "CASE WHEN id % 7 = 0 THEN NULL ELSE 9007199254740992 + id % 40 END",
+    "decimal": "CAST(id * 37 % 501 AS decimal(38, 0)) * 10000000000000000000000 + id % 3",
+    "string": "CASE WHEN id % 5 = 0 THEN NULL ELSE concat('n', id * 37 % 301) END",
+}
 
 
+@pytest.mark.parametrize("kind", SCORES)
 @pytest.mark.parametrize("descending", [True, False])
-def test_exact_rank_equals_plain_window(spark, descending):
-    """A third of the rows share one score; the large-group form must give the same ranks."""
-    rows = spark.range(3000).select(
-        (F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") * 37 % 501).alias("x"), F.col("id").alias("v")
-    ).withColumn("tie", ranking.random_key(1, "v"))
-    plain = ranking.exact_rank(rows, ["g"], "x", "tie", descending=descending, group_rows=3000).select("v", "rank")
-    large = ranking.exact_rank(rows, ["g"], "x", "tie", descending=descending, splits=16).select("v", "rank")
-    assert found(plain) == found(large)
-
-
-def test_number_within_is_dense(spark):
-    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
-    got = ranking.number_within(rows, ["g"], ["v"]).groupBy("g").agg(F.sort_array(F.collect_list("n")).alias("n"), F.count("n").alias("k"))
-    assert all(list(r["n"]) == list(range(1, r["k"] + 1)) for r in got.collect())
+def test_ranges_number_like_one_window(spark, kind, descending):
+    """Null and repeated scores, null keys, a group with most rows: ranges give the numbers of a plain window."""
+    rows = spark.range(1500).selectExpr("CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 < 9 THEN 'hot' ELSE 'g' END AS g", f"{SCORES[kind]} AS x", "id AS v")
+    rows = rows.withColumn("tie", ranking.random_key(1, "v"))
+    plain = ranking.exact_rank(rows, ["g"], "x", "tie", descending=descending, group_rows=1500)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        large = ranking.exact_rank(rows.repartition(3), ["g"], "x", "tie", descending=descending)
+        assert large.columns == plain.columns and sorted(map(str, large.collect())) == sorted(map(str, plain.collect()))
+        assert sorted(map(str, ranking.number_within(rows, ["g"], ["x", "v"]).collect())) == sorted(map(str, ranking.number_within(rows, ["g"], ["x", "v"], group_rows=1500).collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rewiring_does_not_depend_on_the_numbering(spark, monkeypatch):
+    from brute import random_digraph
+
+    edges = spark.createDataFrame(random_digraph(30, 150, 3), "src string, dst string, weight long")
+    plain = found(nulls.rewire(edges, 1, 5, swaps_per_edge=1))
+    monkeypatch.setattr(ranking, "ONE_TASK_ROWS", 0)
+    assert found(nulls.rewire(edges, 1, 5, swaps_per_edge=1)) == plain
+
+
+def test_null_scores_have_no_rank(spark):
+    rows = spark.createDataFrame([(i, None if i < 20 else i) for i in range(100)], "i int, x int")
+    table = {r["i"]: r for r in ranking.competition_rank(ranking.with_percentile(rows, "x", "p"), "x").collect()}
+    assert len(table) == 100 and table[3]["p"] is None and table[3]["rank"] is None
+    assert table[20]["p"] == 0.625 and table[99]["rank"] == 1 and table[20]["rank"] == 80
+    pairs = spark.createDataFrame([("k", 1.0, 1.0), ("k", 2.0, 2.0), ("k", 3.0, 9.0), ("k", 0.5, None), ("k", None, 1.5)], "k string, x double, y double")
+    assert stats.spearman(pairs, ["k"], "x", "y").first()["rho"] == pytest.approx(1.0)
+    scores = spark.createDataFrame([("t", float(x), x > 3) for x in range(1, 6)] + [("t", None, True), ("t", 9.0, None)], "k string, x double, m boolean")
+    assert stats.mann_whitney(scores, ["k"], "x", "m").first()["u"] == 6.0
+
+
+def test_quantiles_of_histograms(spark):
+    import numpy as np
+
+    values = [3, 1, 1, 7, 7, 7, 20, 4]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 5)], "k string, v int")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["k"]: r["quantiles"] for r in curves.quantiles(rows, ["k"], "v", shares).collect()}
+    assert got["a"] == pytest.approx(np.quantile(values, shares).tolist()) and got["b"] == [5.0] * 6
+    codes = {r["v"]: r["c"] for r in scalars.dictionary(rows, "v", "c").collect()}
+    assert codes == {v: i for i, v in enumerate(sorted(set(values) | {5}))}
+
+
+def test_name_search_trims_and_ignores_blank_texts(spark):
+    names = spark.createDataFrame([("abc",), ("cab",), ("b",), ("Bd",)], "name string")
+    assert [r["name"] for r in scalars.name_search(names, "name", " b ").collect()] == ["b", "Bd", "abc", "cab"]
+    assert scalars.name_search(names, "name", "  ").count() == 0
 
 
 def test_percentiles(spark):

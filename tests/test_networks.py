@@ -209,4 +209,3 @@ def test_bilateral_case(spark, toy):
     sided = graph.vertices.filter("instr(v, '|') > 0").select("v", *B.split_composite("v"))
     rows = {r["label"]: (r["impact_left"], r["impact_right"], r["impact_both"]) for r in K.bilateral_impact(graph, sided).collect()}
     assert rows == {"h": (1, 1, 2), "i": (1, 0, 1)}
-    assert ranking.removal_schedule(10, 0.5, 1.0) == [5, 3, 1, 1]
