@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraygraph.llm.tables import query, read, set_aside, with_arrow
-from fraygraph.llm.words import ALPHANUMERIC, WordHashes, alphanumeric_words, window_hashes
+from fraygraph.llm.words import ALPHANUMERIC, alphanumeric_bytes, window_hashes, word_hashes, word_places
 
 BLOCK_ROWS = 400_000
 WINDOW = 10
@@ -35,15 +35,15 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Distinct (length, hash, digest, item_id) of the windows of all items."""
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
             lengths, hashes, digests, ids = [], [], [], []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
-                words = alphanumeric_words(text)
+                data = alphanumeric_bytes(text)
+                words = data.split()
                 if not words:
                     continue
                 length = min(n, len(words))
-                found = window_hashes(cache.of(words), length)
+                found = window_hashes(word_hashes(data), length)
                 hashes += found.view(np.int64).tolist()
                 digests += [hashlib.sha256(b" ".join(words[i : i + length])).digest() for i in range(len(found))]
                 lengths += [length] * len(found)
@@ -74,24 +74,25 @@ def scan(documents: DataFrame, rows: list, text: str) -> DataFrame:
 
     def run(texts):
         items, packed = shared.value
-        if not hasattr(run, "cache"):
-            run.cache = WordHashes()
+        if not hasattr(run, "bits"):
             run.bits = {k: np.unpackbits(b).astype(bool) for k, (b, _) in packed.items()}
         made = {"n_words": [], "hit_words": [], "item_ids": []}
         for text in texts:
-            words = alphanumeric_words(text)
-            hashes = run.cache.of(words)
+            data = alphanumeric_bytes(text)
+            starts, ends = word_places(data)
+            hashes = word_hashes(data, (starts, ends))
             hit, found = set(), set()
             for length, (_, known) in packed.items():
                 windows = window_hashes(hashes, length)
                 near = np.flatnonzero(run.bits[length][(windows & MASK).astype(np.int64)])
                 near = near[np.isin(windows[near], known)] if len(near) else near
                 for i in near.tolist():
-                    ids = items.get(hashlib.sha256(b" ".join(words[i : i + length])).digest())
+                    own = b" ".join([data[a:b] for a, b in zip(starts[i : i + length], ends[i : i + length])])
+                    ids = items.get(hashlib.sha256(own).digest())
                     if ids is not None:
                         hit.update(range(i, i + length))
                         found.update(x for x in ids if x is not None)
-            made["n_words"].append(len(words))
+            made["n_words"].append(len(starts))
             made["hit_words"].append(sorted(hit))
             made["item_ids"].append(sorted(found))
         return made

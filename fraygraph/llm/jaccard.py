@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from fraygraph.llm.components import components
 from fraygraph.llm.tables import query, read
-from fraygraph.llm.words import PRIME, WordHashes, blank_words, window_hashes
+from fraygraph.llm.words import PRIME, blank_bytes, window_hashes, word_hashes
 from fraygraph.session import hint_small, store
 
 SHINGLE = 4
@@ -46,12 +46,10 @@ BINS = 256
 COLUMNS = 4096
 
 
-def shingle_set(text: str | None, cache: WordHashes, width: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    words = blank_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(window_hashes(cache.of(words), min(width, len(words))))
+    words = word_hashes(blank_bytes(text))
+    return np.unique(window_hashes(words, min(width, len(words)))) if len(words) else words
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -66,7 +64,6 @@ def common_shingles(documents: DataFrame, most: int = COMMON) -> np.ndarray:
     """
 
     def run(batches):
-        cache = WordHashes()
         held, size, docs = [], 0, 0
 
         def report():
@@ -76,7 +73,7 @@ def common_shingles(documents: DataFrame, most: int = COMMON) -> np.ndarray:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(shingle_set(text, cache))
+                held.append(shingle_set(text))
                 size, docs = size + len(held[-1]), docs + 1
                 if size >= CHUNK:
                     yield report()
@@ -120,10 +117,9 @@ def describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
         return n, xxhash.xxh3_128_digest(shingles.tobytes()), *keys, 1 - len(rare) / n, prefix.tobytes(), bins.tobytes()
 
     def run(batches):
-        cache = WordHashes()
         hashes, places = shared.value
         for batch in batches:
-            rows = [one(shingle_set(text, cache), hashes, places) for text in batch.column(1).to_pylist()]
+            rows = [one(shingle_set(text), hashes, places) for text in batch.column(1).to_pylist()]
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=[c.split()[0] for c in NODES.split(", ")])
@@ -190,10 +186,9 @@ def block_links(members: DataFrame) -> DataFrame:
     """Links (a, b) that span the components inside each block of ``members`` (key, slot, node, text)."""
 
     def run(batches):
-        cache = WordHashes()
         for rows in in_groups(batches, 2):
             rows = list({r[2]: r for r in rows}.values())
-            sets = [shingle_set(r[3], cache) for r in rows]
+            sets = [shingle_set(r[3]) for r in rows]
             near = linked(sets)
             a, b, seen = [], [], np.zeros(len(rows), bool)
             for start in range(len(rows)):
@@ -389,10 +384,9 @@ def open_groups(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> Dat
     rows = with_texts(queries.unionByName(opened), documents).select("opened", "part", "slot", "role", "label", "node", "text")
 
     def run(batches):
-        cache = WordHashes()
         for group in in_groups(batches, 3):
-            members = [shingle_set(r[6], cache) for r in group if r[3] == 0]
-            asked = [(r[4], shingle_set(r[6], cache)) for r in group if r[3] == 1]
+            members = [shingle_set(r[6]) for r in group if r[3] == 0]
+            asked = [(r[4], shingle_set(r[6])) for r in group if r[3] == 1]
             if not members or not asked:
                 continue
             near = linked([s for _, s in asked], members).any(axis=1)

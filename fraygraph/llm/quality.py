@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraygraph.llm.tables import query, read, set_aside, with_arrow
-from fraygraph.llm.words import WordHashes, alphanumeric_words, window_hashes
+from fraygraph.llm.words import alphanumeric_words, window_hashes, word_hashes
 from fraygraph.session import store
 
 COMMON = 40
@@ -145,11 +145,11 @@ def learn_references(documents: DataFrame) -> dict[str | None, Reference]:
     return found
 
 
-def repeated_words(words: list[bytes], cache: WordHashes, width: int = 5) -> int:
-    """Words inside windows of ``width`` words that occur twice or more in the text."""
+def repeated_words(words: np.ndarray, width: int = 5) -> int:
+    """Words, given by their hashes, inside windows of ``width`` words that occur twice or more in the text."""
     if len(words) <= width:
         return 0
-    windows = window_hashes(cache.of(words), width)
+    windows = window_hashes(words, width)
     _, place, count = np.unique(windows, return_inverse=True, return_counts=True)
     starts = np.flatnonzero(count[place] > 1)
     if not len(starts):
@@ -165,13 +165,12 @@ def judge(documents: DataFrame, references: dict[str | None, Reference]) -> Data
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(texts, langs):
-        cache = WordHashes()
         rows = []
         for text, lang in zip(texts, langs):
             data = (text or "").encode()
-            words = data.split()
+            words = word_hashes(data)
             lines = [x for x in data.split(b"\n") if x.strip(BLANKS)]
-            repeats = repeated_words(words, cache)
+            repeats = repeated_words(words)
             blanks = len(data) - len(data.translate(None, BLANKS))
             symbols = len(data) - len(data.translate(None, SYMBOLS))
             base_failed = len(words) < 10 or 100 * repeats > 20 * len(words)

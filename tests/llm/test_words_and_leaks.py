@@ -1,6 +1,7 @@
 """Word rules, benchmark decontamination and quality rules against plain readings of their definitions."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -8,8 +9,8 @@ import pytest
 from llm.data import ALNUM_WORD, BLANK_WORD, LOWER, frame, odd_rows, prose
 from pyspark.sql import functions as F
 
-from fraygraph.llm import decontaminate, quality
-from fraygraph.llm.words import WordHashes, alphanumeric_words, blank_words, window_hashes
+from fraygraph.llm import decontaminate, quality, words
+from fraygraph.llm.words import alphanumeric_words, blank_words, window_hashes, word_hashes
 
 TEXTS = [r[1] for r in odd_rows()] + ["A\x00b\x1fC\x7fD\x85e\xa0f", "Ünï-cödé_É 9x", "\x0b\x0c"]
 
@@ -21,11 +22,29 @@ def test_words_follow_their_patterns():
 
 
 def test_window_hashes_tell_windows_apart():
-    words = prose(5, 500).encode().split()
-    found = window_hashes(WordHashes().of(words), 3)
+    text = prose(5, 500)
+    words = text.encode().split()
+    found = window_hashes(word_hashes(text.encode()), 3)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     assert len(set(found.tolist())) == len(set(windows))
-    assert not len(window_hashes(WordHashes().of(words[:2]), 3))
+    assert not len(window_hashes(word_hashes(b"two words"), 3))
+
+
+def test_word_hashes_depend_on_the_word_alone(monkeypatch):
+    """Everywhere in a text, over part borders, and for words longer than a part."""
+    r = random.Random(2)
+    vocabulary = [bytes(r.choices(b"abcdz\xc3\xa9", k=r.randrange(1, 9))) for _ in range(3000)] + [b"x" * 500, b"x" * 501, b"ab", b"ba", b"aab", b"aba"]
+    text = [r.choice(vocabulary) for _ in range(20_000)]
+    data = b" \t".join(text) + b"\n"
+    whole = word_hashes(data)
+    of = {}
+    for word, value in zip(text, whole.tolist()):
+        assert of.setdefault(word, value) == value
+    assert len(set(of.values())) == len(of)
+    monkeypatch.setattr(words, "PART", 300)
+    short = word_hashes(data)
+    assert all(a == b for w, a, b in zip(text, short.tolist(), whole.tolist()) if len(w) < 300)
+    assert len(word_hashes(b" \n ")) == len(word_hashes(b"")) == 0
 
 
 def leaks(text, items, n=10):
