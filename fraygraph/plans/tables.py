@@ -188,10 +188,10 @@ def _(spark, sf):
 
 
 @query("pf5_leaf_regions", """SELECT r_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE r_name NOT IN ('ASIA', 'REGION_0') AND NOT contains(r_name, 'MIDDLE') AND NOT contains(r_name, '_1') GROUP BY 1""")
+WHERE r_name NOT IN ('ASIA', 'AFRICA') AND NOT contains(r_name, 'MIDDLE') AND NOT contains(r_name, 'ROPE') GROUP BY 1""")
 def _(spark, sf):
     nations = G.table(spark, sf, "nation").join(G.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    leaf = ~F.col("r_name").isin("ASIA", "REGION_0") & ~F.col("r_name").contains("MIDDLE") & ~F.col("r_name").contains("_1")
+    leaf = ~F.col("r_name").isin("ASIA", "AFRICA") & ~F.col("r_name").contains("MIDDLE") & ~F.col("r_name").contains("ROPE")
     suppliers = G.table(spark, sf, "supplier").join(nations.filter(leaf), F.col("s_nationkey") == F.col("n_nationkey"))
     return suppliers.groupBy("r_name").agg(F.count(F.lit(1)).alias("suppliers"))
 
@@ -479,7 +479,7 @@ def _(spark, sf):
     return ranking.competition_rank(sums, "quantity").select("l_partkey", "quantity", "rank", "ties")
 
 
-@query("w13_target_order", TRADE + """ SELECT v AS m, (row_number() OVER (ORDER BY CASE class WHEN 'REGION_1' THEN 0 WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END, v) - 1)::INTEGER AS rank FROM vertices WHERE role = 'M'""")
+@query("w13_target_order", TRADE + """ SELECT v AS m, (row_number() OVER (ORDER BY CASE class WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END, v) - 1)::INTEGER AS rank FROM vertices WHERE role = 'M'""")
 def _(spark, sf):
     from fraygraph.operators.knockout import target_order
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fraygraph.operators.curves import restore_fractions
-from fraygraph.operators.graph_build import aggregate_edges, label_connections, require_labelled
+from fraygraph.session import store
 
 CONNECTION_SCHEMA = T.StructType([T.StructField("pre", T.LongType()), T.StructField("post", T.LongType()), T.StructField("weight", T.LongType())])
 CURVE_SCHEMA = "strategy string, trial int, batch int, fraction_removed double, flow long, reachable_pairs long, avalanche long"
@@ -83,8 +83,24 @@ def ingest_chunks(spark: SparkSession, path: str, schema, expected: int | None =
 
 
 def ingest_edges(connections: DataFrame, labelings: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Edges at several label granularities from one connection table; partial and final sums are Spark's."""
-    return {name: aggregate_edges(require_labelled(label_connections(connections, labels))) for name, labels in labelings.items()}
+    """(src, dst, weight, n) at several label granularities from one reading of the connection table.
+
+    Both ends get all their labels in one join each; the sums per combination of labels are stored and rolled up per level.
+    A connection end without a label at some level fails the job.
+    """
+    levels = list(labelings)
+    labels = None
+    for level, table in labelings.items():
+        own = table.select("entity", F.col("label").alias(level))
+        labels = own if labels is None else labels.join(own, "entity", "full")
+    ends = {side: labels.toDF(end, *[f"{side}_{level}" for level in levels]) for side, end in (("src", "pre"), ("dst", "post"))}
+    labelled = connections.join(ends["src"], "pre", "left").join(ends["dst"], "post", "left")
+    missing = F.raise_error(F.lit("connection end without a label"))
+    columns = [f"{side}_{level}" for side in ends for level in levels]
+    labelled = labelled.select("weight", *[F.coalesce(c, missing).alias(c) for c in columns])
+    finest = store(labelled.groupBy(*columns).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")))
+    sums = [F.sum("weight").alias("weight"), F.sum("n").alias("n")]
+    return {level: finest.groupBy(F.col(f"src_{level}").alias("src"), F.col(f"dst_{level}").alias("dst")).agg(*sums) for level in levels}
 
 
 def run_missing(planned: DataFrame, store: str, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
