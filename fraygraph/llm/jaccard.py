@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles (64-bit hashes); documents with equal sets are one node. The join gives
 the connected components of all links, not the links themselves, so groups of near copies never become lists of pairs.
 
-1. *Groups.* Nodes are dealt to similar groups by min-hashes. A group is cut into blocks of about ``BLOCK`` nodes; a block is
+1. *Groups.* Nodes are dealt to similar groups by min-hashes: two of the whole set, so that copies of a text held by many
+   meet, and one of its rarer shingles, so that documents with a common passage meet by what else they hold. A group is cut into blocks of about ``BLOCK`` nodes; a block is
    compared exactly at once by products of its node-shingle matrix, together with a few pivots of its group that tie the
    blocks of a large group. Components of these links are the groups of the matrix.
 2. *Token-group matrix.* Its cells are the distinct (shingle, group) of the prefix shingles of all members: linked nodes share
@@ -87,7 +88,7 @@ def common_shingles(documents: DataFrame, most: int = COMMON) -> np.ndarray:
     return np.array([r.shingle for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-NODES = "doc_id long, text_key long, text_bytes int, n_shingles long, node binary, key1 long, key2 long, commonness double, prefix binary, bins binary"
+NODES = "doc_id long, text_key long, text_bytes int, n_shingles long, node binary, key1 long, key2 long, key3 long, commonness double, prefix binary, bins binary"
 
 
 def describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
@@ -98,7 +99,7 @@ def describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
     def one(shingles: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> tuple:
         n = len(shingles)
         if not n:
-            return n, None, None, None, 0.0, b"", b""
+            return n, None, None, None, None, 0.0, b"", b""
         rank = np.zeros(n, np.int64)
         if len(hashes):
             at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
@@ -106,8 +107,8 @@ def describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
             rank[found] = places[at[found]] + 1
         rare = shingles[rank == 0]
         keys = []
-        for salt in (1, 2):
-            mixed = ((rare if len(rare) else shingles) ^ np.uint64(salt * 0x9E3779B1)) * PRIME
+        for salt, own in ((1, shingles), (2, shingles), (3, rare if len(rare) else shingles)):
+            mixed = (own ^ np.uint64(salt * 0x9E3779B1)) * PRIME
             keys.append(int(np.min(mixed ^ (mixed >> np.uint64(31))).view(np.int64)))
         first = n - needed(n) + 1
         prefix = rare[:first]
@@ -120,7 +121,7 @@ def describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
         hashes, places = shared.value
         for batch in batches:
             rows = [one(shingle_set(text), hashes, places) for text in batch.column(1).to_pylist()]
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=[c.split()[0] for c in NODES.split(", ")])
 
@@ -210,7 +211,7 @@ def block_links(members: DataFrame) -> DataFrame:
 
 def similar_groups(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """Links found inside groups of equal min-hash key, in blocks that share pivots."""
-    keyed = nodes.select("node", "text_key", "text_bytes", "commonness", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"key{i}").alias("k")) for i in (1, 2)])).alias("key"))
+    keyed = nodes.select("node", "text_key", "text_bytes", "commonness", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"key{i}").alias("k")) for i in (1, 2, 3)])).alias("key"))
     keyed = keyed.select("node", "text_key", "text_bytes", "commonness", F.xxhash64("key.i", "key.k").alias("key"))
     own = F.struct("node", "text_key", "text_bytes")
     draws = [F.xxhash64(F.lit(i), "node") for i in (1, 2)]
@@ -405,9 +406,9 @@ def _joined(documents: DataFrame) -> DataFrame:
     some = described.filter("n_shingles > 0")
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "text_bytes")
     classes = some.groupBy("node").agg(
-        F.min(row).alias("first"), F.max("n_shingles").alias("n_shingles"), F.min("key1").alias("key1"), F.min("key2").alias("key2"), F.max("commonness").alias("commonness")
+        F.min(row).alias("first"), F.max("n_shingles").alias("n_shingles"), F.min("key1").alias("key1"), F.min("key2").alias("key2"), F.min("key3").alias("key3"), F.max("commonness").alias("commonness")
     )
-    nodes = store(classes.select("node", "first", "first.text_key", "first.text_bytes", "n_shingles", "key1", "key2", "commonness"))
+    nodes = store(classes.select("node", "first", "first.text_key", "first.text_bytes", "n_shingles", "key1", "key2", "key3", "commonness"))
 
     small = hint_small(components(store(similar_groups(nodes, documents))).toDF("node", "_label"))
     label = F.coalesce("_label", "node").alias("label")
