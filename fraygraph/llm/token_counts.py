@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fraygraph.llm.tables import query, read, with_arrow
 from fraygraph.llm.token_output import SLICE, tokenizer_file
-from fraygraph.llm.tokens import TokenIds
+from fraygraph.llm.tokens import worker_ids
 from fraygraph.session import hint_small
 
 BLOCK = 4096
@@ -23,14 +23,11 @@ BLOCK = 4096
 
 def with_lengths(documents: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``documents`` plus n_tokens, without an end id."""
-    kept: list[TokenIds] = []
-
     def run(texts):
-        if not kept:
-            kept.append(TokenIds(tokenizer or tokenizer_file()))
+        ids = worker_ids(tokenizer or tokenizer_file())
         lengths = []
         for i in range(0, len(texts), SLICE):
-            lengths += [len(c) // 4 for c in kept[0].encode([t or "" for t in texts[i : i + SLICE]])]
+            lengths += [len(c) // 4 for c in ids.encode([t or "" for t in texts[i : i + SLICE]])]
         return {"n_tokens": lengths}
 
     return with_arrow(documents, [text], "n_tokens long", run)

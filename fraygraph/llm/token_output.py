@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fraygraph.llm import simple8b
 from fraygraph.llm.tables import query, read
-from fraygraph.llm.tokens import TokenIds
+from fraygraph.llm.tokens import worker_ids
 from fraygraph.session import checkpoint_folder, hint_small
 
 END_ID = 2
@@ -40,7 +40,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 def encoded_slices(batches, tokenizer: str | None):
     """(doc_ids, coded texts) in slices of a bounded number of documents."""
-    ids = TokenIds(tokenizer or tokenizer_file())
+    ids = worker_ids(tokenizer or tokenizer_file())
     for batch in batches:
         for i in range(0, batch.num_rows, SLICE):
             part = batch.slice(i, SLICE)

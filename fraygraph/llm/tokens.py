@@ -134,3 +134,16 @@ class TokenIds:
         for k, end in zip(run, ends):
             found[k] = b"".join(coded[start:end])
             start = end
+
+
+def worker_ids(path: str) -> TokenIds:
+    """The encoder of this worker process for ``path``; later tasks of the process find it loaded and its cache filled.
+
+    Functions that travel by value get new globals in every task, so it is kept on a module that the process imports once.
+    """
+    import tokenizers
+
+    kept = getattr(tokenizers, "fraygraph_ids", None)
+    if kept is None or kept[0] != path:
+        kept = tokenizers.fraygraph_ids = (path, TokenIds(path))
+    return kept[1]
