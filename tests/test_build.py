@@ -215,3 +215,9 @@ def test_rewiring_keeps_degrees(spark):
 def test_rounding(spark):
     row = spark.range(1).select(scalars.significant(F.lit(0.00123456), 3).alias("a"), scalars.rounded(F.lit(float("nan")), 2).alias("b")).first()
     assert row["a"] == pytest.approx(0.00123) and row["b"] is None
+
+
+def test_favoured_models(spark):
+    rows = spark.createDataFrame([(-2.0, 0.01), (2.0, 0.01), (2.0, 0.5), (0.0, 0.0)], "r double, p double")
+    got = [r["f"] for r in rows.select(scalars.favoured(F.col("r"), F.col("p")).alias("f")).collect()]
+    assert got == ["alternative", "power_law", "undecided", "undecided"]
