@@ -4,8 +4,13 @@ A document has two histograms: shares of its characters by class, and shares of
 language (all others in one bin). References are learned from the whole corpus: per language the mean of its documents'
 histograms, over the ``COMMON`` words of at most ``SHORT`` bytes that most documents hold. Means are sums of integers, so
 they do not depend on how rows are dealt. The distance is Jensen-Shannon (square root of the divergence, base 2, 0 to 1).
-A document is compared with the reference of its language; with the nearest one if it has none. A histogram of fewer than
-``LEAST_CHARACTERS`` or ``LEAST_WORDS`` is too rough to judge and never rejects.
+A document is compared with the reference of its language; with the nearest one if it has none. A text of fewer than
+``LEAST_CHARACTERS`` bytes is too rough to judge and never rejected for a distance; the word distance needs ``LEAST_JUDGED`` words.
+
+Both distances are judged together: their sum may lie ``SPREADS`` times the way from the tenth percentile to the median above
+the median, among the different sums of texts of the same reference and the same power of two of words (short texts are
+farther from any reference). Only the lower half sets the bound, so up to about a third of junk hardly moves it. Groups of fewer than
+``LEAST_GROUP`` different sums have the fixed bound ``MOST_DISTANCE`` from ``LEAST_WORDS`` words on. No distance may exceed its own maximum.
 
 References are kept for the ``LANGUAGES`` languages with most documents; other languages count as having none.
 
@@ -32,6 +37,12 @@ SHORT = 5
 LANGUAGES = 200
 LEAST_CHARACTERS = 200
 LEAST_WORDS = 60
+LEAST_JUDGED = 30
+LEAST_GROUP = 30
+SPREADS = 3
+LEAST_SPREAD = 0.02
+BINS = 1000
+MOST_DISTANCE = 0.5
 MOST_CLASS_DISTANCE = 0.32
 MOST_WORD_DISTANCE = 0.45
 SCALE = 1 << 30
@@ -107,6 +118,7 @@ class Reference:
         self.classes = classes
         self.words = {w: i for i, w in enumerate(words)}
         self.shares = np.array([*shares, max(0.0, 1 - sum(shares))])
+        self.bounds: dict[int, float] = {}
 
     def distances(self, classes: np.ndarray, words: Counter, n_words: int) -> tuple[float, float]:
         own = np.zeros(len(self.shares))
@@ -116,6 +128,56 @@ class Reference:
         return distance(classes, self.classes), distance(own, self.shares)
 
 
+def size_class(n_words: int) -> int:
+    """The power of two of the words of a text; all texts from 1,024 words on are one class."""
+    return min(10, n_words.bit_length() - 1)
+
+
+def compare(data: bytes, words: list[bytes], lang: str | None, references: dict[str | None, Reference]) -> tuple | None:
+    """(language of the reference, class distance, word distance or None) of a text; None if it is not compared."""
+    if not references or len(data) < LEAST_CHARACTERS:
+        return None
+    names = [lang] if lang is not None and lang in references else list(references)
+    classes, counts, n = class_shares(data), Counter(words), max(1, len(words))
+    found = [(*references[k].distances(classes, counts, n), k) for k in names]
+    of_class, of_words, name = min(found, key=lambda f: f[0] + f[1])
+    return name, of_class, of_words if len(words) >= LEAST_JUDGED else None
+
+
+def learn_bounds(documents: DataFrame, references: dict[str | None, Reference]) -> None:
+    """Set the bounds of ``references`` by size class, from the different sums of distances of ``documents``."""
+
+    def run(batches):
+        for batch in batches:
+            rows = set()
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = alphanumeric_words(text)
+                if len(words) < LEAST_JUDGED:
+                    continue
+                if found := compare((text or "").encode(), words, lang, references):
+                    rows.add((found[0], size_class(len(words)), round((found[1] + found[2]) * SCALE)))
+            kinds = (pa.string(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, kinds)], names=["lang", "size", "sum"])
+
+    # Copies have equal sums and count once, else the copies of one text would set the bound of all.
+    sums = documents.select("text", "lang").mapInArrow(run, "lang string, size int, sum long").distinct()
+    bins = sums.groupBy("lang", "size", F.floor(F.col("sum") * BINS / SCALE).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("lang", "size")  # at most 2 * BINS rows
+    bins = bins.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
+    at = [F.min(F.when(F.col("below") >= F.col("total") * share, F.col("bin"))).alias(name) for share, name in ((0.1, "low"), (0.5, "middle"))]
+    for r in bins.filter(F.col("total") >= LEAST_GROUP).groupBy("lang", "size").agg(*at).collect():
+        references[r.lang].bounds[r.size] = (r.middle + 1) / BINS + SPREADS * max(LEAST_SPREAD, (r.middle - r.low) / BINS)
+
+
+def too_far(of_class: float | None, of_words: float | None, n_words: int, bounds: dict[int, float]) -> bool:
+    if (of_class or 0) > MOST_CLASS_DISTANCE or (of_words or 0) > MOST_WORD_DISTANCE:
+        return True
+    if of_class is None or of_words is None:
+        return False
+    bound = bounds.get(size_class(n_words), MOST_DISTANCE if n_words >= LEAST_WORDS else None)
+    return bound is not None and of_class + of_words > bound
+
+
 def learn_references(documents: DataFrame) -> dict[str | None, Reference]:
     """References by language (at most ``LANGUAGES``) and, under None, of all documents; a small table of shares."""
     sums = store(reference_sums(documents)).withColumn("is_class", F.substring("key", 1, 1) == F.lit(b"\0"))
@@ -142,6 +204,8 @@ def learn_references(documents: DataFrame) -> dict[str | None, Reference]:
                 words.append(bytes(r.key))
                 shares.append(share)
         found[lang] = Reference(classes / max(classes.sum(), 1e-12), words, shares)
+    if found:
+        learn_bounds(documents, found)
     return found
 
 
@@ -174,16 +238,9 @@ def judge(documents: DataFrame, references: dict[str | None, Reference]) -> Data
             blanks = len(data) - len(data.translate(None, BLANKS))
             symbols = len(data) - len(data.translate(None, SYMBOLS))
             base_failed = len(words) < 10 or 100 * repeats > 20 * len(words)
-            of_class = of_words = None
-            compared = [references[lang]] if lang is not None and lang in references else list(references.values())
             normal = alphanumeric_words(text)
-            if compared and len(data) >= LEAST_CHARACTERS:
-                classes, counts = class_shares(data), Counter(normal)
-                pairs = [r.distances(classes, counts, max(1, len(normal))) for r in compared]
-                of_class, of_words = min(pairs, key=sum)
-                if len(normal) < LEAST_WORDS:
-                    of_words = None
-            far = (of_class or 0) > MOST_CLASS_DISTANCE or (of_words or 0) > MOST_WORD_DISTANCE
+            name, of_class, of_words = compare(data, normal, lang, references) or (None, None, None)
+            far = of_class is not None and too_far(of_class, of_words, len(normal), references[name].bounds)
             rows.append((
                 len(words), len(text or "") - blanks, symbols, len(lines) - len(set(lines)), repeats, of_class, of_words,
                 base_failed, not base_failed and not far,
