@@ -24,3 +24,37 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 ]
+
+_BSD = next(t for n, t in TEMPLATES if n == "BSD-2-Clause")
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_NEITHER = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+
+
+def _notice(kind: str, licence: str, version: str) -> str:
+    """The usual three paragraphs of a GNU notice."""
+    return (
+        f"This {kind} is free software; you can redistribute it and/or modify it under the terms of the GNU {licence} as published by the Free "
+        f"Software Foundation; either version {version} of the License, or (at your option) any later version. This {kind} is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        f"See the GNU {licence} for more details. You should have received a copy of the GNU {licence} along with this {kind}; if not, write to the "
+        "Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+    )
+
+
+# Whole texts of licences of which ``TEMPLATES`` has the beginning only; not known to the SQL twin.
+COMPLETE = [
+    ("BSD-2-Clause", f"{_BSD} {_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{_BSD} {_NEITHER} {_DISCLAIMER}"),
+    ("GPL-2.0", _notice("program", "General Public License", "2")),
+    ("LGPL-2.1", _notice("library", "Lesser General Public License", "2.1")),
+]

@@ -2,8 +2,12 @@
 
 Compared are the whole text, its paragraphs and its lines. A unit of n words has at most n - 1 distinct bigrams, and a Dice
 coefficient of at least ``DICE`` bounds how much smaller or larger than a template it may be; units outside the bounds of all
-templates fall out before any comparison, the others meet only the templates whose bounds hold. All of it happens inside the
-row: no shuffle, no join.
+templates fall out before any comparison, the others meet only the templates whose bounds hold.
+
+Compared are also runs of words across lines and paragraphs, so a licence of several paragraphs or inside a line of a longer
+text is found: runs that begin with a bigram of the template and have its length, or another of ``LENGTHS`` times it. A text
+without the bigrams that the least Dice coefficient needs has no such run and is not searched. All of it happens inside the row: no shuffle,
+no join. The SQL twin has neither the runs nor the templates of ``COMPLETE``: it is equal where no licence needs them.
 
 Nulls and odd input: a null, empty or wordless text matches nothing; units of one word have no bigrams and match nothing;
 repeated rows are scanned each; an empty table gives no rows. Equal best coefficients go to the licence first in order.
@@ -17,10 +21,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraygraph.llm.licence_texts import TEMPLATES
+from fraygraph.llm.licence_texts import COMPLETE, TEMPLATES
 from fraygraph.llm.tables import query, read
 
 DICE = 0.8
+# Lengths of runs by that of the template; short templates leave too little to tell from a part of them.
+LONG = 20
+LENGTHS = {False: (1.0, 1.25), True: (0.7, 0.85, 1.0, 1.2, 1.45)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PARAGRAPH = r"\n[ \t\r]*\n"
@@ -44,7 +51,11 @@ def words_of(unit: Column) -> Column:
     return F.regexp_extract_all(F.translate(unit, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def scan_licences(documents: DataFrame, templates=TEMPLATES, dice: float = DICE, text: str = "text") -> DataFrame:
+def pairs_of(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def scan_licences(documents: DataFrame, templates=(*TEMPLATES, *COMPLETE), dice: float = DICE, text: str = "text") -> DataFrame:
     """``documents`` plus licence and dice of the best match (null without one) and licences, all matches in order."""
     known = template_bigrams(templates)
     least = min(bounds(len(b), dice)[0] for _, b in known)
@@ -54,7 +65,10 @@ def scan_licences(documents: DataFrame, templates=TEMPLATES, dice: float = DICE,
     paragraphs = F.when(whole.rlike(PARAGRAPH), F.split(whole, PARAGRAPH, -1)).otherwise(F.array(whole))
     units = F.array_distinct(F.concat(F.array(whole), paragraphs, lines))
     words = F.filter(F.transform(F.filter(units, lambda u: F.length(u) >= 2 * least), words_of), lambda w: F.size(w) - 1 >= least)
-    pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
+    pairs = F.transform(words, lambda w: F.array_distinct(pairs_of(w)))
+    of_text = words_of(whole)
+    of_text = F.when(F.size(of_text) > 1, pairs_of(of_text)).otherwise(F.array().cast("array<string>"))
+    of_templates = F.array(*[F.lit(b) for b in sorted({b for _, own in known for b in own})])
     candidates = F.filter(pairs, lambda b: (F.size(b) >= least) & (F.size(b) <= most))
 
     def against(name: str, bigrams: list[str]) -> Column:
@@ -66,12 +80,21 @@ def scan_licences(documents: DataFrame, templates=TEMPLATES, dice: float = DICE,
             shared = 2.0 * F.size(F.array_intersect(b, own)) / (F.size(b) + F.lit(size))
             return F.when((F.size(b) >= low) & (F.size(b) <= high), shared)
 
-        best = F.array_max(F.transform(F.col("_candidates"), value))
+        def run(start: Column) -> Column:
+            lengths = sorted({max(1, round(len(bigrams) * x)) for x in LENGTHS[len(bigrams) >= LONG]})
+            runs = F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.array_distinct(F.slice("_pairs", start, n)))
+            return F.array_max(F.transform(runs, value))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size("_pairs")), lambda i: F.array_contains(own, F.element_at("_pairs", i)))
+        enough = F.size(F.array_intersect("_shared", own)) >= low
+        in_runs = F.when(enough, F.array_max(F.transform(starts, run)))
+        best = F.greatest(F.array_max(F.transform(F.col("_candidates"), value)), in_runs)
         return F.when(best >= dice, F.struct((-best).alias("rank"), F.lit(name).alias("licence")))
 
     kept = [c for c in documents.columns if c not in ("licence", "dice", "licences")]
-    opened = documents.withColumn("_candidates", candidates)
-    matches = F.when(F.size("_candidates") > 0, F.array_sort(F.array_compact(F.array(*[against(n, b) for n, b in known]))))
+    opened = documents.withColumn("_candidates", candidates).withColumn("_pairs", of_text)
+    opened = opened.withColumn("_shared", F.array_intersect("_pairs", of_templates))
+    matches = F.when((F.size("_candidates") > 0) | (F.size("_shared") >= least), F.array_sort(F.array_compact(F.array(*[against(n, b) for n, b in known]))))
     found = opened.withColumn("_matches", F.coalesce(matches, F.array().cast("array<struct<rank:double,licence:string>>")))
     best = F.try_element_at("_matches", F.lit(1))
     names = F.array_sort(F.array_distinct(F.transform("_matches", lambda m: m["licence"])))
@@ -79,7 +102,7 @@ def scan_licences(documents: DataFrame, templates=TEMPLATES, dice: float = DICE,
 
 
 def _values() -> str:
-    rows = [f"({i}, '{name}', '{bigram}')" for i, (name, bigrams) in enumerate(template_bigrams()) for bigram in bigrams]
+    rows = [f"({i}, '{name}', '{bigram}')" for i, (name, bigrams) in enumerate(template_bigrams(TEMPLATES)) for bigram in bigrams]
     return ", ".join(rows)
 
 
