@@ -5,8 +5,8 @@ assistant and the others as users with their names, and a mask names the charact
 turns with their end mark.
 
 A conversation is rendered in parts of ``PART`` turn numbers, so a long one is never in one task or one text; the parts of a
-perspective in order are the whole rendering. A part with more than ``ROWS`` rows (repeated turn numbers) is split further by
-a hash of its rows.
+perspective in order are the whole rendering. A part with more than ``ROWS`` rows (repeated turn numbers) is split further
+into subparts of ``ROWS`` rows in the order of its turns; the subparts in order are the part.
 
 Nulls and odd input: turns sort by number (nulls first, in a part of their own), role and text; a null text is empty; a null
 role is a user named ``unknown`` without a perspective; rows with a null conv_id are one conversation; repeated turns are
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraygraph.llm.tables import query, read
+from fraygraph.operators.ranking import number_within
 from fraygraph.session import hint_small
 
 PART = 64
@@ -60,10 +61,11 @@ def rotate(conversations: DataFrame) -> DataFrame:
     part = F.floor(F.col("turn") / PART)
     rows = conversations.select("conv_id", "turn", "role", "text", part.alias("part"))
     crowded = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ROWS)
-    crowded = hint_small(crowded.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.ceil(F.col("n") / ROWS).alias("_subparts")))
+    crowded = hint_small(crowded.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part")))
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part"))
-    subpart = F.coalesce(F.pmod(F.xxhash64("role", "text"), F.col("_subparts")), F.lit(0)).cast("int")
-    rows = rows.join(crowded, same, "left").withColumn("subpart", subpart)
+    numbered = number_within(rows.join(crowded, same, "left_semi"), ["conv_id", "part"], ["turn", "role", "text"], "_n")
+    numbered = numbered.withColumn("subpart", F.floor((F.col("_n") - 1) / ROWS).cast("int")).drop("_n")
+    rows = rows.join(crowded, same, "left_anti").withColumn("subpart", F.lit(0)).unionByName(numbered)
     turn = F.struct("turn", "role", "text")
     parts = rows.groupBy("conv_id", "part", "subpart").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
@@ -81,6 +83,20 @@ def rotate(conversations: DataFrame) -> DataFrame:
     return alone.unionByName(shared).select("conv_id", "speaker", "part", "subpart", F.size("turns").alias("n_turns"), text.alias("text"), mask.alias("mask"))
 
 
+def whole_parts(rotated: DataFrame) -> DataFrame:
+    """The rows of ``rotate`` with the subparts of a part put together in order: (conv_id, speaker, part, n_turns, text, mask)."""
+    piece = F.struct("subpart", "n_turns", "text", "mask")
+    found = rotated.groupBy("conv_id", "speaker", "part").agg(F.sum("n_turns").cast("int").alias("n_turns"), F.sort_array(F.collect_list(piece)).alias("_pieces"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
+
+    def step(state: Column, p: Column) -> Column:
+        moved = F.transform(p["mask"], lambda m: F.struct((m["start"] + state["at"]).alias("start"), (m["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + F.length(p["text"])).alias("at"), F.concat(state["mask"], moved).alias("mask"))
+
+    text = F.array_join(F.transform("_pieces", lambda p: p["text"]), "")
+    return found.select("conv_id", "speaker", "part", "n_turns", text.alias("text"), F.aggregate("_pieces", start, step)["mask"].alias("mask"))
+
+
 @query("op6_perspective_rotation", r"""
 WITH t AS (SELECT conv_id, turn // 64 AS part, role, text, row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn, role, text) AS k FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
@@ -92,6 +108,6 @@ SELECT conv_id, speaker, part::BIGINT AS part, count(*)::INT AS n_turns, string_
        coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY k) FILTER (own), '') AS mask
 FROM y GROUP BY conv_id, speaker, part""")
 def _(spark, sf):
-    found = rotate(read(spark, sf, "conversations"))
+    found = whole_parts(rotate(read(spark, sf, "conversations")))
     ranges = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string")))
     return found.select("conv_id", "speaker", "part", "n_turns", "text", F.array_join(ranges, ",").alias("mask"))
