@@ -28,6 +28,17 @@ def read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes for ``df`` to have no such column, in any case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def with_arrow(df: DataFrame, read_columns: list[str], added: str, function: Callable[..., dict[str, list]]) -> DataFrame:
     """``df`` with the columns of the DDL ``added``, computed from the values of some columns batch by batch.
 

@@ -1,5 +1,6 @@
 """Licences of several paragraphs, inside longer texts and inside lines."""
 
+import random
 import re
 
 from llm.data import frame, prose
@@ -30,3 +31,67 @@ def test_licences_across_paragraphs_and_inside_lines(spark):
     rows = [(i, cases[n], "en", "a", 0, "", "") for i, n in enumerate(names)]
     found = {names[r.doc_id]: r.licence for r in licences.scan_licences(frame(spark, rows)).collect()}
     assert found == {n: n for n in names}
+
+
+def edited_licence(r, words, share):
+    """Words replaced, put in or cut out."""
+    made = []
+    for word in words:
+        kind = r.random()
+        if kind < share / 3:
+            made.append(f"q{r.randrange(999)}")
+        elif kind < 2 * share / 3:
+            made += [word, f"z{r.randrange(999)}"]
+        elif kind >= share:
+            made.append(word)
+    return made
+
+
+def best_run(words, bigrams):
+    """Largest Dice coefficient of any run of at least the length of a short template, of distinct bigrams."""
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    own, best = set(bigrams), 0.0
+    for i, first in enumerate(pairs):
+        if first not in own:
+            continue
+        run, shared = set(), 0
+        for j in range(i, min(len(pairs), i + 3 * len(own))):
+            if pairs[j] not in run:
+                run.add(pairs[j])
+                shared += pairs[j] in own
+            if len(own) >= licences.LONG or j - i + 1 >= len(own):
+                best = max(best, 2 * shared / (len(run) + len(own)))
+    return best
+
+
+def test_recall_against_runs_of_any_length(spark):
+    """Every template, edited at several rates, inside prose: what any run reaches is found, with the same coefficient."""
+    r = random.Random(4)
+    rows, wanted, lower = [], {}, str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    known = licences.template_bigrams((*TEMPLATES, *COMPLETE))
+    for (name, text), (_, bigrams) in zip((*TEMPLATES, *COMPLETE), known):
+        for k in range(14):
+            body = edited_licence(r, text.split(), [0, 0.03, 0.06, 0.1, 0.13][k % 5])
+            whole = " ".join([prose(r.randrange(999), r.randrange(5, 90)), *body, prose(r.randrange(999), r.randrange(5, 90))])
+            best = best_run(re.findall("[0-9a-z\x80-\U0010ffff]+", whole.translate(lower)), bigrams)
+            if best >= licences.DICE:
+                wanted[len(rows)] = (name, len(bigrams) >= licences.LONG)
+            rows.append((len(rows), whole, "en", "a", 0, "", ""))
+    found = {x.doc_id: x.licences for x in licences.scan_licences(frame(spark, rows)).collect()}
+    for is_long in (True, False):
+        asked = [i for i, (_, kind) in wanted.items() if kind == is_long]
+        caught = sum(wanted[i][0] in found[i] for i in asked)
+        assert len(asked) > 40 and caught >= 0.98 * len(asked), (is_long, caught, len(asked))
+
+
+def test_key_words_leave_too_little(spark):
+    for _, bigrams in licences.template_bigrams((*TEMPLATES, *COMPLETE)):
+        keys = licences.key_words(bigrams)
+        assert sum(not keys & set(b.split(" ")) for b in bigrams) < licences.bounds(len(bigrams))[0]
+
+
+def test_columns_of_the_caller_stay(spark):
+    names = ["words", "pairs", "units", "shared", "matches", "_words", "_pairs", "_matches"]
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", *names), (2, None, *names)], ["doc_id", "text", *names])
+    for row in licences.scan_licences(docs).collect():
+        assert [row[n] for n in names] == names and row.licence == ("MIT" if row.doc_id == 1 else None)
