@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fraygraph.llm.tables import query, read, with_arrow
 from fraygraph.llm.token_output import SLICE, tokenizer_file
 from fraygraph.llm.tokens import worker_ids
-from fraygraph.session import hint_small
+from fraygraph.session import hint_small, store
 
 BLOCK = 4096
 
@@ -40,6 +40,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """Per distinct length: docs_at_least and tokens_at_least (suffix sums), docs, tokens (totals of all documents),
     truncated_total (tokens if every document is cut to this length) and quantile (share of documents not longer)."""
+    histogram = store(histogram)  # read several times below, encoded once
     blocked = histogram.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
     later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)  # a row per 4,096 lengths
     everything = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
