@@ -1,8 +1,8 @@
-"""Exact token ids of the `tokenizers` library at a fraction of its cost: repeated stretches of text are encoded once.
+"""Exact token ids of the `tokenizers` library at a fraction of its cost: repeated pieces of text are encoded once.
 
-Byte-level BPE first cuts a text into pieces by a pattern and then encodes every piece alone. A cut before a blank falls on a
-piece border unless the blank stands between white space, so such texts are cut at their blanks, each stretch is looked up in
-a bounded cache, and only unseen pieces go through the library, joined to longer texts. Other texts go through it whole.
+Byte-level BPE first cuts a text into pieces by a pattern and then encodes every piece alone. Texts whose letters the pattern
+here knows are cut the same way, each piece is looked up in a bounded cache, and only unseen pieces go through the library,
+joined to longer texts. Other texts go through it whole.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ import gc
 import json
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
 # Letters that the fast path knows: those of ASCII, Latin-1 and Latin Extended A and B.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(f"[^\t-\r -~{LETTERS}]")
-TIGHT = re.compile(r"\s \s|\s \Z")
-LOOSE = tuple(" " + c for c in " \t\n\v\f\r")
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+")
 # The pattern of a ByteLevel pre-tokenizer without prefix blank is the one that PIECES follows.
 FORMAT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -26,15 +26,10 @@ JOINED = 200
 RUN_CHARACTERS = 500_000
 
 
-def _tight(text: str) -> bool:
-    """Whether a blank stands between white space, or between white space and the end."""
-    return (text.endswith(" ") or any(x in text for x in LOOSE)) and TIGHT.search(text) is not None
-
-
 class TokenIds:
     """Encodes texts to little-endian 32-bit ids; ``path`` is a tokenizer file of the `tokenizers` library."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,38 +49,34 @@ class TokenIds:
         self.special = [x["content"] for x in described.get("added_tokens") or []]
         self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.feed = self.tokenizer.get_vocab().get("Ċ")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
     def _learn(self, pieces: list[str]) -> None:
-        worded = [p for p in pieces if len(p) > 1 and p[0] == " " and p[1].isalpha()]
+        """Give unseen pieces their ids. Words are joined to long texts and the ids cut again: words behind a blank where an id
+        opens with one, bare words at the line feeds set between them."""
         known = self.known
-        for i in range(0, len(worded), JOINED):
-            run = worded[i : i + JOINED]
-            coded = self._whole(["".join(run)])[0]
-            starts = np.flatnonzero(self.opens[np.frombuffer(coded, "<u4")])
-            if len(starts) == len(run):  # else a piece has an inner id that starts with a blank
-                edges = (starts * 4).tolist()
-                known.update(zip(run, [coded[a:b] for a, b in zip(edges, [*edges[1:], len(coded)])]))
+        behind = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        for joint, worded in (("", behind), ("\n", [p for p in pieces if self.feed is not None and p.isalpha()])):
+            for i in range(0, len(worded), JOINED):
+                run = worded[i : i + JOINED]
+                coded = np.asarray(self.tokenizer.encode_batch_fast([joint.join(run)], add_special_tokens=False)[0].ids, "<u4")
+                borders = np.flatnonzero(coded == self.feed if joint else self.opens[coded])
+                if len(borders) + bool(joint) == len(run):  # else a piece has a border inside
+                    data = coded.tobytes()
+                    starts = [0, *(4 * borders + 4).tolist()] if joint else (4 * borders).tolist()
+                    ends = [*(4 * borders).tolist(), len(data)] if joint else [*starts[1:], len(data)]
+                    known.update(zip(run, [data[a:b] for a, b in zip(starts, ends)]))
         rest = [p for p in pieces if p not in known]
         known.update(zip(rest, self._whole(rest)))
 
     def _meet(self, missing: set[str]) -> None:
-        """Give stretches that are not in the newer cache their ids, from the older cache or piece by piece."""
-        known, older, new = self.known, self.older, []
-        for chunk in missing:
-            coded = older.get(chunk)
-            if coded is None:
-                new.append(chunk)
-            else:
-                known[chunk] = coded
-        # A blank and letters are one piece; other stretches are cut.
-        mixed = [c for c in new if c[:1] != " " or not c[1:].isalpha()]
-        cut = list(map(PIECES.findall, mixed))
-        unseen = []
-        for piece in set(new).difference(mixed).union(*cut).difference(known):
+        """Give pieces that are not in the newer cache their ids, from the older cache or the library."""
+        known, older, unseen = self.known, self.older, []
+        for piece in missing:
             coded = older.get(piece)
             if coded is None:
                 unseen.append(piece)
@@ -93,9 +84,6 @@ class TokenIds:
                 known[piece] = coded
         if unseen:
             self._learn(unseen)
-        for chunk, own in zip(mixed, cut):
-            if len(own) != 1:  # else the stretch is the piece
-                known[chunk] = b"".join([known[p] for p in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as bytes of little-endian unsigned 32-bit integers."""
@@ -103,7 +91,7 @@ class TokenIds:
         whole, run, length = [], [], 0
         gc.disable()  # the many small strings here hold no cycles, and looking for some takes time
         for k, text in enumerate(texts):
-            if not self.cuts or PLAIN.search(text) or _tight(text) or any(s in text for s in self.special):
+            if not self.cuts or PLAIN.search(text) or any(s in text for s in self.special):
                 whole.append(k)
                 continue
             run.append(k)
@@ -120,16 +108,16 @@ class TokenIds:
     def _encode_run(self, texts: list[str], run: list[int], found: list[bytes]) -> None:
         if len(self.known) > self.most:  # a full cache becomes the older one: what recurs stays, and memory is bounded
             self.older, self.known = self.known, {}
-        chunks, ends = [], []
+        pieces, ends = [], []
         for k in run:
-            chunks += texts[k].replace(" ", "\0 ").split("\0")
-            ends.append(len(chunks))
-        coded = list(map(self.known.get, chunks))
+            pieces += PIECES.findall(texts[k])
+            ends.append(len(pieces))
+        coded = list(map(self.known.get, pieces))
         gaps = [i for i, c in enumerate(coded) if c is None]
         if gaps:
-            self._meet({chunks[i] for i in gaps})
+            self._meet({pieces[i] for i in gaps})
             for i in gaps:
-                coded[i] = self.known[chunks[i]]
+                coded[i] = self.known[pieces[i]]
         start = 0
         for k, end in zip(run, ends):
             found[k] = b"".join(coded[start:end])
@@ -139,11 +127,10 @@ class TokenIds:
 def worker_ids(path: str) -> TokenIds:
     """The encoder of this worker process for ``path``; later tasks of the process find it loaded and its cache filled.
 
-    Functions that travel by value get new globals in every task, so it is kept on a module that the process imports once.
+    Functions that travel by value get new globals in every task, so it is kept on a module entered under a name of this
+    package, which the process keeps.
     """
-    import tokenizers
-
-    kept = getattr(tokenizers, "fraygraph_ids", None)
-    if kept is None or kept[0] != path:
-        kept = tokenizers.fraygraph_ids = (path, TokenIds(path))
-    return kept[1]
+    kept = sys.modules.setdefault("fraygraph_worker_ids", types.ModuleType("fraygraph_worker_ids"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.ids = path, TokenIds(path)
+    return kept.ids
