@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     df = spark.read.parquet(f"{sf}/{table}.parquet")
     return df.select(*columns) if columns else df
 
@@ -39,11 +41,29 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+# Rows and bytes of an Arrow batch: what a task holds of a table at once, in the JVM and again in its Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the Arrow limits of the session to ``BATCH_ROWS`` and ``BATCH_BYTES``; lower ones of the caller stay.
+
+    Whole texts pass through the operators here, and executors keep the memory that their largest batches once took.
+    """
+    conf, rows, size = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    own = re.fullmatch(r"(\d+)([kmgtp]?)b?", conf.get(size).lower())
+    if not own or not 0 < int(own[1]) * 1024 ** " kmgtp".index(own[2] or " ") <= BATCH_BYTES:
+        conf.set(size, f"{BATCH_BYTES}b")
+
+
 def with_arrow(df: DataFrame, read_columns: list[str], added: str, function: Callable[..., dict[str, list]]) -> DataFrame:
     """``df`` with the columns of the DDL ``added``, computed from the values of some columns batch by batch.
 
     Columns of ``df`` that have the name of an added one are replaced. Batches are bounded by Spark's Arrow limits.
     """
+    small_batches(df.sparkSession)
     new = T._parse_datatype_string(added)
     kept = [f for f in df.schema.fields if f.name not in new.names]
     schema = T.StructType([*kept, *new.fields])

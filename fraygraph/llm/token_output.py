@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fraygraph.llm import simple8b
-from fraygraph.llm.tables import query, read
+from fraygraph.llm.tables import query, read, small_batches
 from fraygraph.llm.tokens import worker_ids
 from fraygraph.session import checkpoint_folder, hint_small
 
@@ -49,6 +49,7 @@ def encoded_slices(batches, tokenizer: str | None):
 
 def write_ids(documents: DataFrame, path: str, end_id: int = END_ID, tokenizer: str | None = None) -> None:
     """Write the packed ids of ``documents`` (doc_id, text) below ``path``; ``tokenizer`` is a file every worker can open."""
+    small_batches(documents.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
