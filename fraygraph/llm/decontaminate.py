@@ -27,7 +27,7 @@ from fraygraph.llm.words import ALPHANUMERIC, alphanumeric_bytes, window_hashes,
 
 BLOCK_ROWS = 400_000
 WINDOW = 10
-MASK = np.uint64((1 << 20) - 1)
+LEAST_BITS, BITS_A_HASH = 1 << 20, 16
 RESULT = "n_words long, hit_words array<int>, item_ids array<long>"
 
 
@@ -67,8 +67,8 @@ def scan(documents: DataFrame, rows: list, text: str) -> DataFrame:
     seen = {}
     for length, found in by_length.items():
         sorted_hashes = np.unique(np.array(found, np.int64).view(np.uint64))
-        bits = np.zeros(int(MASK) + 1, bool)
-        bits[(sorted_hashes & MASK).astype(np.int64)] = True
+        bits = np.zeros(max(LEAST_BITS, 1 << (BITS_A_HASH * len(sorted_hashes) - 1).bit_length()), bool)
+        bits[(sorted_hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
         seen[length] = (np.packbits(bits), sorted_hashes)
     shared = documents.sparkSession.sparkContext.broadcast((items, seen))
 
@@ -84,8 +84,9 @@ def scan(documents: DataFrame, rows: list, text: str) -> DataFrame:
             hit, found = set(), set()
             for length, (_, known) in packed.items():
                 windows = window_hashes(hashes, length)
-                near = np.flatnonzero(run.bits[length][(windows & MASK).astype(np.int64)])
-                near = near[np.isin(windows[near], known)] if len(near) else near
+                bits = run.bits[length]
+                near = np.flatnonzero(bits[(windows & np.uint64(len(bits) - 1)).astype(np.int64)])
+                near = near[known[np.minimum(np.searchsorted(known, windows[near]), len(known) - 1)] == windows[near]]
                 for i in near.tolist():
                     own = b" ".join([data[a:b] for a, b in zip(starts[i : i + length], ends[i : i + length])])
                     ids = items.get(hashlib.sha256(own).digest())
