@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraygraph.llm.tables import query, read
+from fraygraph.llm.tables import query, read, unused
 from fraygraph.session import store
 
 LEAST, MOST = 16, 192
@@ -172,14 +172,15 @@ def find_repeats(documents: DataFrame) -> DataFrame:
 def cut_repeats(documents: DataFrame) -> DataFrame:
     """``documents`` with repeated stretches cut from their texts; what a document repeats stays in the first one."""
     columns = documents.columns
-    settled = store(documents.withColumn("_row", F.monotonically_increasing_id()))
-    found = find_repeats(settled).select(F.col("row").alias("_row"), F.col("repeated").alias("_repeated"))
-    joined = settled.join(found, "_row", "left")
+    row_, repeated_ = unused(documents, "row", "repeated")
+    settled = store(documents.withColumn(row_, F.monotonically_increasing_id()))
+    found = find_repeats(settled.select(F.col(row_).alias("_row"), "doc_id", "text")).select(F.col("row").alias(row_), F.col("repeated").alias(repeated_))
+    joined = settled.join(found, row_, "left")
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_repeated").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(repeated_).to_pylist()):
                 data, kept, at = (text or "").encode(), [], 0
                 for s in spans or []:
                     kept.append(data[at : s["start"]])

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraygraph.llm.components import components
-from fraygraph.llm.tables import query, read
+from fraygraph.llm.tables import query, read, unused
 from fraygraph.llm.words import PRIME, blank_bytes, window_hashes, word_hashes
 from fraygraph.session import hint_small, store
 
@@ -443,16 +443,17 @@ def keep_one(documents: DataFrame) -> DataFrame:
     found = store(_joined(documents))
     key = [F.col("doc_id"), F.col("text_key"), F.col("text_bytes")]
     is_first = key[0].eqNullSafe(F.col("first.doc_id")) & (key[1] == F.col("first.text_key")) & (key[2] == F.col("first.text_bytes"))
-    named = found.filter("n_shingles > 0").select(*[c.alias(f"_{i}") for i, c in enumerate(key)], is_first.alias("_is_first"))
-    dropped = hint_small(named.filter("NOT _is_first").drop("_is_first").distinct())
-    repeated = named.filter("_is_first").groupBy("_0", "_1", "_2").count().filter("count > 1").drop("count")
-    keyed = documents.withColumns({"_key": F.xxhash64("text"), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_0")) & (F.col("_key") == F.col("_1")) & (F.col("_bytes") == F.col("_2"))
+    id_, hash_, size_, key_, bytes_ = unused(documents, "of_id", "of_hash", "of_size", "key", "bytes")
+    named = found.filter("n_shingles > 0").select(*[c.alias(n) for n, c in zip((id_, hash_, size_), key)], is_first.alias("is_first"))
+    dropped = hint_small(named.filter("NOT is_first").drop("is_first").distinct())
+    repeated = named.filter("is_first").groupBy(id_, hash_, size_).count().filter("count > 1").drop("count")
+    keyed = documents.withColumns({key_: F.xxhash64("text"), bytes_: F.coalesce(F.octet_length("text"), F.lit(0))})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key_) == F.col(hash_)) & (F.col(bytes_) == F.col(size_))
     kept = keyed.join(dropped, same, "left_anti")
     if repeated.isEmpty():
         return kept.select(*documents.columns)
     repeated = hint_small(store(repeated))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_key", "_bytes"])
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", key_, bytes_])
     return kept.join(repeated, same, "left_anti").unionByName(once).select(*documents.columns)
 
 

@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraygraph.llm.tables import query, read
+from fraygraph.llm.tables import query, read, unused
+from fraygraph.operators.ranking import number_ordered
 from fraygraph.session import hint_small, store
 
 WEIGHTS = (3, 1, 2)
@@ -170,14 +171,28 @@ def mix_copies(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with the columns of ``documents``."""
-    found = mix_copies(documents, weights, share, most, seed)
-    key = F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0002")), F.coalesce("source", F.lit("\u0002")), F.col("size").cast("string"))
-    times = found.withColumn("_key", key).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("nth", "copies"))).alias("_copies"))
-    keyed = documents.withColumn("_size", word_count()).withColumn("_key", F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0002")), F.coalesce("source", F.lit("\u0002")), F.col("_size").cast("string")))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c) for c in ("doc_id", "text")]))
-    placed = keyed.withColumn("_nth", nth).join(times, "_key")
-    copies = F.element_at("_copies", F.col("_nth"))["copies"]
-    return placed.withColumn("_times", copies).filter("_times > 0").withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*documents.columns)
+    key_, size_, copies_, nth_ = unused(documents, "key", "size", "copies", "nth")
+
+    def key(size: str) -> Column:
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in ("doc_id", "source", size)]
+        return F.concat_ws("\u0001", *parts)
+
+    found = mix_copies(documents, weights, share, most, seed).select(key("size").alias(key_), F.col("nth").alias(nth_), F.col("copies").alias(copies_))
+    found = store(found)
+    keyed = documents.withColumn(size_, word_count()).withColumn(key_, key(size_))
+    many = store(found.groupBy(key_).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(key_))
+    if many.isEmpty():
+        placed = keyed.join(found, key_)
+    else:
+        # Rows that share id, source and size (null ids above all) are told apart by their number, dealt to ranges.
+        many = hint_small(many)
+        placed = keyed.join(many, key_, "left_anti").join(found.join(many, key_, "left_anti").drop(nth_), key_)
+        packed = keyed.join(many, key_, "left_semi").select(key_, F.struct(*keyed.columns).alias("packed"))
+        crowded = number_ordered(packed, [key_], [F.col("packed.doc_id").asc(), F.col("packed.text").asc()], nth_)
+        crowded = crowded.join(found, [key_, nth_]).select("packed.*", copies_)
+        placed = placed.unionByName(crowded)
+    times = F.explode(F.sequence(F.lit(1), F.col(copies_)))
+    return placed.filter(F.col(copies_) > 0).withColumn(size_, times).select(*documents.columns)
 
 
 @query("op4_mixture")
