@@ -5,8 +5,8 @@ two texts is the number of places both have, over the geometric mean of their ow
 Nystroem feature space; one ridge regression per language (one against the rest) is solved in it. Scoring a batch is a
 presence matrix times the landmark matrix, a normalisation, and one more matrix product.
 
-Only the fit is sampled: at most ``SAMPLE`` labelled texts per language for at most ``LANGUAGES`` languages (those with most
-texts), chosen by a hash of the document id. Every text is predicted, whole.
+Only the fit is sampled: at most ``SAMPLE`` labelled texts per language, about ``MOST_SAMPLED`` in all (at least one per
+language, however many there are), chosen by a hash of the document id. Every text is predicted, whole.
 
 Nulls and odd input: a text that is null or has no letter is ``und`` with score 0; rows without language or id are never
 learned from; with nothing to learn from every text is ``und``. Ties go to the language first in order. Repeated rows are
@@ -15,6 +15,8 @@ predicted each; an empty table gives no rows. Other columns stay, those named li
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +27,7 @@ from fraygraph.llm.tables import query, read, with_arrow
 WIDTH = 4096
 LONGEST = 3
 SAMPLE = 400
-LANGUAGES = 200
+MOST_SAMPLED = 20_000
 LANDMARKS = 192
 RIDGE = 1e-2
 BATCH = 128
@@ -75,7 +77,8 @@ class Model:
         features = kernel(rows, self.landmarks) @ self.to_features
         goals = np.where(np.array(languages)[:, None] == np.array(self.names)[None, :], 1.0, -1.0)
         # Every language weighs the same, however many texts of it there are.
-        weights = np.array([1 / languages.count(x) for x in languages]) * len(languages) / len(self.names)
+        times = Counter(languages)
+        weights = np.array([1 / times[x] for x in languages]) * len(languages) / len(self.names)
         self.mean = (weights[:, None] * features).sum(axis=0) / weights.sum()
         self.goal = (weights[:, None] * goals).sum(axis=0) / weights.sum()
         centred, wanted = features - self.mean, goals - self.goal
@@ -97,11 +100,12 @@ def fit(documents: DataFrame) -> Model | None:
     """Learn from a bounded sample of the labelled documents (doc_id, text, lang) that are not held out."""
     usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()
     labelled = documents.filter(usable).select("doc_id", "lang", F.xxhash64("doc_id").alias("_draw"))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
     if not counts:
         return None
+    each = max(1, min(SAMPLE, MOST_SAMPLED // len(counts)))
     # About twice the sample of each language by a threshold on the hash, then exactly the least hashes of those.
-    share = {r.lang: min(1.0, 2 * SAMPLE / r.n) for r in counts}
+    share = {r.lang: min(1.0, (2 * each + 20) / r.n) for r in counts}
     below = F.element_at(F.create_map(*[F.lit(x) for r in share.items() for x in r]), F.col("lang"))
     drawn = documents.filter(usable & F.col("lang").isin(list(share))).withColumn("_draw", F.xxhash64("doc_id"))
     drawn = drawn.filter(F.pmod("_draw", F.lit(1 << 40)) < below * float(1 << 40)).select("lang", "doc_id", "_draw", "text")
@@ -114,7 +118,7 @@ def fit(documents: DataFrame) -> Model | None:
 
     packed = drawn.mapInArrow(features, "lang string, doc_id long, draw long, bits binary")
     first = Window.partitionBy("lang").orderBy("draw", "doc_id", "bits")
-    sample = packed.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).orderBy("draw", "doc_id", "lang", "bits").collect()
+    sample = packed.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).orderBy("draw", "doc_id", "lang", "bits").collect()
     rows = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in sample], np.float32)
     return Model(rows, [r.lang for r in sample])
 

@@ -2,7 +2,7 @@
 
 A document has two histograms: shares of its characters by class, and shares of its words among the common words of a
 language (all others in one bin). References are learned from the whole corpus: per language the mean of its documents'
-histograms, over the ``COMMON`` words of at most ``SHORT`` bytes that most documents hold. Means are sums of integers, so
+histograms, over the ``COMMON`` words of at most ``SHORT`` letters that most documents hold. Means are sums of integers, so
 they do not depend on how rows are dealt. The distance is Jensen-Shannon (square root of the divergence, base 2, 0 to 1).
 A document is compared with the reference of its language; with the nearest one if it has none. A text of fewer than
 ``LEAST_CHARACTERS`` bytes is too rough to judge and never rejected for a distance; the word distance needs ``LEAST_JUDGED`` words.
@@ -12,7 +12,7 @@ the median, among the different sums of texts of the same reference and the same
 farther from any reference). Only the lower half sets the bound, so up to about a third of junk hardly moves it. Groups of fewer than
 ``LEAST_GROUP`` different sums have the fixed bound ``MOST_DISTANCE`` from ``LEAST_WORDS`` words on. No distance may exceed its own maximum.
 
-References are kept for the ``LANGUAGES`` languages with most documents; other languages count as having none.
+Every language tag of the corpus has a reference, a row of ``COMMON`` words and some classes.
 
 Nulls and odd input: a null text has no words and fails the base rule; null languages count towards no reference but a
 pooled one of all documents; repeated rows are judged each; an empty table gives no rows. Other columns stay, those named
@@ -34,7 +34,6 @@ from fraygraph.session import store
 
 COMMON = 40
 SHORT = 5
-LANGUAGES = 200
 LEAST_CHARACTERS = 200
 LEAST_WORDS = 60
 LEAST_JUDGED = 30
@@ -93,7 +92,7 @@ def reference_sums(documents: DataFrame) -> DataFrame:
                 if len(words) < LEAST_WORDS:
                     continue
                 found = [(b"\0%d" % k, s) for k, s in enumerate(class_shares(text.encode()).tolist())]
-                found += [(w, n / len(words)) for w, n in Counter(w for w in words if len(w) <= SHORT).items()]
+                found += [(w, n / len(words)) for w, n in Counter(w for w in words if len(w) <= SHORT or (len(w) <= 4 * SHORT and len(w.decode()) <= SHORT)).items()]
                 for key, share in found:
                     docs[lang, key] += 1
                     shares[lang, key] += round(share * SCALE)
@@ -179,17 +178,15 @@ def too_far(of_class: float | None, of_words: float | None, n_words: int, bounds
 
 
 def learn_references(documents: DataFrame) -> dict[str | None, Reference]:
-    """References by language (at most ``LANGUAGES``) and, under None, of all documents; a small table of shares."""
+    """References by language and, under None, of all documents; a small table of shares."""
     sums = store(reference_sums(documents)).withColumn("is_class", F.substring("key", 1, 1) == F.lit(b"\0"))
     pooled = sums.groupBy("key", "is_class").agg(F.sum("docs").alias("docs"), F.sum("share").alias("share"))
     pooled = pooled.select(F.lit(None).cast("string").alias("lang"), "key", "is_class", "docs", "share")
     by_lang = sums.filter("lang IS NOT NULL")
-    sizes = by_lang.filter("is_class").groupBy("lang").agg(F.max("docs").alias("docs"))
-    kept = [r.lang for r in sizes.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()]
     common = Window.partitionBy("lang", "is_class").orderBy(F.desc("docs"), "key")
-    ranked = by_lang.filter(F.col("lang").isin(kept)).unionByName(pooled).withColumn("_n", F.row_number().over(common))
+    ranked = by_lang.unionByName(pooled).withColumn("_n", F.row_number().over(common))
     rows = defaultdict(list)
-    for row in ranked.filter(F.col("_n") <= COMMON).collect():  # at most (LANGUAGES + 1) * (COMMON + N_CLASSES) rows
+    for row in ranked.filter(F.col("_n") <= COMMON).collect():  # at most COMMON + N_CLASSES rows a language
         rows[row.lang].append(row)
     found = {}
     for lang, own in rows.items():
