@@ -7,15 +7,17 @@ other graphs advance by augmentation rounds in which tokens walk back along the
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fraygraph.operators.graph_build import Graph
 from fraygraph.operators.ranking import number_within
 from fraygraph.operators.reach import live_seeds
-from fraygraph.session import hint_small, replicate, settle, store
+from fraygraph.session import checkpoint_folder, hint_small, replicate, settle, store
 
 
 def edge_roles(graph: Graph) -> DataFrame:
@@ -101,13 +103,50 @@ def layered_curve(graph: Graph, scenarios: DataFrame, batches: DataFrame, remove
 
 @dataclass
 class Flow:
-    """value: (scenario, flow); used: (scenario, src, dst) edges that carry a unit."""
+    """value: (scenario, flow); used: (scenario, src, dst) edges that carry a unit; rounds of augmentation it took."""
 
     value: DataFrame
     used: DataFrame
+    rounds: int
 
 
-def _levels(graph: Graph, arcs, seeds, used, removed, dead, targets) -> DataFrame:
+@dataclass
+class Base:
+    """One flow of the whole graph, from which scenarios start: its value and its edges (path, src, dst) by unit path."""
+
+    value: int
+    paths: DataFrame
+
+
+@dataclass
+class _Residual:
+    """What is open to augmentation: ``arcs`` (src, dst, busy) with the base flow, ``changes`` (scenario, src, dst, used) where a
+    scenario differs from it, and what is gone. A scenario costs rows for its changes only, never a copy of the flow."""
+
+    arcs: DataFrame
+    busy: DataFrame | None
+    changes: DataFrame
+    removed: DataFrame | None
+    dead: DataFrame | None
+
+    def ahead(self, front: DataFrame) -> DataFrame:
+        """``front`` (scenario, src or dst, ...) with the edges beside it that carry no unit."""
+        end = "src" if "src" in front.columns else "dst"
+        rows = front.join(self.arcs, end).join(self.changes, ["scenario", "src", "dst"], "left")
+        rows = rows.filter(~F.coalesce("used", "busy")).drop("busy", "used")
+        return rows if self.dead is None else rows.join(self.dead, ["scenario", "src", "dst"], "left_anti")
+
+    def back(self, front: DataFrame) -> DataFrame:
+        """``front`` with the edges beside it that carry a unit, to be taken against their direction."""
+        end = "src" if "src" in front.columns else "dst"
+        extra = front.join(self.changes.filter("used").drop("used"), ["scenario", end])
+        if self.busy is None:
+            return extra
+        kept = front.join(self.busy, end).join(self.changes.filter("not used"), ["scenario", "src", "dst"], "left_anti")
+        return kept.unionByName(extra)
+
+
+def _levels(residual: _Residual, seeds, targets) -> DataFrame:
     """(scenario, v, level) over residual arcs; a scenario stops at its first level with a target (none: runs out)."""
     reached = settle(seeds.select("scenario", "v", F.lit(0).alias("level")))
     level = 0
@@ -116,56 +155,100 @@ def _levels(graph: Graph, arcs, seeds, used, removed, dead, targets) -> DataFram
         if targets is not None and level:
             hit = front.join(targets, "v", "left_semi").select("scenario").distinct()
             front = front.join(hit, "scenario", "left_anti")
-        ahead = front.select("scenario", F.col("v").alias("src")).join(arcs, "src")
-        ahead = ahead.join(used, ["scenario", "src", "dst"], "left_anti")
-        if dead is not None:
-            ahead = ahead.join(dead, ["scenario", "src", "dst"], "left_anti")
-        back = front.select("scenario", F.col("v").alias("dst")).join(used, ["scenario", "dst"])
+        ahead = residual.ahead(front.select("scenario", F.col("v").alias("src")))
+        back = residual.back(front.select("scenario", F.col("v").alias("dst")))
         step = ahead.select("scenario", F.col("dst").alias("v")).unionByName(back.select("scenario", F.col("src").alias("v")))
-        step = live_seeds(step, removed).withColumn("level", F.lit(level + 1))
+        step = live_seeds(step, residual.removed).withColumn("level", F.lit(level + 1))
         reached = settle(reached.unionByName(step).groupBy("scenario", "v").agg(F.min("level").alias("level")))
         level += 1
         if reached.filter(F.col("level") == level).isEmpty():
             return reached
 
 
-def _entering(tokens, arcs_in, used, dead, reached) -> DataFrame:
+def _entering(tokens, residual: _Residual, reached) -> DataFrame:
     """Residual arcs u->v into token vertices from one level lower: (scenario, v, u, src, dst, forward)."""
     spots = tokens.select("scenario", "v", "level").distinct()
-    ahead = spots.select("scenario", "v", "level", F.col("v").alias("dst")).join(arcs_in, "dst")
-    ahead = ahead.join(used, ["scenario", "src", "dst"], "left_anti")
-    if dead is not None:
-        ahead = ahead.join(dead, ["scenario", "src", "dst"], "left_anti")
+    ahead = residual.ahead(spots.withColumn("dst", F.col("v")))
     ahead = ahead.select("scenario", "v", "level", F.col("src").alias("u"), "src", "dst", F.lit(True).alias("forward"))
-    back = spots.select("scenario", "v", "level", F.col("v").alias("src")).join(used, ["scenario", "src"])
+    back = residual.back(spots.withColumn("src", F.col("v")))
     back = back.select("scenario", "v", "level", F.col("dst").alias("u"), "src", "dst", F.lit(False).alias("forward"))
     lower = reached.select("scenario", F.col("v").alias("u"), (F.col("level") + 1).alias("level"))
     return ahead.unionByName(back).join(lower, ["scenario", "u", "level"])
 
 
-def max_flow(graph: Graph, scenarios: DataFrame, removed: DataFrame | None = None, removed_edges: DataFrame | None = None) -> Flow:
+def unit_paths(graph: Graph, flow: Flow) -> Base:
+    """The flow of one scenario cut into unit paths.
+
+    At every vertex the k-th unit that enters goes on as the k-th that leaves; units without a partner begin or end there.
+    The first edge of every path is found by pointer jumping, so a path of n edges takes log n joins. Units that go round in
+    a circle carry nothing from a source to a target and are left out.
+    """
+    edges = settle(flow.used.select("src", "dst"))
+    rows = edges.count()
+    enter = number_within(edges, ["dst"], ["src"], "k", group_rows=rows)
+    leave = number_within(edges, ["src"], ["dst"], "k", group_rows=rows)
+    before = enter.select(F.col("dst").alias("v"), "k", F.struct("src", "dst").alias("before"))
+    state = leave.withColumn("v", F.col("src")).join(before, ["v", "k"], "left")
+    own = F.struct("src", "dst")
+    state = store(state.select(own.alias("edge"), F.coalesce("before", own).alias("up"), F.col("before").isNull().alias("done")))
+    for _ in range(max(1, rows).bit_length()):
+        if state.filter("not done").isEmpty():
+            break
+        above = state.select(F.col("edge").alias("up"), F.col("up").alias("further"), F.col("done").alias("ends"))
+        state = store(state.join(above, "up").select("edge", F.col("further").alias("up"), (F.col("done") | F.col("ends")).alias("done")))
+    paths = settle(state.filter("done").select(F.col("up").alias("path"), "edge.src", "edge.dst"))
+    return Base(flow.value.first()["flow"], paths)
+
+
+def _cancelled(base: Base, removed: DataFrame | None, dead: DataFrame | None) -> DataFrame:
+    """(scenario, src, dst, used): the edges of all unit paths that a scenario's removals interrupt, given free."""
+    hit = None
+    if removed is not None:
+        places = base.paths.select(F.explode(F.array("src", "dst")).alias("v"), "path").distinct()
+        hit = removed.select("scenario", "v").join(places, "v").select("scenario", "path")
+    if dead is not None:
+        more = dead.select("scenario", "src", "dst").join(base.paths, ["src", "dst"]).select("scenario", "path")
+        hit = more if hit is None else hit.unionByName(more)
+    return hit.distinct().join(base.paths, "path").select("scenario", "src", "dst", F.lit(False).alias("used"))
+
+
+def max_flow(
+    graph: Graph, scenarios: DataFrame, removed: DataFrame | None = None, removed_edges: DataFrame | None = None,
+    base: Base | None = None, start: DataFrame | None = None,
+) -> Flow:
     """Flow of any graph under vertex removals (scenario, v) and edge removals (scenario, src, dst).
 
-    State is the set of used edges per scenario (as many rows as units times hops), never scenario x edges. Each round
-    levels the residual graph from the sources, starts one token per residual arc entering a nearest target, and walks
-    the tokens back level by level, pairing the tokens at a vertex with its entering arcs by number; surplus tokens stop.
-    Tokens that arrive are edge-disjoint shortest paths. A scenario ends when no target is levelled.
+    State is the set of edges per scenario that differ from where it started, never scenario x edges. Each round levels the
+    residual graph from the sources, starts one token per residual arc entering a nearest target, and walks the tokens back
+    level by level, pairing the tokens at a vertex with its entering arcs by number; surplus tokens stop. Tokens that arrive
+    are edge-disjoint shortest paths. A scenario ends when no target is levelled.
+
+    With ``base`` every scenario starts from one flow of the whole graph: only the unit paths through what it lacks are given
+    up, and only those are augmented again. ``start`` (scenario, src, dst) are units that each scenario already carries.
     """
-    arcs = settle(graph.edges.select("src", "dst"))
-    rows = arcs.count()  # a vertex has at most this many entering arcs, and so many tokens, per scenario
-    arcs = hint_small(arcs)
+    arcs = graph.edges.select("src", "dst")
+    rows = graph.edges.count()  # a vertex has at most this many entering arcs, and so many tokens, per scenario
     removed = hint_small(settle(removed.select("scenario", "v").distinct())) if removed is not None else None
     dead = hint_small(settle(removed_edges.select("scenario", "src", "dst").distinct())) if removed_edges is not None else None
     targets = hint_small(settle(graph.targets))
     seeds = store(live_seeds(graph.spread(graph.sources, scenarios), removed))
-    used = store(scenarios.select("scenario").limit(0).join(graph.edges.select("src", "dst").limit(0)))
-    active = seeds
+    if base is None:
+        arcs, busy = arcs.withColumn("busy", F.lit(False)), None
+        changes = scenarios.select("scenario").limit(0).join(graph.edges.select("src", "dst").limit(0)) if start is None else start
+        changes = changes.select("scenario", "src", "dst", F.lit(True).alias("used"))
+    else:
+        busy = base.paths.select("src", "dst")
+        arcs = arcs.join(busy.withColumn("busy", F.lit(True)), ["src", "dst"], "left").na.fill(False, ["busy"])
+        busy, changes = hint_small(busy), _cancelled(base, removed, dead)
+    residual = _Residual(hint_small(settle(arcs)), busy, store(changes), removed, dead)
+    active, rounds = seeds, 0
     while True:
-        reached = _levels(graph, arcs, active, used, removed, dead, targets)
+        rounds += 1
+        reached = _levels(residual, active, targets)
         hits = reached.join(targets, "v", "left_semi")
         goals = hits.groupBy("scenario").agg(F.min("level").alias("level"))
         tokens = hits.join(goals, ["scenario", "level"])
-        starts = _entering(tokens, arcs, used, dead, reached)
+        starts = _entering(tokens, residual, reached)
         step = F.struct("src", "dst", "forward")
         tokens = store(
             starts.select(
@@ -177,30 +260,38 @@ def max_flow(graph: Graph, scenarios: DataFrame, removed: DataFrame | None = Non
             break
         while not tokens.filter("level > 0").isEmpty():
             moving = tokens.filter("level > 0")
-            doors = number_within(_entering(moving, arcs, used, dead, reached), ["scenario", "v"], ["u", "forward"], "n", group_rows=rows)
+            doors = number_within(_entering(moving, residual, reached), ["scenario", "v"], ["u", "forward"], "n", group_rows=rows)
             queue = number_within(moving, ["scenario", "v"], ["token"], "n", group_rows=rows)
             moved = queue.drop("level").join(doors, ["scenario", "v", "n"]).select(
                 "scenario", "token", F.col("u").alias("v"), (F.col("level") - 1).alias("level"),
                 F.concat("path", F.array(step)).alias("path"),
             )
             tokens = store(moved.unionByName(tokens.filter("level = 0")))
-        flips = tokens.select("scenario", F.explode("path").alias("e")).select("scenario", "e.*")
-        undone = flips.filter("not forward").select("scenario", "src", "dst")
-        used = store(
-            used.join(undone, ["scenario", "src", "dst"], "left_anti").unionByName(
-                flips.filter("forward").select("scenario", "src", "dst")
-            )
-        )
+        flips = tokens.select("scenario", F.explode("path").alias("e")).select("scenario", "e.src", "e.dst", F.col("e.forward").alias("used"))
+        # An edge flips at most once in a round: back to where it started, or away from it.
+        away = flips.join(residual.changes, ["scenario", "src", "dst"], "left_anti")
+        residual.changes = store(residual.changes.join(flips, ["scenario", "src", "dst"], "left_anti").unionByName(away))
         active = seeds.join(tokens.select("scenario").distinct(), "scenario", "left_semi")
-    return Flow(_net_out(graph, scenarios, used, targets), used)
+    return Flow(_net_out(scenarios, residual.changes, targets, base), _carried(scenarios, residual.changes, base), rounds)
 
 
-def _net_out(graph, scenarios, used, targets) -> DataFrame:
+def _net_out(scenarios, changes, targets, base) -> DataFrame:
     """Units entering targets minus units leaving them, by scenario (source-to-source units cancel the same way)."""
-    into = used.join(targets.withColumnRenamed("v", "dst"), "dst", "left_semi").select("scenario", F.lit(1).alias("unit"))
-    out = used.join(targets.withColumnRenamed("v", "src"), "src", "left_semi").select("scenario", F.lit(-1).alias("unit"))
+    sign = F.when(F.col("used"), 1).otherwise(-1)
+    into = changes.join(targets.withColumnRenamed("v", "dst"), "dst", "left_semi").select("scenario", sign.alias("unit"))
+    out = changes.join(targets.withColumnRenamed("v", "src"), "src", "left_semi").select("scenario", (-sign).alias("unit"))
     sums = into.unionByName(out).groupBy("scenario").agg(F.sum("unit").alias("flow"))
-    return scenarios.join(sums, "scenario", "left").select("scenario", F.coalesce("flow", F.lit(0)).cast("long").alias("flow"))
+    whole = F.lit(base.value if base else 0) + F.coalesce("flow", F.lit(0))
+    return scenarios.join(sums, "scenario", "left").select("scenario", whole.cast("long").alias("flow"))
+
+
+def _carried(scenarios, changes, base) -> DataFrame:
+    """(scenario, src, dst) of all edges that carry a unit; with a base flow, its copy per scenario is made only if asked for."""
+    extra = changes.filter("used").select("scenario", "src", "dst")
+    if base is None:
+        return extra
+    kept = replicate(base.paths.select("src", "dst"), scenarios.select("scenario"))
+    return kept.join(changes.filter("not used"), ["scenario", "src", "dst"], "left_anti").unionByName(extra)
 
 
 def flow_values(graph: Graph, scenarios: DataFrame, removed: DataFrame | None = None, layered: bool | None = None) -> DataFrame:
@@ -221,24 +312,39 @@ def flow_curve(
     layered = use_layers(graph, layered)
     if layered:
         return layered_curve(graph, scenarios, batches, removed, removed_edges)
-    steps = replicate(batches.select(F.col("batch").alias("at")), scenarios)
-    steps = settle(steps.select(F.col("scenario").alias("run"), "at", F.concat_ws("#", "scenario", "at").alias("scenario")))
+    return general_curve(graph, scenarios, batches, removed, removed_edges)
+
+
+def general_curve(graph: Graph, scenarios: DataFrame, batches: DataFrame, removed: DataFrame | None, removed_edges: DataFrame | None) -> DataFrame:
+    """(scenario, batch, flow) on any graph, all runs at once, from the last batch back to the intact graph.
+
+    What a smaller graph carries stays possible when a batch is put back, so every step only adds the units that the batch
+    makes possible: the augmentations of a whole run add up to those of one flow.
+    """
+    folder = f"{checkpoint_folder(graph.spark)}/curve-{uuid.uuid4().hex}"
+    scenarios = settle(scenarios.select("scenario"))
+    steps = sorted((r["batch"] for r in batches.select("batch").distinct().collect()), reverse=True)  # grows with log(n)
+    carried, paths = None, []
 
-    def unrolled(order, columns):
-        if order is None:
-            return None
-        hit = order.withColumnRenamed("scenario", "run").join(steps, "run").filter(F.col("batch") <= F.col("at"))
-        return hit.select("scenario", *columns)
+    def gone(order):
+        return None if order is None else order.filter(F.col("batch") <= at)
 
-    value = max_flow(graph, steps.select("scenario"), unrolled(removed, ["v"]), unrolled(removed_edges, ["src", "dst"])).value
-    return steps.join(value, "scenario").select(F.col("run").alias("scenario"), F.col("at").alias("batch"), "flow")
+    for at in steps:
+        found = max_flow(graph, scenarios, gone(removed), gone(removed_edges), start=carried)
+        carried = found.used
+        paths.append(f"{folder}/{at}")
+        found.value.withColumn("batch", F.lit(at).cast(batches.schema["batch"].dataType)).write.parquet(paths[-1])
+    kinds = T.StructType([T.StructField("scenario", scenarios.schema["scenario"].dataType), T.StructField("flow", T.LongType()), batches.schema["batch"]])
+    return graph.spark.read.schema(kinds).parquet(*paths).select("scenario", "batch", "flow")
 
 
 def min_cut(graph: Graph, flow: Flow, scenarios: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """(scenario, src, dst): live edges leaving the set that the sources still reach in the final residual graph."""
     arcs = hint_small(settle(graph.edges.select("src", "dst")))
     seeds = live_seeds(graph.spread(graph.sources, scenarios), removed)
-    reached = _levels(graph, arcs, seeds, flow.used, removed, None, None).select("scenario", "v")
+    changes = flow.used.select("scenario", "src", "dst", F.lit(True).alias("used"))
+    residual = _Residual(arcs.withColumn("busy", F.lit(False)), None, changes, removed, None)
+    reached = _levels(residual, seeds, None).select("scenario", "v")
     leaving = reached.select("scenario", F.col("v").alias("src")).join(arcs, "src")
     leaving = leaving.join(reached.withColumnRenamed("v", "dst"), ["scenario", "dst"], "left_anti")
     if removed is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraygraph.operators import flow, reach
+from fraygraph.operators import dominators, flow, reach
 from fraygraph.operators.curves import upper_p
 from fraygraph.operators.graph_build import Graph
 from fraygraph.operators.ranking import exact_rank, random_key, unit_uniform
@@ -25,7 +25,8 @@ def flow_drops(graph: Graph, removals: DataFrame, layered: bool | None = None) -
     """(scenario, flow, flow_drop) for scenarios (scenario, v).
 
     On general graphs a scenario is solved only if it removes a vertex that carries a unit of one intact flow: the
-    others leave that flow untouched and cannot lower it.
+    others leave that flow untouched and cannot lower it. Those that are start from the intact flow without the unit paths
+    through what they remove, so they augment what they lost and nothing else.
     """
     layered = flow.use_layers(graph, layered)
     names = removals.select("scenario").distinct()
@@ -34,49 +35,21 @@ def flow_drops(graph: Graph, removals: DataFrame, layered: bool | None = None) -
         return values.withColumn("flow_drop", F.lit(intact_flow(graph, True)) - F.col("flow"))
     solved = flow.max_flow(graph, reach.intact_scenario(graph))
     whole = solved.value.first()["flow"]
-    busy = solved.used.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+    base = flow.unit_paths(graph, solved)
+    busy = base.paths.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
     touched = settle(removals.join(busy, "v", "left_semi").select("scenario").distinct())
     if touched.isEmpty():
         return names.select("scenario", F.lit(whole).alias("flow"), F.lit(0).cast("long").alias("flow_drop"))
     relevant = removals.join(touched, "scenario", "left_semi")
-    values = flow.max_flow(graph, touched, relevant).value
+    values = flow.max_flow(graph, touched, relevant, base=base).value
     table = names.join(values, "scenario", "left").select("scenario", F.coalesce("flow", F.lit(whole)).alias("flow"))
     return table.withColumn("flow_drop", F.lit(whole) - F.col("flow"))
 
 
 def lost_pairs(graph: Graph, candidates: DataFrame | None = None) -> DataFrame:
-    """(v, s, m): pairs that lose every path when v, another vertex, goes.
-
-    Only vertices on one shortest-path tree path of some pair can cut a pair, so only those become scenarios; sources are
-    packed 63 to a mask while each scenario spreads, and a pair is lost where the intact bit is set and the scenario's is not.
-    """
-    words = reach.source_words(graph)
-    intact = settle(reach.reach_masks(graph, reach.intact_scenario(graph), None, words).drop("scenario"))
-    chosen = settle(tree_vertices(graph) if candidates is None else candidates.select("v"))
-    removals = chosen.select(F.col("v").alias("scenario"), "v")
-    after = reach.reach_masks(graph, chosen.select(F.col("v").alias("scenario")), removals, words)
-    ends = intact.join(hint_small(settle(graph.targets)), "v").select("v", "word", F.col("val").alias("full"))
-    grid = replicate(ends, chosen.select(F.col("v").alias("scenario"))).filter("scenario <> v")
-    left = grid.join(after.withColumnRenamed("val", "kept"), ["scenario", "word", "v"], "left")
-    gone = left.withColumn("val", F.expr("full & ~coalesce(kept, 0L)")).filter("val <> 0").select("scenario", F.col("v").alias("m"), "word", "val")
-    pairs = reach.unpack(gone, words)
-    return pairs.filter("s <> scenario").select(F.col("scenario").alias("v"), "s", "m")
-
-
-def tree_vertices(graph: Graph) -> DataFrame:
-    """Inner vertices of one shortest-path tree per source, restricted to branches that end in a target."""
-    hops = settle(reach.distances(graph, reach.intact_scenario(graph)).drop("scenario"))
-    arcs = graph.arcs()
-    down = hops.select("s", F.col("v").alias("src"), (F.col("dist") + 1).alias("dist")).join(arcs, "src")
-    parents = down.join(hops.withColumnRenamed("v", "dst"), ["s", "dst", "dist"]).groupBy("s", "dst").agg(F.min("src").alias("parent"))
-    parents = settle(parents)
-    wanted = settle(hops.join(hint_small(settle(graph.targets)), "v", "left_semi").select("s", "v", F.lit(True).alias("fresh")))
-    while not wanted.filter("fresh").isEmpty():
-        up = wanted.filter("fresh").select("s", F.col("v").alias("dst")).join(parents, ["s", "dst"])
-        up = up.select("s", F.col("parent").alias("v"), F.lit(None).cast("boolean").alias("fresh"))
-        both = wanted.select("s", "v", F.lit(False).alias("fresh")).unionByName(up).groupBy("s", "v").agg(F.min("fresh").alias("known"))
-        wanted = settle(both.select("s", "v", F.col("known").isNull().alias("fresh")))
-    return wanted.filter("s <> v").select("v").distinct()
+    """(v, s, m): pairs that lose every path when v, another vertex, goes: v is a dominator of m as seen from s."""
+    losses = dominators.losses_of_chains(graph, dominators.dominator_chains(graph))
+    return losses if candidates is None else losses.join(hint_small(settle(candidates.select("v").distinct())), "v", "left_semi")
 
 
 def deletion_losses(graph: Graph, candidates: DataFrame) -> DataFrame:
@@ -105,6 +78,13 @@ def cross_check(graph: Graph, losses: DataFrame, candidates: DataFrame) -> DataF
     )
 
 
+def loss_counts_twice(graph: Graph, losses: DataFrame, relation: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(v, listed, deleted) of every candidate: pairs lost by the listed losses and own pairs, and by deleting the vertex."""
+    listed = losses.unionByName(own_losses(graph, relation)).groupBy("v").agg(F.count(F.lit(1)).alias("listed"))
+    deleted = deletion_losses(graph, candidates).groupBy("v").agg(F.count(F.lit(1)).alias("deleted"))
+    return candidates.select("v").join(listed, "v", "left").join(deleted, "v", "left").na.fill(0, ["listed", "deleted"])
+
+
 def loss_summary(graph: Graph, losses: DataFrame, relation: DataFrame) -> DataFrame:
     """(v, role, pairs_lost, own_pairs, other_pairs, sources_cut, targets_cut) for every vertex that costs a pair."""
     others = losses.groupBy("v").agg(

@@ -370,10 +370,12 @@ def _(spark, sf):
     return switch_losses(spark, sf)[0]
 
 
-@query("dm2_cross_check", "SELECT 0::BIGINT AS differences")
+@query("dm2_cross_check", f"""{LOSS_CTE}, counts AS (SELECT v, count(*) AS n FROM (SELECT v FROM losses UNION ALL SELECT s FROM relation UNION ALL SELECT m FROM relation) GROUP BY v)
+SELECT v, coalesce(n, 0) AS listed, coalesce(n, 0) AS deleted FROM vertices LEFT JOIN counts USING (v)""")
 def _(spark, sf):
     graph = G.switch(spark, sf, SPARSE)
-    return K.cross_check(graph, switch_losses(spark, sf)[0], graph.vertices.select("v")).agg(F.count(F.lit(1)).alias("differences"))
+    losses, relation = switch_losses(spark, sf)
+    return K.loss_counts_twice(graph, losses, relation, graph.vertices.select("v"))
 
 
 @query("ag17_loss_summary", f"""{LOSS_CTE}, own AS (SELECT v, count(*) AS own_pairs FROM (SELECT s AS v FROM relation UNION ALL SELECT m FROM relation) GROUP BY v),
