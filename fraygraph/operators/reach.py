@@ -1,24 +1,41 @@
 """Reachability, distance and disconnection as semi-naive fixpoints over (keys, v, val).
 
-One settled table of fixed shape per superstep: one row per key and vertex, never a growing union of frontiers.
-Only rows that changed in the last step are joined with the edges, and candidates are combined before the shuffle.
+The state lies still: it is dealt once by (keys, v) and kept that way. A superstep sends only rows that changed in the last one
+along the edges, combines what arrives before and after one shuffle, looks its present value up where the state lies, and
+keeps what is better as a delta. Deltas are few rows; they are merged into the state when they add up to a part of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraygraph.operators.graph_build import Graph
 from fraygraph.operators.ranking import number_within
-from fraygraph.session import hint_small, replicate, settle
+from fraygraph.session import hint_small, replicate, settle, store
 
 NEVER = 2**31 - 1  # batch number of a vertex or edge that is never removed
 WORD = 63  # sources per bit mask row
 
 
+# Deltas are merged into the state after so many supersteps, or once they hold this share of its rows.
+MERGE_STEPS, MERGE_SHARE = 8, 0.5
+SCALAR = {F.bit_or: lambda a, b: a.bitwiseOR(b), F.min: F.least, F.max: F.greatest}
+
+
+def _dealt(rows: DataFrame, on: list[str]) -> tuple[DataFrame, int]:
+    """``rows`` stored, and held dealt by ``on``: joins by these keys read it where it lies. A lost part is read anew.
+
+    It is counted at once, as the planner knows how a held table is dealt only when it is there.
+    """
+    held = store(rows).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    return held, held.count()
+
+
 def propagate(
     seeds: DataFrame,
     arcs: DataFrame,
@@ -31,18 +48,41 @@ def propagate(
     """Least fixpoint of val(v) = combine(seed(v), send(val(u), cap) over arcs u->v).
 
     ``seeds`` is (keys, v, val), ``arcs`` (src, dst), ``cap`` (cap_keys, cap) with cap_keys among keys, src, dst; a
-    missing cap is null. ``send`` returns null to block an arc. Returns a settled (keys, v, val).
+    missing cap is null. ``combine`` is one of ``SCALAR``, ``send`` returns null to block an arc. Returns a settled
+    (keys, v, val).
     """
     limits = hint_small(settle(cap.select(*cap_keys, "cap"))) if cap is not None else None
-    state = settle(seeds.groupBy(*keys, "v").agg(combine("val").alias("val")).withColumn("fresh", F.lit(True)))
-    while not state.filter("fresh").isEmpty():
-        sent = state.filter("fresh").select(*keys, F.col("v").alias("src"), "val").join(arcs, "src")
+    better, on = SCALAR[combine], [*keys, "v"]
+    names = [*on, "val"]
+
+    def merged(*tables: DataFrame) -> DataFrame:
+        rows = tables[0].select(*names)
+        for table in tables[1:]:
+            rows = rows.unionByName(table.select(*names))
+        return rows.groupBy(*on).agg(combine("val").alias("val"))
+
+    fresh = settle(seeds.groupBy(*on).agg(combine("val").alias("val")))
+    (state, size), deltas, changed = _dealt(fresh, on), [], 0
+    rows = size
+    while rows:
+        sent = fresh.withColumnRenamed("v", "src").join(arcs, "src")
         sent = sent.join(limits, cap_keys, "left") if limits is not None else sent.withColumn("cap", F.lit(None).cast("int"))
         sent = sent.select(*keys, F.col("dst").alias("v"), send(F.col("val"), F.col("cap")).alias("val")).filter("val is not null")
-        both = state.select(*keys, "v", "val", F.col("val").alias("old")).unionByName(sent.withColumn("old", F.lit(None).cast(state.schema["val"].dataType)))
-        merged = both.groupBy(*keys, "v").agg(combine("val").alias("val"), F.max("old").alias("old"))
-        state = settle(merged.select(*keys, "v", "val", (F.col("old").isNull() | (F.col("val") != F.col("old"))).alias("fresh")))
-    return state.drop("fresh")
+        come = merged(sent).join(state.withColumnRenamed("val", "old"), on, "left")
+        if deltas:
+            come = come.join(merged(*deltas).withColumnRenamed("val", "newer"), on, "left").withColumn("old", F.coalesce("newer", "old"))
+        now = F.when(F.col("old").isNull(), F.col("val")).otherwise(better(F.col("val"), F.col("old")))
+        fresh = settle(come.withColumn("val", now).filter(F.col("old").isNull() | (F.col("val") != F.col("old"))).select(*names))
+        rows = fresh.count()
+        deltas.append(fresh)
+        changed += rows
+        if len(deltas) == MERGE_STEPS or changed > MERGE_SHARE * size:
+            before = state
+            (state, size), deltas, changed = _dealt(merged(state, *deltas), on), [], 0
+            before.unpersist()
+    result = settle(merged(state, *deltas) if deltas else state.select(*names))
+    state.unpersist()
+    return result
 
 
 def intact_scenario(graph: Graph) -> DataFrame:
