@@ -177,10 +177,10 @@ def strategy_scores(name: str, graph: Graph, scenarios: DataFrame | None = None,
     return STRATEGIES[name](graph, scenarios, removed)
 
 
-def score_table(graph: Graph, include_betweenness: bool = True, iterations: int | None = None) -> DataFrame:
+def score_table(graph: Graph, include_betweenness: bool = True, tolerance: float = 1e-9) -> DataFrame:
     """One row per vertex with degrees, strengths, PageRank and restricted (and full) betweenness."""
     table = degrees(graph.edges, graph.vertices)
-    columns = {"pagerank": pagerank(graph, iterations=iterations), "sm_betweenness": betweenness(graph, restricted=True)}
+    columns = {"pagerank": pagerank(graph, tolerance=tolerance), "sm_betweenness": betweenness(graph, restricted=True)}
     if include_betweenness:
         columns["betweenness"] = betweenness(graph)
     for name, scores in columns.items():

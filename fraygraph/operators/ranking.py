@@ -69,6 +69,21 @@ def exact_rank(
     return number_ordered(df, keys, [by, F.col(tie).asc()], name, group_rows)
 
 
+def top_k(df: DataFrame, keys: list[str], score: str, tie: str, k: int, name: str = "rank", descending: bool = True, salts: int = 16) -> DataFrame:
+    """The first ``k`` rows of each key group as ``exact_rank`` numbers them, without ordering the rest.
+
+    Groups are cut by a hash of ``tie``. A task keeps the k first rows of each cut before anything is shuffled, the cuts keep
+    k rows each, and only those meet: a hot group costs a task k rows a cut, whatever its size.
+    """
+    by = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
+    salt = next(n for n in (f"{'_' * i}salt" for i in range(1, len(df.columns) + 2)) if n not in df.columns)
+    cut = df.withColumn(salt, F.pmod(F.xxhash64(tie), F.lit(salts)))
+    for part in ([*keys, salt], keys):
+        window = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(by, F.col(tie).asc())
+        cut = cut.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
+    return cut.drop(salt)
+
+
 def value_ranks(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     """(keys, score, ties, below, total) per distinct score that is not null: the histogram with cumulative counts.
 

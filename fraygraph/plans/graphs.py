@@ -198,8 +198,8 @@ def handover_sql(tau: float = 0.02) -> str:
 # ---- removal runs on the trade graph ---------------------------------------------------------------------------------
 
 RUN_SEED = 11
-TRIALS = 10
-BATCH = 0.02
+TRIALS = 30
+BATCH = 0.01
 
 
 def run_scores(graph: Graph, trials: int = TRIALS) -> DataFrame:
@@ -248,6 +248,19 @@ def trade_flows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def pagerank_sql(steps: int = 150) -> str:
+    """pagerank(v, score) over edges and vertices, recursed far beyond what doubles can tell apart; under WITH RECURSIVE."""
+    return f"""outs AS MATERIALIZED (SELECT src, sum(weight) AS out FROM edges GROUP BY src),
+links AS MATERIALIZED (SELECT e.src, e.dst, e.weight / out::DOUBLE AS share FROM edges e JOIN outs USING (src)),
+places AS MATERIALIZED (SELECT v, (SELECT count(*) FROM vertices) AS n, v NOT IN (SELECT src FROM outs) AS stuck FROM vertices),
+walked(step, v, score) AS (SELECT 0, v, 1.0::DOUBLE / n FROM places UNION ALL
+SELECT any_value(step) + 1, p.v, (0.15::DOUBLE + 0.85::DOUBLE * sum(CASE WHEN stays THEN x ELSE 0 END)) / any_value(n) + 0.85::DOUBLE * sum(CASE WHEN stays THEN 0 ELSE x END)
+FROM places p JOIN (SELECT step, false AS stays, dst AS v, score * share AS x FROM walked JOIN links ON v = src WHERE step < {steps}
+  UNION ALL SELECT step, true, q.v, m FROM (SELECT any_value(step) AS step, coalesce(sum(CASE WHEN stuck THEN score END), 0) AS m FROM walked JOIN places USING (v) WHERE step < {steps} HAVING count(*) > 0)
+  CROSS JOIN places q) USING (v) GROUP BY p.v),
+pagerank AS (SELECT v, score FROM walked WHERE step = {steps})"""
+
+
 def schedule_sql(batch: float = BATCH, limit: float = 0.5, count: str = "(SELECT count(*) FROM vertices)") -> str:
     """schedule(batch, size, first_rank, last_rank, fraction_removed); to be used under WITH RECURSIVE."""
     return f"""total AS MATERIALIZED (SELECT {count}::BIGINT AS n),

@@ -155,23 +155,13 @@ def _(spark, sf):
 
 # ---- centralities ---------------------------------------------------------------------------------------------------
 
-PAGERANK_STEPS = 12
+# Summed movement at which the scores of a query stop; results are compared to nine places.
+CONVERGED = 1e-13
 
 
-def pagerank_sql(steps: int = PAGERANK_STEPS) -> str:
-    text = """outs AS MATERIALIZED (SELECT src, sum(weight) AS out FROM edges GROUP BY src),
-links AS MATERIALIZED (SELECT e.src, e.dst, e.weight / out::DOUBLE AS share FROM edges e JOIN outs USING (src)),
-pr0 AS (SELECT v, 1.0::DOUBLE / (SELECT count(*) FROM vertices) AS score FROM vertices)"""
-    for i in range(1, steps + 1):
-        text += f""",
-pr{i} AS MATERIALIZED (SELECT v, (0.15::DOUBLE + 0.85::DOUBLE * (SELECT coalesce(sum(score), 0) FROM pr{i - 1} WHERE v NOT IN (SELECT src FROM outs))) / (SELECT count(*) FROM vertices)
-+ 0.85::DOUBLE * coalesce(inflow, 0) AS score FROM vertices LEFT JOIN (SELECT dst AS v, sum(score * share) AS inflow FROM links JOIN pr{i - 1} ON src = v GROUP BY dst) USING (v))"""
-    return text + f", pagerank AS (SELECT v, score FROM pr{steps})"
-
-
-@query("ct3_pagerank", f"{SWITCH}, {pagerank_sql()} SELECT v, round(score, 12) AS score FROM pagerank")
+@query("ct3_pagerank", f"{SWITCH}, {G.pagerank_sql()} SELECT v, round(score, 9) AS score FROM pagerank")
 def _(spark, sf):
-    return central.pagerank(G.switch(spark, sf), iterations=PAGERANK_STEPS).select("v", F.round("score", 12).alias("score"))
+    return central.pagerank(G.switch(spark, sf), tolerance=CONVERGED).select("v", F.round("score", 9).alias("score"))
 
 
 def betweenness_sql(name: str, restricted: bool, depth: int = 12) -> str:
@@ -199,9 +189,9 @@ def _(spark, sf):
     return central.betweenness(G.switch(spark, sf), restricted=True).select("v", F.round("score", 7).alias("score"))
 
 
-SCORES_CTE = f"""{pagerank_sql()}, {betweenness_sql('sm', True)}, {betweenness_sql('bt', False)},
+SCORES_CTE = f"""{G.pagerank_sql()}, {betweenness_sql('sm', True)}, {betweenness_sql('bt', False)},
 deg AS (SELECT v, count(*) AS degree FROM (SELECT src AS v FROM edges UNION ALL SELECT dst FROM edges) GROUP BY v),
-scores AS MATERIALIZED (SELECT v, coalesce(degree, 0) AS degree, round(p.score, 12) AS pagerank, round(s.score, 7) AS sm_betweenness, round(b.score, 7) AS betweenness
+scores AS MATERIALIZED (SELECT v, coalesce(degree, 0) AS degree, round(p.score, 9) AS pagerank, round(s.score, 7) AS sm_betweenness, round(b.score, 7) AS betweenness
 FROM vertices LEFT JOIN deg USING (v) JOIN pagerank p USING (v) JOIN sm s USING (v) JOIN bt b USING (v))"""
 PCT = "100.0::DOUBLE * (rank() OVER (ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY {c}) + 1) / 2.0::DOUBLE - 0.5::DOUBLE) / count(*) OVER () AS {c}_pct"
 PERCENTILES_CTE = SCORES_CTE + ", pcts AS MATERIALIZED (SELECT *, " + ", ".join(PCT.format(c=c) for c in ("degree", "pagerank", "sm_betweenness")) + " FROM scores)"
@@ -209,8 +199,8 @@ PERCENTILES_CTE = SCORES_CTE + ", pcts AS MATERIALIZED (SELECT *, " + ", ".join(
 
 @G.remembered
 def switch_scores(spark, sf):
-    table = central.score_table(G.switch(spark, sf), iterations=PAGERANK_STEPS)
-    return settle(table.select("v", F.col("degree").cast("long").alias("degree"), F.round("pagerank", 12).alias("pagerank"), F.round("sm_betweenness", 7).alias("sm_betweenness"), F.round("betweenness", 7).alias("betweenness")))
+    table = central.score_table(G.switch(spark, sf), tolerance=CONVERGED)
+    return settle(table.select("v", F.col("degree").cast("long").alias("degree"), F.round("pagerank", 9).alias("pagerank"), F.round("sm_betweenness", 7).alias("sm_betweenness"), F.round("betweenness", 7).alias("betweenness")))
 
 
 @query("ct6_score_table", f"{SWITCH}, {SCORES_CTE} SELECT * FROM scores")
@@ -230,15 +220,6 @@ def _(spark, sf):
     return central.bottleneck_candidates(table, 50.0, 60.0).select("v", "degree", "sm_betweenness")
 
 
-@query("w15_candidate_pool", f"""{SWITCH}, {SCORES_CTE}, drops AS (SELECT dst AS v, count(*) AS flow_drop FROM edges GROUP BY dst)
-SELECT v, coalesce(flow_drop, 0) AS flow_drop, CASE WHEN degree > 0 THEN coalesce(flow_drop, 0) / degree::DOUBLE ELSE 0 END AS impact_per_edge, sm_betweenness,
-row_number() OVER (ORDER BY CASE WHEN degree > 0 THEN coalesce(flow_drop, 0) / degree::DOUBLE ELSE 0 END DESC, sm_betweenness DESC, v)::INTEGER AS pool_rank FROM scores LEFT JOIN drops USING (v) ORDER BY pool_rank LIMIT 30""")
-def _(spark, sf):
-    graph = G.switch(spark, sf)
-    entering = graph.edges.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("flow_drop"))
-    return K.candidate_pool(switch_scores(spark, sf).join(entering, "v", "left").na.fill(0, ["flow_drop"]), 30)
-
-
 def coreness_sql(steps: int = 25) -> str:
     text = """links AS MATERIALIZED (SELECT src AS v, dst AS u FROM edges UNION SELECT dst, src FROM edges),
 h0 AS MATERIALIZED (SELECT v, count(*) AS k FROM links GROUP BY v)"""
@@ -287,25 +268,44 @@ def trade_scan(spark, sf):
     return settle(K.single_scan(G.trade(spark, sf)))
 
 
-POOL = 40
+POOL = 250
+POOL_CTE = f"""{TRADE}, one AS (SELECT v AS scenario, v FROM vertices), {GONE_FLOW.format(gone='one').replace('gone_', 'one_').replace('alive_counts', 'one_alive')},
+deg AS (SELECT v, count(*) AS degree FROM (SELECT src AS v FROM edges UNION ALL SELECT dst FROM edges) GROUP BY v),
+via AS MATERIALIZED (SELECT a.src AS s, a.dst AS i, b.dst AS m FROM edges a JOIN edges b ON a.dst = b.src),
+routes AS (SELECT s, m, count(*) AS c FROM via GROUP BY ALL), middles AS (SELECT i AS v, round(sum(1.0::DOUBLE / c), 9) AS b FROM via JOIN routes USING (s, m) GROUP BY i),
+scored AS (SELECT v, intact - flow AS flow_drop, CASE WHEN degree > 0 THEN (intact - flow) / degree::DOUBLE ELSE 0 END AS impact_per_edge, coalesce(b, 0.0) AS sm_betweenness
+FROM vertices JOIN one_flow ON scenario = v CROSS JOIN whole LEFT JOIN deg USING (v) LEFT JOIN middles USING (v)),
+pool AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY impact_per_edge DESC, sm_betweenness DESC, v)::INTEGER AS pool_rank FROM scored ORDER BY pool_rank LIMIT {POOL}),
+pool_pairs AS MATERIALIZED (SELECT a.v AS a, b.v AS b, a.flow_drop AS drop_a, b.flow_drop AS drop_b, concat(a.v, '#', b.v) AS scenario FROM pool a JOIN pool b ON a.pool_rank < b.pool_rank)"""
 
 
-@query("ko2_pair_synergy", f"""{TRADE}, one AS (SELECT v AS scenario, v FROM vertices), {GONE_FLOW.format(gone='one').replace('gone_', 'one_').replace('alive_counts', 'one_alive')},
-deg AS (SELECT v, count(*) AS degree FROM (SELECT src AS v FROM edges UNION ALL SELECT dst FROM edges) GROUP BY v),
-pool AS MATERIALIZED (SELECT v, intact - flow AS d, row_number() OVER (ORDER BY CASE WHEN degree > 0 THEN (intact - flow) / degree::DOUBLE ELSE 0 END DESC, coalesce(degree, 0) DESC, v) AS r
-FROM vertices JOIN one_flow ON scenario = v CROSS JOIN whole LEFT JOIN deg USING (v) ORDER BY r LIMIT {POOL}),
-pool_pairs AS MATERIALIZED (SELECT a.v AS a, b.v AS b, a.d AS drop_a, b.d AS drop_b, concat(a.v, '#', b.v) AS scenario FROM pool a JOIN pool b ON a.r < b.r),
-two AS MATERIALIZED (SELECT scenario, a AS v FROM pool_pairs UNION ALL SELECT scenario, b FROM pool_pairs), {GONE_FLOW.format(gone='two').rsplit(', whole AS', 1)[0].rsplit(',' + chr(10) + 'whole AS', 1)[0].replace('gone_', 'two_').replace('alive_counts', 'two_alive')}
-SELECT a, b, drop_a, drop_b, flow AS flow_after, intact - flow AS joint_impact, intact - flow - drop_a - drop_b AS synergy FROM pool_pairs JOIN two_flow USING (scenario) CROSS JOIN whole""")
-def _(spark, sf):
+@G.remembered
+def trade_pool(spark, sf):
+    """The pool from the flow drops of single knock-outs, degrees and restricted betweenness of the same graph."""
     graph = G.trade(spark, sf)
     drops = K.flow_drops(graph, K.each_vertex(graph.vertices)).select(F.col("scenario").alias("v"), "flow_drop")
-    scored = drops.join(B.degrees(graph.edges, graph.vertices), "v").withColumn("sm_betweenness", F.col("degree"))
-    return K.pair_synergy(graph, settle(K.candidate_pool(scored, POOL)), POOL)
+    middle = central.betweenness(graph, restricted=True).select("v", F.round("score", 9).alias("sm_betweenness"))
+    return settle(K.candidate_pool(drops.join(B.degrees(graph.edges, graph.vertices), "v").join(middle, "v"), POOL))
+
+
+@query("w15_candidate_pool", f"{POOL_CTE} SELECT v, flow_drop, impact_per_edge, sm_betweenness, pool_rank FROM pool")
+def _(spark, sf):
+    return trade_pool(spark, sf)
+
+
+@query("j8_pool_pairs", f"{POOL_CTE} SELECT a, b, drop_a, drop_b FROM pool_pairs")
+def _(spark, sf):
+    return K.pool_pairs(trade_pool(spark, sf), POOL)
+
+
+@query("ko2_pair_synergy", f"""{POOL_CTE}, two AS MATERIALIZED (SELECT scenario, a AS v FROM pool_pairs UNION ALL SELECT scenario, b FROM pool_pairs), {GONE_FLOW.format(gone='two').rsplit(', whole AS', 1)[0].rsplit(',' + chr(10) + 'whole AS', 1)[0].replace('gone_', 'two_').replace('alive_counts', 'two_alive')}
+SELECT a, b, drop_a, drop_b, flow AS flow_after, intact - flow AS joint_impact, intact - flow - drop_a - drop_b AS synergy FROM pool_pairs JOIN two_flow USING (scenario) CROSS JOIN whole""")
+def _(spark, sf):
+    return K.pair_synergy(G.trade(spark, sf), trade_pool(spark, sf), POOL)
 
 
 @query("ko3_group_impact", f"""{TRADE}, sizes AS (SELECT class AS grp, count(*) AS size, count(*) FILTER (WHERE role = 'S') AS n_sources, count(*) FILTER (WHERE role = 'M') AS n_targets FROM vertices GROUP BY class),
-draws AS MATERIALIZED (SELECT size, draw, v FROM (SELECT size, draw, v, row_number() OVER (PARTITION BY size, draw ORDER BY md5(concat('9|', size, '|', draw, '|', v))) AS r FROM (SELECT DISTINCT size FROM sizes), range(25) d(draw), vertices) WHERE r <= size),
+draws AS MATERIALIZED (SELECT size, draw, v FROM (SELECT size, draw, v, row_number() OVER (PARTITION BY size, draw ORDER BY md5(concat('9|', size, '|', draw, '|', v))) AS r FROM (SELECT DISTINCT size FROM sizes), range(200) d(draw), vertices) WHERE r <= size),
 gone AS MATERIALIZED (SELECT concat('group|', class) AS scenario, v FROM vertices UNION ALL SELECT concat('draw|', size, '|', draw), v FROM draws), {GONE_FLOW.format(gone='gone')},
 seen AS (SELECT grp AS "group", size, n_sources, n_targets, flow AS flow_after, 1 - flow / intact::DOUBLE AS flow_drop FROM sizes JOIN gone_flow ON scenario = concat('group|', grp) CROSS JOIN whole),
 nul AS (SELECT split_part(scenario, '|', 2)::BIGINT AS size, 1 - flow / intact::DOUBLE AS d FROM gone_flow CROSS JOIN whole WHERE scenario LIKE 'draw|%')
@@ -313,7 +313,7 @@ SELECT "group", size::INTEGER AS size, n_sources, n_targets, flow_after, round(f
 round(avg(d), 9) AS random_mean, round(stddev_samp(d), 9) AS random_sd, round(flow_drop - avg(d), 9) AS excess FROM seen JOIN nul USING (size) GROUP BY "group", size, n_sources, n_targets, flow_after, flow_drop""")
 def _(spark, sf):
     graph = G.trade(spark, sf)
-    table = K.group_impact(graph, graph.vertices.select(F.col("class").alias("group"), "v"), 25, 9)
+    table = K.group_impact(graph, graph.vertices.select(F.col("class").alias("group"), "v"), 200, 9)
     return table.select("group", "size", "n_sources", "n_targets", "flow_after", "p_value", *[F.round(c, 9).alias(c) for c in ("flow_drop", "random_mean", "random_sd", "excess")])
 
 
@@ -370,8 +370,8 @@ def _(spark, sf):
     return switch_losses(spark, sf)[0]
 
 
-@query("dm2_cross_check", f"""{LOSS_CTE}, counts AS (SELECT v, count(*) AS n FROM (SELECT v FROM losses UNION ALL SELECT s FROM relation UNION ALL SELECT m FROM relation) GROUP BY v)
-SELECT v, coalesce(n, 0) AS listed, coalesce(n, 0) AS deleted FROM vertices LEFT JOIN counts USING (v)""")
+@query("dm2_cross_check", f"""{LOSS_CTE}, counts AS (SELECT v, count(*) AS k FROM (SELECT v FROM losses UNION ALL SELECT s FROM relation UNION ALL SELECT m FROM relation) GROUP BY v)
+SELECT v, coalesce(k, 0) AS listed, coalesce(k, 0) AS deleted FROM vertices LEFT JOIN counts USING (v)""")
 def _(spark, sf):
     graph = G.switch(spark, sf, SPARSE)
     losses, relation = switch_losses(spark, sf)
@@ -466,7 +466,7 @@ SELECT g::INTEGER AS g, v, coalesce(i.k, 0) AS in_degree, coalesce(o.k, 0) AS ou
 def _(spark, sf):
     """Every member keeps in-degree, out-degree and out-strength of every vertex and stays simple."""
     graph = G.switch(spark, sf)
-    edges = nulls.rewire(graph.edges, NULLS, 23, swaps_per_edge=5)
+    edges = nulls.rewire(graph.edges, NULLS, 23, swaps_per_edge=10)
     ends = F.array(
         F.struct(F.col("src").alias("v"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.col("weight").alias("w")),
         F.struct(F.col("dst").alias("v"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("w")),

@@ -107,14 +107,14 @@ def _(spark, sf):
     return curves.band(G.trade_flows(spark, sf), ["strategy", "batch"], "flow").withColumn("mean", F.round("mean", 9))
 
 
-# Two-sided 95% Student-t quantile at 9 degrees of freedom, the ten random trials.
-T9 = "2.2621571627409915::DOUBLE"
+# Two-sided 95% Student-t quantile at 29 degrees of freedom, the thirty random trials.
+T29 = "2.0452296421327034::DOUBLE"
 
 
 def _ci_sql(source: str, by: str, value: str) -> str:
     key = f"{by}, " if by else ""
-    return f"""SELECT {key}count({value}) AS n, round(avg({value}), 9) AS mean, round(stddev_samp({value}), 9) AS sd, round(avg({value}) - {T9} * stddev_samp({value}) / sqrt(count({value})), 7) AS low,
-round(avg({value}) + {T9} * stddev_samp({value}) / sqrt(count({value})), 7) AS high FROM {source}""" + (f" GROUP BY {by}" if by else "")
+    return f"""SELECT {key}count({value}) AS n, round(avg({value}), 9) AS mean, round(stddev_samp({value}), 9) AS sd, round(avg({value}) - {T29} * stddev_samp({value}) / sqrt(count({value})), 7) AS low,
+round(avg({value}) + {T29} * stddev_samp({value}) / sqrt(count({value})), 7) AS high FROM {source}""" + (f" GROUP BY {by}" if by else "")
 
 
 def _rounded_ci(df):
@@ -201,7 +201,7 @@ def _(spark, sf):
     return aucs.groupBy("strategy").agg(F.count(F.lit(1)).alias("trials"), F.round(F.avg("f"), 9).alias("auc_flow"), F.round(F.avg("r"), 9).alias("auc_reachability"))
 
 
-@query("rm6_thresholds", FLOWS + f""", {CRITICAL_CTE}, rnd AS (SELECT avg(f_c) AS mean, avg(f_c) - {T9} * stddev_samp(f_c) / sqrt(count(f_c)) AS low FROM critical WHERE strategy = 'random')
+@query("rm6_thresholds", FLOWS + f""", {CRITICAL_CTE}, rnd AS (SELECT avg(f_c) AS mean, avg(f_c) - {T29} * stddev_samp(f_c) / sqrt(count(f_c)) AS low FROM critical WHERE strategy = 'random')
 SELECT strategy, round(f_c, 9) AS f_c, f_c_batch, round(rnd.mean, 9) AS random_mean, round(low, 7) AS random_low, f_c < low AS below_random,
 strategy = (SELECT arg_min(strategy, (f_c, strategy)) FROM critical WHERE strategy <> 'random') AS most_damaging FROM critical, rnd WHERE strategy <> 'random'""")
 def _(spark, sf):
@@ -212,16 +212,16 @@ def _(spark, sf):
 # ---- edge attack ----------------------------------------------------------------------------------------------------
 
 EDGE_CTE = f"""WITH RECURSIVE {G.trade_sql()},
-total AS MATERIALIZED (SELECT count(*)::BIGINT AS n, greatest(1, round_even(0.02::DOUBLE * count(*), 0))::BIGINT AS size FROM edges),
+total AS MATERIALIZED (SELECT count(*)::BIGINT AS n, greatest(1, round_even(0.01::DOUBLE * count(*), 0))::BIGINT AS size FROM edges),
 schedule AS MATERIALIZED (SELECT b AS batch, b * size / n::DOUBLE AS fraction_removed FROM total, range(1000) r(b) WHERE b <= (0.5::DOUBLE * n)::BIGINT // size AND b * size <= floor(0.5::DOUBLE * n)),
-scenarios AS MATERIALIZED (SELECT concat(o, '|', t) AS scenario, o, sign FROM (VALUES ('strongest', 1), ('weakest', -1), ('random', 0)) x(o, sign), range(3) t(t)),
+scenarios AS MATERIALIZED (SELECT concat(o, '|', t) AS scenario, o, sign FROM (VALUES ('strongest', 1), ('weakest', -1), ('random', 0)) x(o, sign), range(5) t(t)),
 ranked AS (SELECT scenario, src, dst, row_number() OVER (PARTITION BY scenario ORDER BY weight * sign DESC, md5(concat('13|', scenario, '|', src, '|', dst))) AS rank FROM edges, scenarios),
 {G.layered_flow_sql(edge_deaths="SELECT scenario, src, dst, (rank + size - 1) // size AS k FROM ranked, total")}"""
 
 
 @G.remembered
 def trade_edge_runs(spark, sf):
-    return settle(removal.edge_attack(G.trade(spark, sf), 3, 13, 0.02, layered=True))
+    return settle(removal.edge_attack(G.trade(spark, sf), 5, 13, 0.01, layered=True))
 
 
 @query("rm4_edge_attack", EDGE_CTE + """, pair_deaths AS (SELECT a.scenario, a.src AS s, b.dst AS m, max(least(a.k, b.k)) AS k FROM deaths a JOIN deaths b ON a.scenario = b.scenario AND a.dst = b.src GROUP BY ALL),

@@ -314,17 +314,6 @@ def _(spark, sf):
     return orders.filter(F.col("rank") > graph.edges.count() // 4).select("src", "dst", "rank")
 
 
-@query("j8_pool_pairs", TRADE + """, pool AS (SELECT v, weight, row_number() OVER (ORDER BY weight DESC, v) AS r FROM
-(SELECT src AS v, sum(weight) AS weight FROM edges GROUP BY src) ORDER BY r LIMIT 60)
-SELECT a.v AS a, b.v AS b, a.weight AS drop_a, b.weight AS drop_b FROM pool a JOIN pool b ON a.r < b.r""")
-def _(spark, sf):
-    from fraygraph.operators import knockout as K
-
-    out = G.trade(spark, sf).edges.groupBy(F.col("src").alias("v")).agg(F.sum("weight").alias("flow_drop"))
-    pool = K.candidate_pool(out.withColumn("degree", F.lit(1)).withColumn("sm_betweenness", F.lit(0.0)), 60)
-    return K.pool_pairs(settle(pool), 60)
-
-
 @query("j9_partners", TRADE + """ SELECT dst AS v, src AS partner, class, weight, rank::INTEGER AS rank FROM
 (SELECT dst, src, weight, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS rank FROM edges) JOIN vertices ON src = v WHERE rank <= 5""")
 def _(spark, sf):
@@ -443,8 +432,7 @@ SELECT class, v, rank::INTEGER AS rank FROM (SELECT class, v, row_number() OVER
 def _(spark, sf):
     graph = G.trade(spark, sf)
     scored = B.degrees(graph.edges, graph.vertices).join(graph.vertices.select("v", "class"), "v").withColumn("tie", ranking.random_key(3, "class", "v"))
-    ranked = ranking.exact_rank(scored, ["class"], "out_strength", "tie")
-    return ranked.filter("rank <= 4").select("class", "v", "rank")
+    return ranking.top_k(scored, ["class"], "out_strength", "tie", 4).select("class", "v", "rank")
 
 
 @query("w3_schedule", R + G.trade_sql() + ", " + G.schedule_sql(0.01) + " SELECT batch, size::INTEGER AS size, first_rank::INTEGER AS first_rank, last_rank::INTEGER AS last_rank, fraction_removed FROM schedule")
@@ -496,13 +484,13 @@ SE_SQL = TRADE + ", sizes AS (SELECT DISTINCT count(*) AS size FROM vertices GRO
 
 
 @query("se1_same_size_draws", SE_SQL + """ SELECT size::INTEGER AS size, draw::INTEGER AS draw, v FROM (SELECT size, draw, v, row_number() OVER (PARTITION BY size, draw ORDER BY md5(concat('9|', size, '|', draw, '|', v))) AS r
-FROM sizes, range(20) d(draw), vertices) WHERE r <= size""")
+FROM sizes, range(200) d(draw), vertices) WHERE r <= size""")
 def _(spark, sf):
     from fraygraph.operators.knockout import same_size_draws
 
     graph = G.trade(spark, sf)
     sizes = [r["count"] for r in graph.vertices.groupBy("class").count().select("count").distinct().collect()]
-    return same_size_draws(graph.vertices, sizes, 20, 9, graph.size)
+    return same_size_draws(graph.vertices, sizes, 200, 9, graph.size)
 
 
 @query("se2_run_seeds", FLOWS + " SELECT strategy, trial, (42 + 1000 * CASE strategy WHEN 'random' THEN 0 WHEN 'out_strength' THEN 1 ELSE 2 END + trial)::INTEGER AS seed FROM curves GROUP BY ALL")
