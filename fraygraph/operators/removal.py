@@ -93,39 +93,47 @@ def random_percolation(graph: Graph, trials: int, seed: int, batch_fraction: flo
 
 def adaptive_removals(
     graph: Graph, strategy: str, scenarios: DataFrame, seed: int, batch_fraction: float = 0.01, max_fraction: float = 0.5,
+    gone: DataFrame | None = None, batches: range | None = None,
 ) -> DataFrame:
     """(scenario, v, batch): scores are taken anew on what is left before every batch.
 
     All scenarios advance together, one settled state per batch. For the strengths the new scores are the old ones minus
-    the edges to vertices that just went, so a whole run reads every edge once, not once per batch.
+    the edges to vertices that just went, so a whole run reads every edge once, not once per batch. With ``gone``, what an
+    earlier call returned, the run goes on with ``batches`` of the schedule; the result holds both parts.
     """
     sizes = [last - first + 1 for first, last in removal_steps(graph.size, batch_fraction, max_fraction)]
+    batches = range(1, len(sizes) + 1) if batches is None else batches
     if strategy in ("out_strength", "in_strength"):
-        return _adaptive_strength(graph, strategy, scenarios, seed, sizes)
-    gone = None
-    for batch, size in enumerate(sizes, start=1):
+        return _adaptive_strength(graph, strategy, scenarios, seed, sizes, gone, batches)
+    for batch in batches:
         scores = central.strategy_scores(strategy, graph, scenarios, gone)
         keyed = scores.withColumn("_tie", random_key(seed, F.lit(batch), "v"))
-        top = exact_rank(keyed, ["scenario"], "score", "_tie", group_rows=graph.size).filter(F.col("rank") <= size)
+        top = exact_rank(keyed, ["scenario"], "score", "_tie", group_rows=graph.size).filter(F.col("rank") <= sizes[batch - 1])
         chosen = top.select("scenario", "v", F.lit(batch).alias("batch"))
         gone = store(chosen if gone is None else gone.unionByName(chosen))
     return gone
 
 
-def _adaptive_strength(graph, strategy, scenarios, seed, sizes):
+def _adaptive_strength(graph, strategy, scenarios, seed, sizes, gone, batches):
     near, far = ("src", "dst") if strategy == "out_strength" else ("dst", "src")
     edges = hint_small(settle(graph.edges.select(F.col(near).alias("near"), F.col(far).alias("far"), "weight")))
-    start = central.strategy_scores(strategy, graph, scenarios)
+    start = central.strategy_scores(strategy, graph, scenarios, gone)
     state = settle(start.withColumn("batch", F.lit(None).cast("int")))
-    for batch, size in enumerate(sizes, start=1):
+    for batch in batches:
         left = state.filter("batch is null").withColumn("_tie", random_key(seed, F.lit(batch), "v"))
         ranked = exact_rank(left, ["scenario"], "score", "_tie", group_rows=graph.size)
-        marked = ranked.select("scenario", "v", "score", F.when(F.col("rank") <= size, F.lit(batch)).alias("batch"))
+        marked = ranked.select("scenario", "v", "score", F.when(F.col("rank") <= sizes[batch - 1], F.lit(batch)).alias("batch"))
         chosen = marked.filter("batch is not null").select("scenario", F.col("v").alias("far"))
         lost = chosen.join(edges, "far").select("scenario", F.col("near").alias("v"), (-F.col("weight")).alias("score"), F.lit(None).cast("int").alias("batch"))
+        lost = lost if gone is None else lost.join(gone.select("scenario", "v"), ["scenario", "v"], "left_anti")
         everything = marked.unionByName(lost).unionByName(state.filter("batch is not null"))
         state = settle(everything.groupBy("scenario", "v").agg(F.sum("score").alias("score"), F.min("batch").alias("batch")))
-    return state.filter("batch is not null").select("scenario", "v", "batch")
+    chosen = state.filter("batch is not null").select("scenario", "v", "batch")
+    return chosen if gone is None else settle(gone.unionByName(chosen))
+
+
+# Batches that a longer run takes on before its flow is looked at again.
+LOOK_EVERY = 4
 
 
 def percolate(
@@ -134,14 +142,25 @@ def percolate(
 ) -> DataFrame:
     """Curves of an adaptive strategy. With a flow bound a run goes on past ``max_fraction`` until flow is below it.
 
-    The longer run removes the same vertices in its first part, since random keys depend on seed, batch and vertex only.
+    The longer run removes the same vertices in its first part, since random keys depend on seed, batch and vertex only. It
+    looks at the flow every ``LOOK_EVERY`` batches and ends there once all scenarios are below the bound; their curves end
+    with the first batch that is.
     """
-    limit = 1.0 if continue_until_flow_below is not None else max_fraction
-    batches = settle(schedule_table(graph.spark, graph.size, batch_fraction, limit))
-    removed = adaptive_removals(graph, strategy, scenarios, seed, batch_fraction, limit)
-    curves = measure(graph, scenarios, batches, removed, layered)
     if continue_until_flow_below is None:
-        return curves
+        batches = settle(schedule_table(graph.spark, graph.size, batch_fraction, max_fraction))
+        return measure(graph, scenarios, batches, adaptive_removals(graph, strategy, scenarios, seed, batch_fraction, max_fraction), layered)
+    every = settle(schedule_table(graph.spark, graph.size, batch_fraction, 1.0))
+    total = sum(1 for _ in removal_steps(graph.size, batch_fraction, 1.0))
+    done = sum(1 for _ in removal_steps(graph.size, batch_fraction, max_fraction))
+    removed = adaptive_removals(graph, strategy, scenarios, seed, batch_fraction, 1.0, batches=range(1, done + 1))
+    while done < total:
+        now = flow.flow_values(graph, scenarios, removed.select("scenario", "v"), layered)
+        if now.filter(F.col("flow") >= continue_until_flow_below).isEmpty():
+            break
+        more = range(done + 1, min(total, done + LOOK_EVERY) + 1)
+        removed = adaptive_removals(graph, strategy, scenarios, seed, batch_fraction, 1.0, removed, more)
+        done = more[-1]
+    curves = measure(graph, scenarios, settle(every.filter(F.col("batch") <= done)), removed, layered)
     stop = F.when((F.col("fraction_removed") >= max_fraction) & (F.col("flow") < continue_until_flow_below), F.col("batch"))
     last = curves.groupBy("scenario").agg(F.min(stop).alias("_last"))
     return curves.join(last, "scenario").filter("_last is null or batch <= _last").drop("_last")

@@ -406,9 +406,34 @@ def _(spark, sf):
 # ---- adaptive removal, compartments, null models --------------------------------------------------------------------
 
 
+def adaptive_sql(strategy: str, near: str, scores: str | None = None) -> str:
+    """Vertices of every batch of an adaptive run: the state of a batch holds all vertices, those alive are scored anew."""
+    scores = scores or f"""SELECT e.{near} AS v, sum(e.weight) AS score FROM edges e JOIN state_{strategy} a ON a.v = e.src AND a.gone IS NULL
+JOIN state_{strategy} b ON b.v = e.dst AND b.gone IS NULL GROUP BY 1"""
+    return f"""state_{strategy}(step, v, gone) AS (SELECT 0, v, NULL::INTEGER FROM vertices UNION ALL
+SELECT step + 1, v, CASE WHEN gone IS NOT NULL THEN gone WHEN place <= size THEN step + 1 END FROM (
+  SELECT s.step, s.v, s.gone, row_number() OVER (PARTITION BY s.gone IS NULL ORDER BY coalesce(x.score, 0) DESC, md5(concat('17|', s.step + 1, '|', s.v))) AS place
+  FROM state_{strategy} s LEFT JOIN ({scores}) x USING (v)) JOIN schedule ON batch = step + 1),
+order_{strategy} AS (SELECT '{strategy}' AS strategy, v, gone AS batch FROM state_{strategy} WHERE step = (SELECT max(batch) FROM schedule) AND gone IS NOT NULL)"""
+
+
+@query("rm2_adaptive_orders", f"""{TRADE}, {G.schedule_sql()}, {adaptive_sql('out_strength', 'src')}, {adaptive_sql('in_strength', 'dst')}
+SELECT strategy, v, batch FROM order_out_strength UNION ALL SELECT strategy, v, batch FROM order_in_strength""")
+def _(spark, sf):
+    """Batches of both adaptive strength runs at 1 %."""
+    graph = G.trade(spark, sf)
+    runs = None
+    for strategy in ("out_strength", "in_strength"):
+        order = removal.adaptive_removals(graph, strategy, reach.intact_scenario(graph), 17, G.BATCH).select(F.lit(strategy).alias("strategy"), "v", "batch")
+        runs = order if runs is None else runs.unionByName(order)
+    return runs
+
+
 @query("rm2_adaptive_out_strength")
 def _(spark, sf):
-    return removal.percolate(G.trade(spark, sf), "out_strength", reach.intact_scenario(G.trade(spark, sf)), 17, 0.05, layered=True)
+    """At 1 %, going on past half of the vertices until no flow is left."""
+    graph = G.trade(spark, sf)
+    return removal.percolate(graph, "out_strength", reach.intact_scenario(graph), 17, G.BATCH, continue_until_flow_below=1, layered=True)
 
 
 @query("rm2_adaptive_restricted_betweenness")
