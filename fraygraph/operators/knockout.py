@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fraygraph.operators import dominators, flow, reach
 from fraygraph.operators.curves import upper_p
 from fraygraph.operators.graph_build import Graph
-from fraygraph.operators.ranking import exact_rank, random_key, unit_uniform
+from fraygraph.operators.ranking import number_within, permuted
 from fraygraph.session import hint_small, replicate, settle
 
 
@@ -170,33 +170,29 @@ def pair_synergy(graph: Graph, pool: DataFrame, size: int, layered: bool | None
     )
 
 
-def same_size_draws(vertices: DataFrame, sizes: list[int], draws: int, seed: int, total: int) -> DataFrame:
-    """(size, draw, v): ``draws`` random subsets without replacement for every distinct size.
+def same_size_draws(vertices: DataFrame, sizes: DataFrame | list[int], draws: int, seed: int, total: int) -> DataFrame:
+    """(size, draw, v): ``draws`` random sets without replacement of every distinct ``size`` (all vertices if it is larger).
 
-    Rows are (vertex, draw, size) with an md5 uniform. The k smallest uniforms of n lie below (k + slack) / n but for
-    an astronomically small chance, so only those rows are shuffled and ranked; should one draw come up short, the slack doubles.
+    A draw of k vertices is the image of the numbers 0 .. k - 1 under a permutation of its own, so a set costs its own rows
+    and nothing for the vertices it leaves.
     """
-    spec = sorted(set(sizes))
-    slack = 12.0
-    grid = F.explode(F.array(*[F.lit(k) for k in spec])).alias("size")
-    while True:
-        bound = F.least(F.lit(1.0), (F.col("size") + F.lit(slack) * F.sqrt(F.col("size") + F.lit(1.0)) + F.lit(slack)) / F.lit(float(total)))
-        rows = vertices.select("v", grid).select("v", "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-        rows = rows.withColumn("_key", random_key(seed, "size", "draw", "v"))
-        near = rows.filter(unit_uniform(F.col("_key")) <= bound).withColumn("_score", F.lit(0))
-        ranked = exact_rank(near, ["size", "draw"], "_score", "_key", group_rows=int(max(spec) + slack * (max(spec) + 1) ** 0.5 + slack))
-        chosen = settle(ranked.filter(F.col("rank") <= F.col("size")).select("size", "draw", "v"))
-        if chosen.count() == draws * sum(min(k, total) for k in spec):
-            return chosen
-        slack *= 2
+    if not isinstance(sizes, DataFrame):
+        sizes = vertices.sparkSession.createDataFrame([(k,) for k in sizes], "size int")
+    if not total:
+        return sizes.select("size", F.lit(0).alias("draw"), F.lit(None).cast(vertices.schema["v"].dataType).alias("v")).limit(0)
+    asked = sizes.select(F.col("size").cast("int").alias("size")).filter("size > 0").distinct()
+    asked = asked.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    asked = asked.withColumn("place", F.explode(F.sequence(F.lit(0), F.least(F.col("size"), F.lit(total)) - 1)))
+    numbers = number_within(vertices.select("v", F.lit(0).alias("all")), ["all"], ["v"], "n", group_rows=total)
+    numbers = numbers.select((F.col("n") - 1).cast("long").alias("place"), "v")
+    return settle(permuted(asked, "place", total, seed, "size", "draw").join(numbers, "place").select("size", "draw", "v"))
 
 
 def group_impact(graph: Graph, groups: DataFrame, draws: int, seed: int, layered: bool | None = None) -> DataFrame:
     """Removal of whole groups (group, v) against same-size random sets; draws are shared by groups of equal size."""
     members = settle(groups.join(graph.vertices.select("v"), "v", "left_semi").select("group", "v"))
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    wanted = [r["size"] for r in sizes.select("size").distinct().collect()]
-    random = same_size_draws(graph.vertices, wanted, draws, seed, graph.size)
+    random = same_size_draws(graph.vertices, sizes, draws, seed, graph.size)
     name = lambda kind, *c: F.concat_ws("|", F.lit(kind), *c)
     scenarios = members.select(name("group", "group").alias("scenario"), "v").unionByName(
         random.select(name("draw", "size", "draw").alias("scenario"), "v")

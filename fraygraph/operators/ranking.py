@@ -30,6 +30,36 @@ def unit_uniform(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+# Rounds of a keyed permutation; each moves one digit by a hash of the other.
+PERMUTATION_ROUNDS = 6
+
+
+def permuted(df: DataFrame, index: str, total: int, seed, *parts: str) -> DataFrame:
+    """``df`` with ``index`` (0 .. total - 1) replaced by its image under a random permutation keyed by ``seed`` and ``parts``.
+
+    A number is read as two digits in bases a and b, a * b just above ``total``. Every round adds a hash of one digit to the
+    other, which can be undone, so the whole is one to one; images beyond ``total`` are permuted again, and as few numbers
+    lie there (fewer than a of about a * a), few rows go round again. No row is made for an image that nobody asks for.
+    """
+    a = math.isqrt(max(0, total - 1)) + 1
+    b = -(-total // a)
+
+    def hashed(round_: int, digit: str) -> Column:
+        return F.conv(F.substring(random_key(seed, *parts, F.lit(round_), digit), 1, 13), 16, 10).cast("long")
+
+    def turn(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"_left": F.floor(F.col(index) / b).cast("long"), "_right": F.pmod(F.col(index), F.lit(b)).cast("long")})
+        for k in range(PERMUTATION_ROUNDS):
+            own, other, base = ("_right", "_left", b) if k % 2 else ("_left", "_right", a)
+            rows = rows.withColumn(own, F.pmod(F.col(own) + hashed(k, other), F.lit(base)))
+        return rows.withColumn(index, F.col("_left") * b + F.col("_right")).drop("_left", "_right")
+
+    placed = store(turn(df.withColumn(index, F.col(index).cast("long"))))
+    while not placed.filter(F.col(index) >= total).isEmpty():
+        placed = store(placed.filter(F.col(index) < total).unionByName(turn(placed.filter(F.col(index) >= total))))
+    return placed
+
+
 def number_ordered(df: DataFrame, keys: list[str], order: list[Column], name: str, group_rows: int | None = None) -> DataFrame:
     """Number the rows of each key group 1..size in ``order``; equal to one window over the group, for groups of any size.
 

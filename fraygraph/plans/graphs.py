@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fraygraph.operators.graph_build import Graph, aggregate_edges, degrees, majority, threshold_edges
 from fraygraph.operators.flow import layered_curve
-from fraygraph.operators.ranking import batch_of_rank, schedule_table
+from fraygraph.operators.ranking import PERMUTATION_ROUNDS, batch_of_rank, schedule_table
 from fraygraph.operators.removal import measure, static_order
 from fraygraph.session import settle
 
@@ -248,6 +248,19 @@ def trade_flows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def draws_sql(draws: int, seed: int) -> str:
+    """draws(size, draw, v) of all sizes(size): images of 0 .. size - 1 under keyed permutations; under WITH RECURSIVE."""
+    turn = "SELECT size, draw, k, turns, a, b, n, x // b AS l, x % b AS r FROM walk, dims WHERE turns = 0 OR x >= n"
+    for k in range(PERMUTATION_ROUNDS):
+        own, other, base = ("r", "l", "b") if k % 2 else ("l", "r", "a")
+        moved = f"({own} + ('0x' || left(md5(concat('{seed}|', size, '|', draw, '|{k}|', {other})), 13))::BIGINT) % {base} AS {own}"
+        turn = f"SELECT size, draw, k, turns, a, b, n, {moved}, {other} FROM ({turn})"
+    return f"""dims AS MATERIALIZED (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*)::BIGINT AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM vertices)),
+walk(size, draw, k, turns, x) AS (SELECT size, draw, k, 0, k FROM (SELECT DISTINCT size::BIGINT AS size FROM sizes), range({draws}) d(draw), range((SELECT max(size) FROM sizes)) q(k) WHERE k < size
+UNION ALL SELECT size, draw, k, turns + 1, l * b + r FROM ({turn})),
+draws AS MATERIALIZED (SELECT size, draw, v FROM walk JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS x FROM vertices) USING (x), dims WHERE turns > 0 AND x < n)"""
+
+
 def pagerank_sql(steps: int = 150) -> str:
     """pagerank(v, score) over edges and vertices, recursed far beyond what doubles can tell apart; under WITH RECURSIVE."""
     return f"""outs AS MATERIALIZED (SELECT src, sum(weight) AS out FROM edges GROUP BY src),

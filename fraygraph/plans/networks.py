@@ -305,7 +305,7 @@ def _(spark, sf):
 
 
 @query("ko3_group_impact", f"""{TRADE}, sizes AS (SELECT class AS grp, count(*) AS size, count(*) FILTER (WHERE role = 'S') AS n_sources, count(*) FILTER (WHERE role = 'M') AS n_targets FROM vertices GROUP BY class),
-draws AS MATERIALIZED (SELECT size, draw, v FROM (SELECT size, draw, v, row_number() OVER (PARTITION BY size, draw ORDER BY md5(concat('9|', size, '|', draw, '|', v))) AS r FROM (SELECT DISTINCT size FROM sizes), range(200) d(draw), vertices) WHERE r <= size),
+{G.draws_sql(200, 9)},
 gone AS MATERIALIZED (SELECT concat('group|', class) AS scenario, v FROM vertices UNION ALL SELECT concat('draw|', size, '|', draw), v FROM draws), {GONE_FLOW.format(gone='gone')},
 seen AS (SELECT grp AS "group", size, n_sources, n_targets, flow AS flow_after, 1 - flow / intact::DOUBLE AS flow_drop FROM sizes JOIN gone_flow ON scenario = concat('group|', grp) CROSS JOIN whole),
 nul AS (SELECT split_part(scenario, '|', 2)::BIGINT AS size, 1 - flow / intact::DOUBLE AS d FROM gone_flow CROSS JOIN whole WHERE scenario LIKE 'draw|%')

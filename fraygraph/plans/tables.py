@@ -480,16 +480,12 @@ def _(spark, sf):
     return G.trade(spark, sf).edges.orderBy(F.desc("weight"), F.desc("share"), "src", "dst").limit(25)
 
 
-SE_SQL = TRADE + ", sizes AS (SELECT DISTINCT count(*) AS size FROM vertices GROUP BY class)"
-
-
-@query("se1_same_size_draws", SE_SQL + """ SELECT size::INTEGER AS size, draw::INTEGER AS draw, v FROM (SELECT size, draw, v, row_number() OVER (PARTITION BY size, draw ORDER BY md5(concat('9|', size, '|', draw, '|', v))) AS r
-FROM sizes, range(200) d(draw), vertices) WHERE r <= size""")
+@query("se1_same_size_draws", f"{R}{G.trade_sql()}, sizes AS (SELECT DISTINCT count(*) AS size FROM vertices GROUP BY class), {G.draws_sql(200, 9)} SELECT size::INTEGER AS size, draw::INTEGER AS draw, v FROM draws")
 def _(spark, sf):
     from fraygraph.operators.knockout import same_size_draws
 
     graph = G.trade(spark, sf)
-    sizes = [r["count"] for r in graph.vertices.groupBy("class").count().select("count").distinct().collect()]
+    sizes = graph.vertices.groupBy("class").count().select(F.col("count").alias("size"))
     return same_size_draws(graph.vertices, sizes, 200, 9, graph.size)
 
 
