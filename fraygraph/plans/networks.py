@@ -612,7 +612,7 @@ def _(spark, sf):
 
 @query("stb_bootstrap")
 def _(spark, sf):
-    return tails.bootstrap(tail_data(spark, sf), tail_fits(spark, sf), ["dataset"], 20, 41)
+    return tails.bootstrap(tail_data(spark, sf), tail_fits(spark, sf), ["dataset"], 1000, 41)
 
 
 @query("stl_likelihood_ratios")
