@@ -13,7 +13,7 @@ from fraygraph.session import local_session
 HEADLINE = [
     "ag1_aggregate_edges", "pf4_threshold_edges", "io7_two_granularities", "j1_label_connections", "w4_exact_rank_large",
     "fl3_flow_curves", "rm3_random_percolation", "rm4_edge_attack", "fl1_flow_layered", "fl1_flow_general", "ko2_pair_synergy",
-    "ko3_group_impact", "pf4_supply_edges", "ct1_supply_degrees", "rc2_supply_reach", "ct3_supply_pagerank",
+    "ko3_group_impact", "pf4_supply_edges", "ct1_supply_degrees", "rc2_supply_reach", "ct3_supply_pagerank", "dm1_supply_dominators",
     "ct5_restricted_betweenness", "rm2_adaptive_out_strength", "stm_rank_test", "sts_signed_rank", "stp_power_law_fit", "ag14_histogram",
 ]
 

@@ -1,4 +1,4 @@
-"""Dominators against deletion, flows from a common start against brute force, unit paths, curves taken backwards."""
+"""Dominators against deletion, flows from a common start against brute force, unit paths."""
 
 import pytest
 from brute import max_flow, random_digraph, reachable
@@ -106,21 +106,3 @@ def test_warm_flows_under_edge_removals(spark, dense):
     for k in range(3):
         left = [e for e in edges if (k, *e) not in rows]
         assert got[k] == max_flow(left, NAMES[:4], set(NAMES[-5:]))
-
-
-def test_drops_equal_brute_force_for_every_vertex(dense):
-    edges, graph = dense
-    whole = max_flow(edges, NAMES[:4], set(NAMES[-5:]))
-    rows = found(K.flow_drops(graph, K.each_vertex(graph.vertices), False))
-    assert rows == [(v, x := max_flow(edges, NAMES[:4], set(NAMES[-5:]), [v]), whole - x) for v in NAMES]
-
-
-def test_backward_curves_equal_brute_force(spark, dense):
-    edges, graph = dense
-    order = [NAMES[(11 * i) % 30] for i in range(20)]
-    removed = spark.createDataFrame([(t, v, 1 + (i + 5 * t) // 7) for t in range(2) for i, v in enumerate(order)], "scenario long, v string, batch int")
-    steps = spark.createDataFrame([(k,) for k in range(5)], "batch int")
-    scenarios = spark.range(2).withColumnRenamed("id", "scenario")
-    for t, k, value in found(flow.general_curve(graph, scenarios, steps, removed, None)):
-        gone = [v for i, v in enumerate(order) if 1 + (i + 5 * t) // 7 <= k]
-        assert value == max_flow(edges, NAMES[:4], set(NAMES[-5:]), gone), (t, k)
