@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraygraph.operators.graph_build import Graph, degrees
-from fraygraph.operators.ranking import with_percentile
-from fraygraph.operators.reach import intact_scenario, live_seeds
+from fraygraph.operators.ranking import random_key, unit_uniform, with_percentile
+from fraygraph.operators.reach import MERGE_SHARE, MERGE_STEPS, dealt, intact_scenario, live_seeds
 from fraygraph.session import hint_small, settle, store
 
 
@@ -54,61 +55,120 @@ def pagerank(
     return state.select("scenario", "v", "score")
 
 
+# Rows of (start, vertex) that one pass of path counting may hold by the counts of starts and vertices.
+STATE_ROWS = 200_000_000
+
+
+def path_levels(arcs: DataFrame, starts: DataFrame, removed: DataFrame | None = None) -> list[DataFrame]:
+    """Numbers of shortest paths from starts (scenario, v): one settled (scenario, s, v, sigma) per distance 0, 1, 2, ...
+
+    A step extends the last level only. What was met before lies dealt by its keys and is looked up there; levels are written
+    once and never again. A level is summed as a whole, so its counts are exact (up to 2^53 paths).
+    """
+    on = ["scenario", "s", "v"]
+    level = settle(live_seeds(starts, removed).select("scenario", F.col("v").alias("s"), "v", F.lit(1.0).alias("sigma")))
+    (met, size), recent, changed = dealt(level.select(*on), on), [], 0
+    levels, rows = [], size
+    while rows:
+        levels.append(level)
+        ahead = level.select("scenario", "s", F.col("v").alias("src"), "sigma").join(arcs, "src")
+        ahead = live_seeds(ahead.select("scenario", "s", F.col("dst").alias("v"), "sigma"), removed)
+        ahead = ahead.groupBy(*on).agg(F.sum("sigma").alias("sigma")).join(met, on, "left_anti")
+        if recent:
+            ahead = ahead.join(reduce(DataFrame.unionByName, recent), on, "left_anti")
+        level = settle(ahead)
+        rows = level.count()
+        recent.append(level.select(*on))
+        changed += rows
+        if len(recent) == MERGE_STEPS or changed > MERGE_SHARE * size:
+            before = met
+            (met, size), recent, changed = dealt(reduce(DataFrame.unionByName, recent, met), on), [], 0
+            before.unpersist()
+    met.unpersist()
+    return levels
+
+
+def dependencies(arcs: DataFrame, starts: DataFrame, removed: DataFrame | None = None, goals: DataFrame | None = None) -> DataFrame:
+    """(scenario, s, v, delta): share of the shortest paths from s to every vertex (or goal (v)) that run through v, ends excluded.
+
+    From the last level back, a level needs the shares of the next one only: one table per level, each written once.
+    """
+    levels = path_levels(arcs, starts, removed)
+    if goals is not None:
+        goals = hint_small(settle(goals.select("v", F.lit(1.0).alias("goal"))))
+    own = lambda level: level.withColumn("goal", F.lit(1.0)) if goals is None else level.join(goals, "v", "left").na.fill(0.0, ["goal"])
+    deltas, below = [], None
+    for depth in range(len(levels) - 1, 0, -1):
+        here = own(levels[depth])
+        here = here.withColumn("delta", F.lit(0.0)) if below is None else here.join(below, ["scenario", "s", "v"], "left").na.fill(0.0, ["delta"])
+        unit = here.select("scenario", "s", F.col("v").alias("dst"), ((F.col("goal") + F.col("delta")) / F.col("sigma")).alias("unit"))
+        up = unit.filter("unit > 0").join(arcs, "dst").groupBy("scenario", "s", F.col("src").alias("v")).agg(F.sum("unit").alias("unit"))
+        # Only predecessors one level up lie on a shortest path.
+        up = levels[depth - 1].join(up, ["scenario", "s", "v"])
+        below = settle(up.select("scenario", "s", "v", (F.col("sigma") * F.col("unit")).alias("delta")))
+        if depth > 1:
+            deltas.append(below)
+    if not deltas:
+        return starts.select("scenario", F.col("v").alias("s"), "v", F.lit(0.0).alias("delta")).limit(0)
+    return reduce(DataFrame.unionByName, deltas)
+
+
 def betweenness(
     graph: Graph, scenarios: DataFrame | None = None, removed: DataFrame | None = None,
-    restricted: bool = False, pivots: DataFrame | None = None, source_blocks: int = 1,
+    restricted: bool = False, source_blocks: int | None = None,
 ) -> DataFrame:
     """(scenario, v, score): shortest hop paths through v, ends excluded; zeros kept for present vertices.
 
-    ``restricted`` counts only paths from sources to targets. The all-pairs form has a row per (start, vertex) reached;
-    ``source_blocks`` runs the starts in that many passes to bound the state, ``pivots`` (v) gives an estimate
-    from those starts only (scaled by the caller).
+    ``restricted`` counts only paths from sources to targets. There is a row per (start, vertex) reached; the starts run in
+    as many passes as keep that below ``STATE_ROWS``, or in ``source_blocks`` passes.
     """
     scenarios = intact_scenario(graph) if scenarios is None else scenarios
     arcs = graph.arcs()
-    starts = graph.sources if restricted else (pivots if pivots is not None else graph.vertices.select("v"))
-    goals = hint_small(settle(graph.targets.select("v", F.lit(1.0).alias("goal")))) if restricted else None
+    starts = graph.sources if restricted else graph.vertices.select("v")
+    if source_blocks is None:
+        source_blocks = max(1, -(-starts.count() * graph.size * scenarios.count() // STATE_ROWS))
     parts = []
     for block in range(source_blocks):
         chosen = starts if source_blocks == 1 else starts.filter(F.pmod(F.xxhash64("v"), F.lit(source_blocks)) == block)
-        parts.append(_dependencies(graph, arcs, graph.spread(chosen.select("v"), scenarios), removed, goals))
+        part = dependencies(arcs, graph.spread(chosen.select("v"), scenarios), removed, graph.targets if restricted else None)
+        part = part.groupBy("scenario", "v").agg(F.sum("delta").alias("score"))
+        parts.append(part if source_blocks == 1 else settle(part))
     total = reduce(DataFrame.unionByName, parts).groupBy("scenario", "v").agg(F.sum("score").alias("score"))
     present = live_seeds(graph.spread(graph.vertices.select("v"), scenarios), removed)
     return present.join(total, ["scenario", "v"], "left").select("scenario", "v", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _dependencies(graph, arcs, starts, removed, goals):
-    starts = live_seeds(starts, removed)
-    paths = settle(starts.select("scenario", F.col("v").alias("s"), "v", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
-    depth = 0
-    while True:
-        ahead = paths.filter(F.col("dist") == depth).select("scenario", "s", F.col("v").alias("src"), "sigma").join(arcs, "src")
-        ahead = live_seeds(ahead.select("scenario", "s", F.col("dst").alias("v"), "sigma"), removed)
-        ahead = ahead.withColumn("dist", F.lit(depth + 1))
-        nearest = paths.unionByName(ahead).groupBy("scenario", "s", "v", "dist").agg(F.sum("sigma").alias("sigma"))
-        # The lowest level per (start, vertex) wins; its path count is exact because a level is summed as a whole.
-        paths = settle(
-            nearest.groupBy("scenario", "s", "v").agg(F.min(F.struct("dist", "sigma")).alias("best")).select("scenario", "s", "v", "best.*")
-        )
-        depth += 1
-        if paths.filter(F.col("dist") == depth).isEmpty():
+def betweenness_estimate(graph: Graph, error: float, confidence: float = 0.95, seed: int = 0, first: int = 64) -> DataFrame:
+    """(v, score, bound, starts): betweenness from drawn starts; with ``confidence`` no vertex is off by more than its bound.
+
+    ``error`` is a share of the (n - 1)(n - 2) ordered pairs a vertex can lie between. Starts come in md5 order in parts of doubling
+    size until the empirical Bernstein bound of every vertex, shared among vertices and rounds, is at most ``error``; once all
+    vertices have started the scores are exact and the bound is 0. ``first`` is the expected size of the first part.
+    """
+    n, arcs = graph.size, graph.arcs()
+    vertices = graph.vertices.select("v").withColumn("u", unit_uniform(random_key(seed, "v")))
+    rounds = max(1, math.ceil(math.log2(max(2.0, n / first))) + 1)
+    log = math.log(3 * max(1, n) * rounds / (1 - confidence))
+    sums, done, used, part = [], 0.0, 0, first / max(1, n)
+    while done < 1.0:
+        upto = 1.0 if part >= 1.0 or len(sums) + 1 >= rounds else part
+        chosen = settle(vertices.filter((F.col("u") >= done) & ((F.col("u") < upto) | F.lit(upto == 1.0))).select("v"))
+        used, done, part = used + chosen.count(), upto, upto * 2
+        share = F.col("delta") / F.lit(float(max(1, n - 2)))
+        got = dependencies(arcs, graph.spread(chosen, intact_scenario(graph)))
+        sums.append(settle(got.groupBy("v").agg(F.sum(share).alias("a"), F.sum(share * share).alias("b"))))
+        if used == 0:
+            continue
+        total = reduce(DataFrame.unionByName, sums).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        table = graph.vertices.select("v").join(total, "v", "left").na.fill(0.0, ["a", "b"])
+        variance = F.greatest(F.lit(0.0), F.col("b") / used - F.pow(F.col("a") / used, 2))
+        bound = F.lit(0.0) if done == 1.0 else F.sqrt(2 * variance * log / used) + 3 * log / used
+        table = table.select("v", (F.col("a") / used).alias("mean"), bound.alias("bound"))
+        if done == 1.0 or table.filter(F.col("bound") > error).isEmpty():
             break
-    base = paths.join(goals, "v", "left").na.fill(0.0, ["goal"]) if goals is not None else paths.withColumn("goal", F.lit(1.0))
-    state = settle(base.withColumn("delta", F.lit(0.0)))
-    for level in range(depth - 1, 0, -1):
-        # Each vertex at this level hands its share to its predecessors one level up.
-        low = state.filter(F.col("dist") == level).select(
-            "scenario", "s", F.col("v").alias("dst"), ((F.col("goal") + F.col("delta")) / F.col("sigma")).alias("unit")
-        ).filter("unit > 0")
-        up = low.join(arcs, "dst").select("scenario", "s", F.col("src").alias("v"), "unit")
-        up = up.groupBy("scenario", "s", "v").agg(F.sum("unit").alias("unit"))
-        state = store(
-            state.join(up, ["scenario", "s", "v"], "left").withColumn(
-                "delta",
-                F.when((F.col("dist") == level - 1) & F.col("unit").isNotNull(), F.col("sigma") * F.col("unit")).otherwise(F.col("delta")),
-            ).drop("unit")
-        )
-    return state.filter("v <> s and delta > 0").groupBy("scenario", "v").agg(F.sum("delta").alias("score"))
+    # The mean over starts is a mean of sums over ends: times n starts and n - 2 inner places of each.
+    scale = F.lit(float(n * max(1, n - 2)))
+    return settle(table.select("v", (F.col("mean") * scale).alias("score"), (F.col("bound") * scale).alias("bound"), F.lit(used).cast("long").alias("starts")))
 
 
 def coreness(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraygraph.operators import dominators, flow, reach
+from fraygraph.operators import central, dominators, flow, reach
 from fraygraph.operators.curves import upper_p
-from fraygraph.operators.graph_build import Graph
-from fraygraph.operators.ranking import number_within, permuted
+from fraygraph.operators.graph_build import Graph, degrees, top_partners
+from fraygraph.operators.ranking import competition_rank, number_within, permuted
 from fraygraph.session import hint_small, replicate, settle
 
 
@@ -243,13 +243,53 @@ def additivity_counts(table: DataFrame) -> DataFrame:
 
 
 def detour_detail(graph: Graph, removals: DataFrame) -> DataFrame:
-    """(scenario, pairs, pairs_lost, pairs_longer) per removal scenario, from distances before and after."""
+    """(scenario, pairs, pairs_lost, pairs_longer) per removal scenario, from distances before and after.
+
+    A pair is lost when no distance is left, so lost pairs are counted, not listed: all pairs less those still joined.
+    Pairs of a removed terminal are lost; without any pair all counts are 0.
+    """
     scenarios = settle(removals.select("scenario").distinct())
     targets = hint_small(settle(graph.targets))
-    before = reach.distances(graph, reach.intact_scenario(graph)).join(targets, "v").select("s", "v", F.col("dist").alias("near"))
+    before = settle(reach.distances(graph, reach.intact_scenario(graph)).join(targets, "v").select("s", "v", F.col("dist").alias("near")))
     after = reach.distances(graph, scenarios, removals).join(targets, "v").select("scenario", "s", "v", F.col("dist").alias("far"))
-    both = replicate(settle(before), scenarios).join(after, ["scenario", "s", "v"], "left")
-    return both.groupBy("scenario").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("far").isNull()).alias("pairs_lost"),
-        F.count_if(F.col("far") > F.col("near")).alias("pairs_longer"),
+    still = after.join(hint_small(before), ["s", "v"]).groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("joined"), F.count_if(F.col("far") > F.col("near")).alias("pairs_longer")
+    )
+    pairs = F.lit(before.count()).cast("long")
+    table = scenarios.join(still, "scenario", "left").na.fill(0, ["joined", "pairs_longer"])
+    return table.select("scenario", pairs.alias("pairs"), (pairs - F.col("joined")).alias("pairs_lost"), "pairs_longer")
+
+
+def knockout_detail(graph: Graph, candidates: DataFrame, strongest: int = 5, layered: bool | None = None, restricted: DataFrame | None = None) -> DataFrame:
+    """What hangs on each of a few vertices (v), one row per candidate in the graph, repeated ones once.
+
+    (v, in_degree, out_degree, degree, sm_betweenness, sm_betweenness_rank, reachable_pairs, share_of_shortest_routes, pairs_lost,
+    pairs_longer, intact_flow, flow_after, strongest_inputs, strongest_outputs). The share is the part of all shortest
+    source-target routes that run through v (restricted betweenness over reachable pairs, each pair counted once; 0 without pairs); the rank is
+    among all vertices, equal scores share the better rank. Partners are arrays of (partner, class, weight), heaviest first.
+    ``restricted`` is a table (v, sm_betweenness) that is at hand already.
+    """
+    chosen = settle(candidates.select("v").distinct().join(graph.vertices.select("v"), "v", "left_semi"))
+    if restricted is None:
+        restricted = central.betweenness(graph, restricted=True).select("v", F.col("score").alias("sm_betweenness"))
+    ranked = competition_rank(restricted.select("v", "sm_betweenness"), "sm_betweenness").withColumnRenamed("rank", "sm_betweenness_rank")
+    scenarios = settle(each_vertex(chosen))
+    detours = detour_detail(graph, scenarios).withColumnRenamed("scenario", "v").withColumnRenamed("pairs", "reachable_pairs")
+    drops = flow_drops(graph, scenarios, layered).select(F.col("scenario").alias("v"), (F.col("flow") + F.col("flow_drop")).alias("intact_flow"), F.col("flow").alias("flow_after"))
+    table = degrees(graph.edges, graph.vertices).select("v", "in_degree", "out_degree", "degree").join(hint_small(chosen), "v")
+    table = table.join(ranked.select("v", "sm_betweenness", "sm_betweenness_rank"), "v").join(detours, "v").join(drops, "v")
+    share = F.when(F.col("reachable_pairs") > 0, F.col("sm_betweenness") / F.col("reachable_pairs")).otherwise(0.0)
+    table = table.withColumn("share_of_shortest_routes", share)
+    attributes = graph.vertices if "class" in graph.vertices.columns else graph.vertices.select("v", F.lit(None).cast("string").alias("class"))
+    for name, side, end in (("strongest_inputs", "in", "dst"), ("strongest_outputs", "out", "src")):
+        near = graph.edges.join(hint_small(chosen.withColumnRenamed("v", end)), end, "left_semi")
+        best = top_partners(near, attributes, side, strongest)  # at most ``strongest`` rows a vertex
+        lists = best.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("rank", "partner", "class", "weight"))).alias("p"))
+        shown = F.transform("p", lambda x: F.struct(x["partner"].alias("partner"), x["class"].alias("class"), x["weight"].alias("weight")))
+        lists = lists.select("v", shown.alias(name))
+        nothing = F.from_json(F.lit("[]"), lists.schema[name].dataType)
+        table = table.join(lists, "v", "left").withColumn(name, F.coalesce(name, nothing))
+    return table.select(
+        "v", "in_degree", "out_degree", "degree", "sm_betweenness", "sm_betweenness_rank", "reachable_pairs", "share_of_shortest_routes",
+        "pairs_lost", "pairs_longer", "intact_flow", "flow_after", "strongest_inputs", "strongest_outputs",
     )

@@ -26,7 +26,7 @@ MERGE_STEPS, MERGE_SHARE = 8, 0.5
 SCALAR = {F.bit_or: lambda a, b: a.bitwiseOR(b), F.min: F.least, F.max: F.greatest}
 
 
-def _dealt(rows: DataFrame, on: list[str]) -> tuple[DataFrame, int]:
+def dealt(rows: DataFrame, on: list[str]) -> tuple[DataFrame, int]:
     """``rows`` stored, and held dealt by ``on``: joins by these keys read it where it lies. A lost part is read anew.
 
     It is counted at once, as the planner knows how a held table is dealt only when it is there.
@@ -62,7 +62,7 @@ def propagate(
         return rows.groupBy(*on).agg(combine("val").alias("val"))
 
     fresh = settle(seeds.groupBy(*on).agg(combine("val").alias("val")))
-    (state, size), deltas, changed = _dealt(fresh, on), [], 0
+    (state, size), deltas, changed = dealt(fresh, on), [], 0
     rows = size
     while rows:
         sent = fresh.withColumnRenamed("v", "src").join(arcs, "src")
@@ -78,7 +78,7 @@ def propagate(
         changed += rows
         if len(deltas) == MERGE_STEPS or changed > MERGE_SHARE * size:
             before = state
-            (state, size), deltas, changed = _dealt(merged(state, *deltas), on), [], 0
+            (state, size), deltas, changed = dealt(merged(state, *deltas), on), [], 0
             before.unpersist()
     result = settle(merged(state, *deltas) if deltas else state.select(*names))
     state.unpersist()

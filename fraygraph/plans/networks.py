@@ -184,6 +184,15 @@ def _(spark, sf):
     return central.betweenness(G.switch(spark, sf, SPARSE), source_blocks=2).select("v", F.round("score", 7).alias("score"))
 
 
+@query("ct4_betweenness_estimate", f"{SWITCH}, {betweenness_sql('bt', False, 16)} SELECT v, round(score, 7) AS score, true AS within FROM bt")
+def _(spark, sf):
+    """Exact scores, and whether the estimate from drawn starts keeps its bound at every vertex."""
+    graph = G.switch(spark, sf)
+    drawn = central.betweenness_estimate(graph, 0.2, seed=7, first=16).select("v", F.col("score").alias("drawn"), "bound")
+    within = (F.abs(F.col("score") - F.col("drawn")) <= F.col("bound") + 1e-6).alias("within")
+    return central.betweenness(graph).join(drawn, "v").select("v", F.round("score", 7).alias("score"), within)
+
+
 @query("ct5_restricted_betweenness", f"{SWITCH}, {betweenness_sql('sm', True)} SELECT v, round(score, 7) AS score FROM sm")
 def _(spark, sf):
     return central.betweenness(G.switch(spark, sf), restricted=True).select("v", F.round("score", 7).alias("score"))
@@ -352,6 +361,30 @@ def _(spark, sf):
     return K.detour_detail(graph, class_removals(graph))
 
 
+PARTNER_LIST = """SELECT {end} AS v, string_agg(concat({other}, '/', class), ',' ORDER BY rank) AS p FROM
+(SELECT {end}, {other}, row_number() OVER (PARTITION BY {end} ORDER BY weight DESC, {other}) AS rank FROM edges) JOIN vertices ON v = {other} WHERE rank <= 5 GROUP BY 1"""
+
+
+@query("ko5_knockout_detail", f"""{TRADE}, gone AS (SELECT v AS scenario, v FROM vertices), {GONE_FLOW.format(gone='gone')}, {TRADE_PAIRS},
+routes AS (SELECT s, m, count(*) AS c FROM via GROUP BY ALL), middles AS (SELECT i AS v, sum(1.0::DOUBLE / c) AS b FROM via JOIN routes USING (s, m) GROUP BY i),
+ins AS (SELECT dst AS v, count(*) AS k FROM edges GROUP BY 1), outs AS (SELECT src AS v, count(*) AS k FROM edges GROUP BY 1),
+scored AS (SELECT v, round(coalesce(b, 0.0), 7) AS b FROM vertices LEFT JOIN middles USING (v)), pairs AS (SELECT count(*) AS n FROM whole_pairs)
+SELECT v, coalesce(ins.k, 0) AS in_degree, coalesce(outs.k, 0) AS out_degree, coalesce(ins.k, 0) + coalesce(outs.k, 0) AS degree, b AS sm_betweenness, rank() OVER (ORDER BY b DESC) AS sm_betweenness_rank,
+n AS reachable_pairs, round(b / n, 9) AS share_of_shortest_routes, coalesce(pairs_lost, 0) AS pairs_lost, 0::BIGINT AS pairs_longer, intact AS intact_flow, flow AS flow_after,
+coalesce(i.p, '') AS strongest_inputs, coalesce(o.p, '') AS strongest_outputs
+FROM scored JOIN gone_flow ON scenario = v CROSS JOIN whole CROSS JOIN pairs LEFT JOIN lost USING (v) LEFT JOIN ins USING (v) LEFT JOIN outs USING (v)
+LEFT JOIN ({PARTNER_LIST.format(end='dst', other='src')}) i USING (v) LEFT JOIN ({PARTNER_LIST.format(end='src', other='dst')}) o USING (v)""")
+def _(spark, sf):
+    """Every vertex of the trade graph; all routes there have two steps, so none gets longer (ko5_detours has a cyclic graph)."""
+    graph = G.trade(spark, sf)
+    middle = settle(central.betweenness(graph, restricted=True).select("v", F.round("score", 7).alias("sm_betweenness")))
+    table = K.knockout_detail(graph, graph.vertices, restricted=middle)
+    shown = lambda name: F.array_join(F.transform(name, lambda x: F.concat_ws("/", x["partner"], x["class"])), ",").alias(name)
+    return table.withColumns({"share_of_shortest_routes": F.round("share_of_shortest_routes", 9)}).select(
+        *[c for c in table.columns if not c.startswith("strongest")], shown("strongest_inputs"), shown("strongest_outputs")
+    )
+
+
 LOSS_CTE = f"""{SWITCH3}, base(s, v) AS (SELECT v, v FROM sources UNION SELECT b.s, e.dst FROM base b JOIN edges e ON b.v = e.src),
 relation AS MATERIALIZED (SELECT s, v AS m FROM base JOIN targets USING (v)),
 cut(x, s, v) AS (SELECT x.v, s.v, s.v FROM vertices x CROSS JOIN sources s WHERE x.v <> s.v UNION SELECT c.x, c.s, e.dst FROM cut c JOIN edges e ON c.v = e.src WHERE e.dst <> c.x),
