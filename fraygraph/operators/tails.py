@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraygraph.functions.special import normal_tail
 from fraygraph.operators.ranking import random_key, unit_uniform
-from fraygraph.session import hint_small, settle
+from fraygraph.session import hint_small, settle, store
 
 ZETA_TERMS = 10
 
@@ -107,21 +106,117 @@ def bootstrap(hist: DataFrame, fits: DataFrame, by: list[str], sims: int, seed:
     return refits.groupBy(*by).agg(F.count(F.lit(1)).alias("sims"), F.avg((F.col("ks") >= F.col("observed")).cast("double")).alias("p_value"))
 
 
-def _truncated_sum(alpha: float, rate: float, start: int) -> float:
-    """sum over k >= start of k^-alpha exp(-rate (k - start)): direct terms, then the integral in log steps."""
-    k = np.arange(start, start + 2000, dtype=float)
-    total = float(np.sum(np.exp(-alpha * np.log(k) - rate * (k - start))))
-    edge = start + 2000 - 0.5
-    far = max(edge * 1.001, min(start + 60.0 / max(rate, 1e-12), edge * 1e9))
-    t = np.linspace(math.log(edge), math.log(far), 2001)
-    x = np.exp(t)
-    y = np.exp(-alpha * t - rate * (x - start)) * x
-    return total + float(np.trapezoid(y, t))
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
 
-@F.pandas_udf(T.DoubleType())
-def _log_truncated_sum(alpha: pd.Series, rate: pd.Series, start: pd.Series) -> pd.Series:
-    return pd.Series([math.log(_truncated_sum(a, r, int(s))) for a, r, s in zip(alpha, rate, start)], dtype="float64")
+# A fit is done when its gradient per observation is below this; steps without getting there are an error.
+GRADIENT, MOST_STEPS = 1e-7, 60
+DIRECT_TERMS, FARTHEST = 2000, 600.0
+
+
+def _truncated_nodes(alpha: float, rate: float, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points x >= start and weights w whose sum is that of x^-alpha exp(-rate (x - start)) over whole numbers: direct terms, then
+    the integral from half a step below the next one, by Gauss panels of at most one unit of log x."""
+    near = np.arange(start, start + DIRECT_TERMS, dtype=float)
+    edge = start + DIRECT_TERMS - 0.5
+    far = min(FARTHEST, 45.0 / max(alpha - 1, 1e-3), math.log1p(60.0 / max(rate * edge, 1e-300)))
+    panels = max(1, math.ceil(far))
+    x, w = np.polynomial.legendre.leggauss(16)
+    at = ((np.arange(panels)[:, None] + (x[None, :] + 1) / 2) * (far / panels)).ravel()
+    beyond = edge * np.exp(at)
+    steps = np.tile(w / 2 * far / panels, panels) * beyond
+    points = np.concatenate([near, beyond])
+    return points, np.concatenate([np.ones(near.size), steps]) * np.exp(-alpha * np.log(points) - rate * (points - start))
+
+
+def truncated_fit(mean_log: float, mean_excess: float, start: int, alpha: float) -> tuple[float, float, float]:
+    """(alpha, rate, log normalizer) of the likeliest power law with an exponential cut-off, alpha >= 1 and rate >= 0.
+
+    The likelihood knows the data by the means of ln x and x - start only, and is concave; Newton steps keep to the bounds and are halved
+    until they gain. At the end no parameter has a gradient above ``GRADIENT`` (in units of the mean excess for the rate), but for one
+    that lies at its bound, or nears a rate of 0, and would leave it.
+    """
+    point = np.array([max(alpha, 1.001), 0.1 / max(mean_excess, 1e-9)])
+    means = np.array([mean_log, mean_excess])
+
+    def at(p):
+        x, w = _truncated_nodes(p[0], p[1], start)
+        z = w.sum()
+        f = np.stack([np.log(x), x - start])
+        expected = f @ w / z
+        centred = f - expected[:, None]
+        return -(p @ means) - math.log(z), expected - means, (centred * w) @ centred.T / z
+
+    value, slope, spread = at(point)
+    scale = np.array([1.0, max(mean_excess, 1.0)])  # the excess has the size of the values
+    for _ in range(MOST_STEPS):
+        free = np.array([point[0] > 1.0 or slope[0] > 0, True])
+        left = np.abs(slope) / scale
+        if slope[1] <= 0:  # a rate on its way to 0
+            left[1] = min(left[1], -slope[1] * point[1])
+        if np.all(left[free] < GRADIENT):
+            return float(point[0]), float(point[1]), -value - float(point @ means)
+        step = np.zeros(2)
+        step[free] = np.linalg.lstsq(spread[np.ix_(free, free)], slope[free], rcond=None)[0]
+        share = 1.0
+        while share > 1e-12:
+            trial = np.maximum(point + share * step, [1.0, point[1] / 10])  # a rate of 0 is neared, not reached
+            got = at(trial)
+            if got[0] >= value - 1e-13 * abs(value):
+                break
+            share /= 2
+        else:
+            raise RuntimeError(f"no step from {point} gains; gradient {slope}")
+        point, (value, slope, spread) = trial, got
+    raise RuntimeError(f"no maximum after {MOST_STEPS} steps; gradient {slope}")
+
+
+@F.pandas_udf(_doubles("alpha", "rate", "norm"))
+def _truncated(mean_log: pd.Series, mean_excess: pd.Series, start: pd.Series, alpha: pd.Series) -> pd.DataFrame:
+    rows = [truncated_fit(float(m), float(e), int(s), float(a)) for m, e, s, a in zip(mean_log, mean_excess, start, alpha)]
+    return pd.DataFrame(rows, columns=["alpha", "rate", "norm"], dtype="float64")
+
+
+def lognormal_sums(b: float, k: float, start: float) -> tuple[float, ...]:
+    """log of the integral of exp(b l - k l^2 / 2) over t >= start with l = ln(t / start), the means of l and -l^2 / 2 there, and their
+    variances and covariance; Gauss panels over where the integrand is above exp(-45) of its top."""
+    beta = b + 1
+    if k > 0 and beta > 0:
+        low, high = max(0.0, beta / k - math.sqrt(90 / k)), beta / k + math.sqrt(90 / k)
+    else:
+        low, high = 0.0, 90 / (math.sqrt(beta * beta + 90 * k) - beta)
+    x, w = np.polynomial.legendre.leggauss(16)
+    width = (high - low) / 64
+    l = (low + (np.arange(64)[:, None] + (x[None, :] + 1) / 2) * width).ravel()
+    e = beta * l - k * l * l / 2
+    mass = np.exp(e - e.max()) * np.tile(w / 2 * width, 64)
+    z = mass.sum()
+    f = np.stack([l, -l * l / 2])
+    m = f @ mass / z
+    c = ((f - m[:, None]) * mass) @ (f - m[:, None]).T / z
+    return (math.log(z) + e.max() + math.log(start), m[0], m[1], c[0, 0], c[0, 1], c[1, 1])
+
+
+def lognormal_step(b: float, k: float, g1: float, g2: float, a11: float, a12: float, a22: float, damping: float) -> tuple[float, float]:
+    """The next point: top of the damped quadratic within k >= 0; on that bound b stays below -1."""
+    a11, a22 = a11 * (1 + damping) + 1e-15, a22 * (1 + damping) + 1e-15
+    det = a11 * a22 - a12 * a12
+    db, dk = ((a22 * g1 - a12 * g2) / det, (a11 * g2 - a12 * g1) / det) if det > 0 else (g1 / a11, g2 / a22)
+    if k + dk <= 0:
+        db, dk = (g1 + a12 * k) / a11, -k
+        return min(b + db, (b - 1.0) / 2 if b < -1 else -1.001), 0.0
+    return b + db, k + dk
+
+
+@F.pandas_udf(_doubles("norm", "m1", "m2", "c11", "c12", "c22"))
+def _lognormal_sums(b: pd.Series, k: pd.Series, start: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([lognormal_sums(*map(float, r)) for r in zip(b, k, start)], columns=["norm", "m1", "m2", "c11", "c12", "c22"], dtype="float64")
+
+
+@F.pandas_udf(_doubles("b", "k"))
+def _lognormal_step(b: pd.Series, k: pd.Series, g1: pd.Series, g2: pd.Series, a11: pd.Series, a12: pd.Series, a22: pd.Series, damping: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([lognormal_step(*map(float, r)) for r in zip(b, k, g1, g2, a11, a12, a22, damping)], columns=["b", "k"], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -129,82 +224,92 @@ def _chi1_tail(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2))).astype("float64")
 
 
-def _log_lognormal(x: Column, mu: Column, sigma: Column) -> Column:
-    """log of the lognormal mass on [x - 1/2, x + 1/2] (Simpson, four panels, scaled by the density at x)."""
-    log_density = lambda t: -F.ln(t) - F.ln(sigma) - F.lit(0.5 * math.log(2 * math.pi)) - (F.ln(t) - mu) * (F.ln(t) - mu) / (2 * sigma * sigma)
-    middle = log_density(x)
-    total = F.lit(0.0)
+def _lognormal_mass(value: Column, b: Column, k: Column, start: Column) -> tuple[Column, list[Column]]:
+    """log of the integral of exp(b l - k l^2 / 2), l = ln(t / start), over [value - 1/2, value + 1/2] (Simpson, four panels), and the
+    means over it of l, -l^2 / 2 and of their squares and product."""
+    weigh = lambda l: b * l - k * l * l / 2
+    centre = weigh(F.ln(value / start))
+    total, sums = F.lit(0.0), [F.lit(0.0)] * 5
     for step, weight in zip((-0.5, -0.25, 0.0, 0.25, 0.5), (1, 4, 2, 4, 1)):
-        total = total + F.lit(weight / 12) * F.exp(log_density(x + F.lit(step)) - middle)
-    return middle + F.ln(total)
+        l = F.ln((value + F.lit(step)) / start)
+        q = -l * l / 2
+        w = F.lit(weight / 12) * F.exp(weigh(l) - centre)
+        total, sums = total + w, [s + w * p for s, p in zip(sums, (l, q, l * l, l * q, q * q))]
+    return centre + F.ln(total), [s / total for s in sums]
+
+
+def _lognormal_at(tail: DataFrame, by: list[str], points: DataFrame) -> DataFrame:
+    """(by, xmin, b, k, norm, like, g1, g2, a11, a12, a22): mean log-likelihood at one point (by, xmin, b, k) per data set, its
+    gradient and its negative second derivatives; one aggregation of the histogram."""
+    log_mass, m = _lognormal_mass(F.col("value"), F.col("b"), F.col("k"), F.col("xmin") - 0.5)
+    rows = tail.join(hint_small(points), by).select(*by, "xmin", "b", "k", "n", log_mass.alias("_l"), *[c.alias(f"_m{i}") for i, c in enumerate(m)])
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    x, y = F.col("_m0"), F.col("_m1")
+    sums = rows.groupBy(*by, "xmin", "b", "k").agg(
+        mean(F.col("_l")).alias("l"), mean(x).alias("x"), mean(y).alias("y"),
+        mean(F.col("_m2") - x * x).alias("v11"), mean(F.col("_m3") - x * y).alias("v12"), mean(F.col("_m4") - y * y).alias("v22"),
+    ).withColumn("z", _lognormal_sums("b", "k", F.col("xmin") - 0.5))
+    return sums.select(
+        *by, "xmin", "b", "k", "z.norm", (F.col("l") - F.col("z.norm")).alias("like"), (F.col("x") - F.col("z.m1")).alias("g1"), (F.col("y") - F.col("z.m2")).alias("g2"),
+        (F.col("z.c11") - F.col("v11")).alias("a11"), (F.col("z.c12") - F.col("v12")).alias("a12"), (F.col("z.c22") - F.col("v22")).alias("a22"),
+    )
 
 
-def _search(tail: DataFrame, by: list[str], start: DataFrame, log_mass, log_norm, floor: float, rounds: int = 6, side: int = 7) -> DataFrame:
-    """Two-parameter maximum likelihood by a grid that is re-centred and narrowed each round.
+def lognormal_fit(tail: DataFrame, by: list[str], start: DataFrame) -> DataFrame:
+    """(by, b, k, norm, gradient): the likeliest lognormal tail of (by, value, n), from one point (by, xmin, b, k) per data set.
 
-    ``start`` is (by, xmin, c1, w1, c2, w2). A round explodes the histogram rows over the grid and sums at once.
+    Its density is exp(b l - k l^2 / 2 - norm) with l = ln(t / (xmin - 1/2)): k is 1 / variance of the logs, and k = 0 the power law with
+    exponent -b, the bound that power laws run into. Damped Newton steps of all data sets at once, an aggregation a step: one that
+    gains is taken and the damping lowered, another one is dropped and the damping raised. It ends when no gradient per
+    observation is above ``GRADIENT``, but for k at its bound when it would leave it; not getting there is an error.
     """
-    centre = start
-    offsets = [2 * i / (side - 1) - 1 for i in range(side)]
-    grid = F.array(*[F.struct(F.lit(a).alias("o1"), F.lit(b).alias("o2")) for a in offsets for b in offsets])
-    for _ in range(rounds):
-        points = centre.withColumn("_o", F.explode(grid)).select(
-            *by, "xmin", "w1", "w2", (F.col("c1") + F.col("w1") * F.col("_o.o1")).alias("p1"),
-            F.greatest(F.lit(floor), F.col("c2") + F.col("w2") * F.col("_o.o2")).alias("p2"),
-        )
-        likelihood = tail.join(points, by).groupBy(*by, "xmin", "w1", "w2", "p1", "p2").agg(
-            F.sum(F.col("n") * log_mass(F.col("value"), F.col("p1"), F.col("p2"), F.col("xmin"))).alias("_l"), F.sum("n").alias("_n")
-        )
-        scored = likelihood.withColumn("_l", F.col("_l") - F.col("_n") * log_norm(F.col("p1"), F.col("p2"), F.col("xmin")))
-        best = scored.groupBy(*by).agg(F.max(F.struct("_l", "xmin", "p1", "p2", "w1", "w2")).alias("b")).select(*by, "b.*")
-        centre = settle(best.select(*by, "xmin", F.col("p1").alias("c1"), (F.col("w1") * 0.45).alias("w1"), F.col("p2").alias("c2"), (F.col("w2") * 0.45).alias("w2")))
-    return centre.select(*by, F.col("c1").alias("p1"), F.col("c2").alias("p2"))
-
-
-def likelihood_ratios(hist: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:
-    """(by, alternative, ratio, p_value): normalized log-likelihood ratio of the power law over three alternatives.
+    names = ["b", "k", "norm", "like", "g1", "g2", "a11", "a12", "a22"]
+    best = store(_lognormal_at(tail, by, start).withColumn("damping", F.lit(1e-4)))
+    size = F.greatest(F.abs("g1"), F.when((F.col("k") <= 0) & (F.col("g2") <= 0), 0.0).otherwise(F.abs("g2")))
+    for _ in range(MOST_STEPS):
+        if best.filter(~(size < GRADIENT)).isEmpty():
+            return best.select(*by, "b", "k", "norm", size.alias("gradient"))
+        trial = best.withColumn("t", _lognormal_step("b", "k", "g1", "g2", "a11", "a12", "a22", "damping")).select(*by, "xmin", "t.b", "t.k")
+        got = _lognormal_at(tail, by, settle(trial)).select(*by, F.struct(*names).alias("_new"))
+        gains = F.col("_new.like") >= F.col("like") - 1e-13 * F.abs("like")
+        taken = [F.when(gains, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in names]
+        best = store(best.join(got, by).select(*by, "xmin", *taken, F.when(gains, F.col("damping") / 10).otherwise(F.greatest(F.lit(1e-6), F.col("damping")) * 10).alias("damping")))
+    worst = best.select(F.max(size)).first()[0]
+    raise RuntimeError(f"no maximum after {MOST_STEPS} steps; largest gradient {worst}")
+
+
+ALTERNATIVES = ("exponential", "lognormal", "truncated_power_law")
+
+
+def likelihood_ratios(hist: DataFrame, fits: DataFrame, by: list[str], alternatives: tuple[str, ...] = ALTERNATIVES) -> DataFrame:
+    """(by, alternative, ratio, p_value): normalized log-likelihood ratio of the power law over the alternatives.
 
     Positive favours the power law. The truncated power law contains it, so its p is the chi-square tail of twice the raw
-    ratio; the others use the normal tail of the normalized ratio.
+    ratio; the others use the normal tail of the normalized ratio. The exponential has a closed form, the truncated power law is fitted
+    from two means of a data set, the lognormal by Newton steps over the histogram; all to a gradient of ``GRADIENT``.
     """
     params = settle(fits.select(*by, "xmin", "alpha", "n_tail"))
     tail = settle(hist.join(hint_small(params), by).filter("value >= xmin").select(*by, "value", "n", "xmin", "alpha"))
-    moments = settle(tail.groupBy(*by, "xmin", "alpha").agg(
-        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
-        (F.sum(F.col("n") * F.ln("value")) / F.sum("n")).alias("mlog"),
-        F.sqrt(F.greatest(F.lit(1e-4), F.sum(F.col("n") * F.ln("value") * F.ln("value")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.ln("value")) / F.sum("n"), 2))).alias("slog"),
-    ))
-    bare = tail.select(*by, "value", "n")
-    log_start = moments.select(*by, "xmin", (F.col("mlog") - 2 * F.col("slog")).alias("c1"), (F.col("slog") * 4).alias("w1"), (F.col("slog") * 2).alias("c2"), (F.col("slog") * 1.9).alias("w2"))
-    lognormal = _search(
-        bare, by, log_start, lambda x, m, s, q: _log_lognormal(x, m, s),
-        lambda m, s, q: F.ln(F.greatest(F.lit(1e-300), normal_tail((F.ln(q - 0.5) - m) / s))), 1e-3,
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    moments = tail.groupBy(*by, "xmin", "alpha").agg(
+        mean(F.col("value")).alias("mean"), mean(F.ln("value")).alias("mlog")
     )
-    cut_start = moments.select(*by, "xmin", F.col("alpha").alias("c1"), (F.col("alpha") * 0.9).alias("w1"), (0.5 / F.col("mean")).alias("c2"), (0.5 / F.col("mean")).alias("w2"))
-    truncated = _search(
-        bare, by, cut_start, lambda x, a, r, q: -a * F.ln(x) - r * (x - q), lambda a, r, q: _log_truncated_sum(a, r, q), 1e-9,
-    )
-    rows = tail.join(hint_small(moments.drop("xmin", "alpha")), by)
-    rows = rows.join(lognormal.select(*by, F.col("p1").alias("mu"), F.col("p2").alias("sd")), by)
-    rows = rows.join(truncated.select(*by, F.col("p1").alias("cut_alpha"), F.col("p2").alias("cut_rate")), by)
-    norms = rows.select(*by, "xmin", "mu", "sd", "cut_alpha", "cut_rate").distinct().select(
-        *by, F.ln(F.greatest(F.lit(1e-300), normal_tail((F.ln(F.col("xmin") - 0.5) - F.col("mu")) / F.col("sd")))).alias("log_norm"),
-        _log_truncated_sum("cut_alpha", "cut_rate", "xmin").alias("cut_norm"),
-    )
-    rows = rows.join(norms, by)
+    models = moments.withColumn("rate", F.ln(1 + 1 / F.greatest(F.lit(1e-9), F.col("mean") - F.col("xmin"))))
+    log_mass = {"exponential": F.ln(1 - F.exp(-F.col("rate"))) - F.col("rate") * (F.col("value") - F.col("xmin"))}
+    if "truncated_power_law" in alternatives:
+        models = models.withColumn("cut", _truncated("mlog", F.col("mean") - F.col("xmin"), "xmin", "alpha"))
+        log_mass["truncated_power_law"] = -F.col("cut.alpha") * F.ln("value") - F.col("cut.rate") * (F.col("value") - F.col("xmin")) - F.col("cut.norm")
+    models = settle(models)
+    if "lognormal" in alternatives:
+        start = settle(models.select(*by, "xmin", (-F.col("alpha")).alias("b"), F.lit(0.0).alias("k")))
+        models = settle(models.join(lognormal_fit(tail.select(*by, "value", "n"), by, start), by))
+        log_mass["lognormal"] = _lognormal_mass(F.col("value"), F.col("b"), F.col("k"), F.col("xmin") - 0.5)[0] - F.col("norm")
+    rows = tail.join(hint_small(models.drop("xmin", "alpha")), by)
     power = -F.col("alpha") * F.ln("value") - F.ln(hurwitz_zeta(F.col("alpha"), F.col("xmin")))
-    rate = F.ln(1 + 1 / F.greatest(F.lit(1e-9), F.col("mean") - F.col("xmin")))
-    alternatives = F.array(
-        F.struct(F.lit("exponential").alias("alternative"), (F.ln(1 - F.exp(-rate)) - rate * (F.col("value") - F.col("xmin"))).alias("l")),
-        F.struct(F.lit("lognormal").alias("alternative"), (_log_lognormal(F.col("value"), F.col("mu"), F.col("sd")) - F.col("log_norm")).alias("l")),
-        F.struct(
-            F.lit("truncated_power_law").alias("alternative"),
-            (-F.col("cut_alpha") * F.ln("value") - F.col("cut_rate") * (F.col("value") - F.col("xmin")) - F.col("cut_norm")).alias("l"),
-        ),
-    )
-    gaps = rows.withColumn("a", F.explode(alternatives)).select(*by, "n", F.col("a.alternative").alias("alternative"), (power - F.col("a.l")).alias("d"))
+    chosen = F.array(*[F.struct(F.lit(a).alias("alternative"), log_mass[a].alias("l")) for a in alternatives])
+    gaps = rows.withColumn("_a", F.explode(chosen)).select(*by, "n", F.col("_a.alternative").alias("alternative"), (power - F.col("_a.l")).alias("_gap"))
     sums = gaps.groupBy(*by, "alternative").agg(
-        F.sum("n").alias("k"), F.sum(F.col("n") * F.col("d")).alias("raw"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("square")
+        F.sum("n").alias("k"), F.sum(F.col("n") * F.col("_gap")).alias("raw"), F.sum(F.col("n") * F.col("_gap") * F.col("_gap")).alias("square")
     )
     variance = F.greatest(F.lit(1e-300), F.col("square") / F.col("k") - F.pow(F.col("raw") / F.col("k"), 2))
     table = sums.withColumn("ratio", F.col("raw") / F.sqrt(F.col("k") * variance))

@@ -653,6 +653,16 @@ def _(spark, sf):
     return tails.likelihood_ratios(tail_data(spark, sf), tail_fits(spark, sf), ["dataset"])
 
 
+@query("stl_exponential", DEGREES_CTE + """, tail AS (SELECT dataset, value, n, f.xmin AS xmin, f.alpha AS alpha FROM hist JOIN fits USING (dataset) WHERE value >= f.xmin),
+rates AS (SELECT dataset, ln(1 + 1 / greatest(1e-9::DOUBLE, sum(n * value) / sum(n) - any_value(xmin))) AS r FROM tail GROUP BY 1),
+gaps AS (SELECT dataset, n, -alpha * ln(value) - ln(""" + ZETA.format(a="alpha", q="xmin") + """) - (ln(1 - exp(-r)) - r * (value - xmin)) AS d FROM tail JOIN rates USING (dataset))
+SELECT dataset, 'exponential' AS alternative, round(sum(n * d) / sqrt(sum(n) * (sum(n * d * d) / sum(n) - pow(sum(n * d) / sum(n), 2))), 6) AS ratio FROM gaps GROUP BY dataset""")
+def _(spark, sf):
+    """The alternative that has a closed form."""
+    table = tails.likelihood_ratios(tail_data(spark, sf), tail_fits(spark, sf), ["dataset"], ("exponential",))
+    return table.select("dataset", "alternative", F.round("ratio", 6).alias("ratio"))
+
+
 @query("sta_cascade_fit")
 def _(spark, sf):
     """Power-law fit of the pooled cascade sizes of the trade runs (few distinct sizes at small scale)."""
