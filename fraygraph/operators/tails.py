@@ -151,10 +151,9 @@ def truncated_fit(mean_log: float, mean_excess: float, start: int, alpha: float)
     value, slope, spread = at(point)
     scale = np.array([1.0, max(mean_excess, 1.0)])  # the excess has the size of the values
     for _ in range(MOST_STEPS):
-        free = np.array([point[0] > 1.0 or slope[0] > 0, True])
+        # A parameter that lies at its bound, or as good as there, and would leave it stays where it is.
+        free = np.array([point[0] > 1.0 or slope[0] > 0, slope[1] > 0 or -slope[1] * point[1] >= GRADIENT])
         left = np.abs(slope) / scale
-        if slope[1] <= 0:  # a rate on its way to 0
-            left[1] = min(left[1], -slope[1] * point[1])
         if np.all(left[free] < GRADIENT):
             return float(point[0]), float(point[1]), -value - float(point @ means)
         step = np.zeros(2)
@@ -163,7 +162,7 @@ def truncated_fit(mean_log: float, mean_excess: float, start: int, alpha: float)
         while share > 1e-12:
             trial = np.maximum(point + share * step, [1.0, point[1] / 10])  # a rate of 0 is neared, not reached
             got = at(trial)
-            if got[0] >= value - 1e-13 * abs(value):
+            if got[0] >= value - 1e-12 * abs(value):
                 break
             share /= 2
         else:
@@ -287,12 +286,13 @@ def likelihood_ratios(hist: DataFrame, fits: DataFrame, by: list[str], alternati
     Positive favours the power law. The truncated power law contains it, so its p is the chi-square tail of twice the raw
     ratio; the others use the normal tail of the normalized ratio. The exponential has a closed form, the truncated power law is fitted
     from two means of a data set, the lognormal by Newton steps over the histogram; all to a gradient of ``GRADIENT``.
+    A tail of fewer than three distinct values has no likeliest lognormal: ratio and p are null there.
     """
     params = settle(fits.select(*by, "xmin", "alpha", "n_tail"))
     tail = settle(hist.join(hint_small(params), by).filter("value >= xmin").select(*by, "value", "n", "xmin", "alpha"))
     mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
     moments = tail.groupBy(*by, "xmin", "alpha").agg(
-        mean(F.col("value")).alias("mean"), mean(F.ln("value")).alias("mlog")
+        mean(F.col("value")).alias("mean"), mean(F.ln("value")).alias("mlog"), F.count(F.lit(1)).alias("distinct_values")
     )
     models = moments.withColumn("rate", F.ln(1 + 1 / F.greatest(F.lit(1e-9), F.col("mean") - F.col("xmin"))))
     log_mass = {"exponential": F.ln(1 - F.exp(-F.col("rate"))) - F.col("rate") * (F.col("value") - F.col("xmin"))}
@@ -301,8 +301,8 @@ def likelihood_ratios(hist: DataFrame, fits: DataFrame, by: list[str], alternati
         log_mass["truncated_power_law"] = -F.col("cut.alpha") * F.ln("value") - F.col("cut.rate") * (F.col("value") - F.col("xmin")) - F.col("cut.norm")
     models = settle(models)
     if "lognormal" in alternatives:
-        start = settle(models.select(*by, "xmin", (-F.col("alpha")).alias("b"), F.lit(0.0).alias("k")))
-        models = settle(models.join(lognormal_fit(tail.select(*by, "value", "n"), by, start), by))
+        start = settle(models.filter("distinct_values >= 3").select(*by, "xmin", (-F.col("alpha")).alias("b"), F.lit(0.0).alias("k")))
+        models = settle(models.join(lognormal_fit(tail.select(*by, "value", "n"), by, start), by, "left"))
         log_mass["lognormal"] = _lognormal_mass(F.col("value"), F.col("b"), F.col("k"), F.col("xmin") - 0.5)[0] - F.col("norm")
     rows = tail.join(hint_small(models.drop("xmin", "alpha")), by)
     power = -F.col("alpha") * F.ln("value") - F.ln(hurwitz_zeta(F.col("alpha"), F.col("xmin")))
