@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fraygraph.functions.scalars import ratio
 from fraygraph.functions.special import log10_normal_tail, normal_tail, t_tail_two_sided
 from fraygraph.operators.ranking import average_rank, join_ranks, mid_rank_percentile, value_ranks
 
@@ -51,7 +52,7 @@ def signed_rank(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def welch(df: DataFrame, by: list[str], group: str, first: str, second: str, value: str) -> DataFrame:
-    """(by, t, df, p_value) of two groups named in column ``group``; two-sided, unequal variances."""
+    """(by, t, df, p_value) of two groups named in column ``group``; two-sided, unequal variances; NaN without any variance between equal means."""
     def of(name, function):
         return function(F.when(F.col(group) == name, F.col(value)))
 
@@ -60,17 +61,22 @@ def welch(df: DataFrame, by: list[str], group: str, first: str, second: str, val
         of(second, F.avg).alias("m2"), of(second, F.var_samp).alias("v2"), of(second, F.count).alias("n2"),
     )
     a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
-    t = (F.col("m1") - F.col("m2")) / F.sqrt(a + b)
-    freedom = (a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))
+    t = ratio(F.col("m1") - F.col("m2"), F.sqrt(a + b))
+    freedom = ratio((a + b) * (a + b), a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))
     return stats.select(*by, t.alias("t"), freedom.alias("df")).withColumn("p_value", t_tail_two_sided("t", "df"))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """(by, rho, p_value): correlation of average ranks over the rows that have both values, p by the t approximation."""
+    """(by, rho, p_value): correlation of average ranks over the rows that have both values, p by the t approximation.
+
+    Where one of the two is the same in all rows there is no correlation: NaN, without a p. One row alone has null.
+    """
     df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     for column in (x, y):
         ranks = value_ranks(df.select(*by, column), by, column).select(*by, column, average_rank().alias(f"_r_{column}"))
         df = join_ranks(df, ranks, by, column)
-    stats = df.groupBy(*by).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count(F.lit(1)).alias("_n"))
+    spread = F.sqrt(F.var_pop(f"_r_{x}") * F.var_pop(f"_r_{y}"))
+    rho = F.when(F.count(F.lit(1)) > 1, ratio(F.covar_pop(f"_r_{x}", f"_r_{y}"), spread))
+    stats = df.groupBy(*by).agg(rho.alias("rho"), F.count(F.lit(1)).alias("_n"))
     t = F.abs("rho") * F.sqrt((F.col("_n") - 2) / F.greatest(F.lit(1e-300), 1 - F.col("rho") * F.col("rho")))
     return stats.withColumn("p_value", t_tail_two_sided(t, F.col("_n") - 2)).drop("_n")
