@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fraygraph.functions.scalars import ratio
 from fraygraph.operators import central, dominators, flow, reach
 from fraygraph.operators.curves import upper_p
 from fraygraph.operators.graph_build import Graph, degrees, top_partners
@@ -189,7 +190,10 @@ def same_size_draws(vertices: DataFrame, sizes: DataFrame | list[int], draws: in
 
 
 def group_impact(graph: Graph, groups: DataFrame, draws: int, seed: int, layered: bool | None = None) -> DataFrame:
-    """Removal of whole groups (group, v) against same-size random sets; draws are shared by groups of equal size."""
+    """Removal of whole groups (group, v) against same-size random sets; draws are shared by groups of equal size.
+
+    Without any intact flow no share of it can be lost: shares are NaN and all tie.
+    """
     members = settle(groups.join(graph.vertices.select("v"), "v", "left_semi").select("group", "v"))
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).cast("int").alias("size"))
     random = same_size_draws(graph.vertices, sizes, draws, seed, graph.size)
@@ -198,7 +202,7 @@ def group_impact(graph: Graph, groups: DataFrame, draws: int, seed: int, layered
         random.select(name("draw", "size", "draw").alias("scenario"), "v")
     )
     intact = intact_flow(graph, layered)
-    drops = settle(flow_drops(graph, scenarios, layered).withColumn("share", F.lit(1.0) - F.col("flow") / F.lit(float(intact))))
+    drops = settle(flow_drops(graph, scenarios, layered).withColumn("share", F.lit(1.0) - ratio(F.col("flow"), F.lit(intact))))
     seen = members.join(hint_small(settle(graph.terminals)), "v", "left").groupBy("group").agg(
         F.count_if(F.col("role") == "S").alias("n_sources"), F.count_if(F.col("role") == "M").alias("n_targets")
     )
