@@ -83,13 +83,14 @@ def bootstrap(hist: DataFrame, fits: DataFrame, by: list[str], sims: int, seed:
     """
     total = fits.select(*by, "xmin", "alpha", "n_tail", F.col("n").alias("total"), F.col("ks").alias("observed"))
     rows = hist.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1000))))
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.col("_chunk") * 1000, F.least(F.col("n") - 1, F.col("_chunk") * 1000 + 999))))
     rows = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).join(hint_small(settle(total)), by)
+    # The histogram is small and the draws are many: simulations are dealt to tasks before a row is made per draw.
+    rows = rows.repartition(int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sim")
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.col("_chunk") * 1000, F.least(F.col("n") - 1, F.col("_chunk") * 1000 + 999))))
     key = lambda tag: unit_uniform(random_key(seed, F.lit(tag), *by, "sim", "value", "_i"))
     rows = rows.withColumn("_u", key("part")).withColumn("_w", key("draw"))
     is_tail = F.col("_u") * F.col("total") < F.col("n_tail")
     drawn = F.floor((F.col("xmin") - 0.5) * F.pow(1 - F.col("_w"), -1 / (F.col("alpha") - 1)) + 0.5)
-    tail = rows.filter(is_tail).select(*by, "sim", drawn.cast("long").alias("value"))
     # Body draws look their position up among the running counts, cut into ranges so that the lookup is an equi-join.
     upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     body = hist.join(total.select(*by, "xmin", "total", "n_tail"), by).filter("value < xmin")
@@ -99,9 +100,12 @@ def bootstrap(hist: DataFrame, fits: DataFrame, by: list[str], sims: int, seed:
     cells = cells.select(*by, "_cell", "_lo", "_hi", F.col("value").alias("_v"))
     size = F.col("total") - F.col("n_tail")
     place = F.least(F.floor(F.col("_w") * size), size - 1)
-    low = rows.filter(~is_tail).withColumn("_at", place).withColumn("_cell", F.floor(F.col("_at") / F.ceil(size / ranges)))
-    low = low.join(cells, [*by, "_cell"]).filter("_at >= _lo and _at < _hi").select(*by, "sim", F.col("_v").alias("value"))
-    samples = settle(tail.unionByName(low).groupBy(*by, "sim", "value").agg(F.count(F.lit(1)).alias("n")))
+    cell = F.floor(place / F.ceil(size / ranges))
+    rows = rows.select(*by, "sim", F.when(is_tail, drawn.cast("long")).alias("_drawn"), F.when(~is_tail, place).alias("_at"), F.when(~is_tail, cell).alias("_cell"))
+    same = [F.col(f"_d.{c}") == F.col(f"_c.{c}") for c in (*by, "_cell")]
+    found = rows.alias("_d").join(hint_small(settle(cells)).alias("_c"), [*same, F.expr("_at >= _lo and _at < _hi")], "left")
+    found = found.select(*[F.col(f"_d.{c}").alias(c) for c in by], "sim", F.coalesce("_drawn", "_v").alias("value"))
+    samples = settle(found.groupBy(*by, "sim", "value").agg(F.count(F.lit(1)).alias("n")))
     refits = fit_power_law(samples, [*by, "sim"]).join(total.select(*by, "observed"), by)
     return refits.groupBy(*by).agg(F.count(F.lit(1)).alias("sims"), F.avg((F.col("ks") >= F.col("observed")).cast("double")).alias("p_value"))
 
