@@ -28,7 +28,7 @@ from fraygraph.session import checkpoint_folder, hint_small
 END_ID = 2
 BLOCK_IDS = 1 << 19
 BLOCK_DOCUMENTS = 4096
-SLICE = 256
+SLICE = 2000
 BLOCKS = "shard int, block int, ids_before long, n_docs int, n_ids long, payload binary"
 
 
