@@ -9,11 +9,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraygraph.operators.ranking import random_key, unit_uniform
+from fraygraph.functions import digests
 from fraygraph.session import hint_small, settle, store
 
 ZETA_TERMS = 10
@@ -75,37 +76,47 @@ def model_ccdf(hist: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:
     return joined.select(*by, "value", (scale * hurwitz_zeta(F.col("alpha"), F.col("value"))).alias("p"))
 
 
-def bootstrap(hist: DataFrame, fits: DataFrame, by: list[str], sims: int, seed: int, ranges: int = 256) -> DataFrame:
+def _redrawn(table: pa.Table, by: list[str], seed: int) -> pa.Table:
+    """(by, sim, value, n) of one simulation of one data set; ``table`` has its histogram, its fit and the ``_rest`` of the keys of its draws."""
+    row = {c: table.column(c)[0].as_py() for c in ("xmin", "alpha", "n_tail", "total")}
+    values, sizes = (table.column(c).to_numpy() for c in ("value", "n"))
+    below = np.flatnonzero(values < row["xmin"])
+    below = below[np.argsort(values[below], kind="stable")]
+    upto, size = np.cumsum(sizes[below]), row["total"] - row["n_tail"]
+    body, near, far = np.zeros(below.size, np.int64), np.zeros(4096, np.int64), []
+    rests = list(zip(table.column("_rest").to_pylist(), sizes.tolist()))
+    parts, draws = (digests.uniforms([(f"{seed}|{tag}|{rest}|".encode(), n) for rest, n in rests]) for tag in ("part", "draw"))
+    for u, w in zip(parts, draws):
+        is_tail = u * row["total"] < row["n_tail"]
+        place = np.minimum(np.floor(w[~is_tail] * size).astype(np.int64), size - 1)
+        body += np.bincount(np.searchsorted(upto, place, side="right"), minlength=below.size)
+        drawn = np.floor((row["xmin"] - 0.5) * np.power(1 - w[is_tail], -1 / (row["alpha"] - 1)) + 0.5)
+        over = np.where(drawn < 2.0**63, drawn, 0.0).astype(np.int64) - row["xmin"]
+        over = np.where(drawn < 2.0**63, over, 2**63 - 1 - row["xmin"])  # what is past a long stops there
+        near += np.bincount(over[over < near.size], minlength=near.size)
+        far.append(over[over >= near.size])
+    beyond, times = np.unique(np.concatenate(far), return_counts=True)
+    values = np.concatenate([values[below], np.arange(near.size) + row["xmin"], beyond + row["xmin"]])
+    sizes = np.concatenate([body, near, times])
+    values, sizes = values[sizes > 0], sizes[sizes > 0]
+    same = table.select([*by, "sim"]).take(pa.array(np.zeros(values.size, np.int64)))
+    return same.append_column("value", pa.array(values, pa.int64())).append_column("n", pa.array(sizes, pa.int64()))
+
+
+def bootstrap(hist: DataFrame, fits: DataFrame, by: list[str], sims: int, seed: int) -> DataFrame:
     """(by, sims, p_value): share of synthetic data sets, refitted from scratch, that lie at least as far from their fit.
 
     Every observation is redrawn in every simulation: above xmin from the fitted law with probability n_tail / n, else
-    from the observed values below xmin. Draws are md5 uniforms, so any partitioning gives the same samples.
+    from the observed values below xmin. Draws are md5 uniforms, so any partitioning gives the same samples. A task makes the
+    draws of one simulation by blocks and keeps how often each value came.
     """
     total = fits.select(*by, "xmin", "alpha", "n_tail", F.col("n").alias("total"), F.col("ks").alias("observed"))
-    rows = hist.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1000))))
-    rows = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).join(hint_small(settle(total)), by)
-    # The histogram is small and the draws are many: simulations are dealt to tasks before a row is made per draw.
+    rows = hist.filter("n > 0").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).join(hint_small(settle(total)), by)
+    # The histogram is small and the draws are many: simulations are dealt to tasks before anything is drawn.
     rows = rows.repartition(int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sim")
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.col("_chunk") * 1000, F.least(F.col("n") - 1, F.col("_chunk") * 1000 + 999))))
-    key = lambda tag: unit_uniform(random_key(seed, F.lit(tag), *by, "sim", "value", "_i"))
-    rows = rows.withColumn("_u", key("part")).withColumn("_w", key("draw"))
-    is_tail = F.col("_u") * F.col("total") < F.col("n_tail")
-    drawn = F.floor((F.col("xmin") - 0.5) * F.pow(1 - F.col("_w"), -1 / (F.col("alpha") - 1)) + 0.5)
-    # Body draws look their position up among the running counts, cut into ranges so that the lookup is an equi-join.
-    upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    body = hist.join(total.select(*by, "xmin", "total", "n_tail"), by).filter("value < xmin")
-    body = body.withColumn("_size", F.col("total") - F.col("n_tail")).withColumn("_hi", F.sum("n").over(upto)).withColumn("_lo", F.col("_hi") - F.col("n"))
-    width = F.ceil(F.col("_size") / ranges)
-    cells = body.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))))
-    cells = cells.select(*by, "_cell", "_lo", "_hi", F.col("value").alias("_v"))
-    size = F.col("total") - F.col("n_tail")
-    place = F.least(F.floor(F.col("_w") * size), size - 1)
-    cell = F.floor(place / F.ceil(size / ranges))
-    rows = rows.select(*by, "sim", F.when(is_tail, drawn.cast("long")).alias("_drawn"), F.when(~is_tail, place).alias("_at"), F.when(~is_tail, cell).alias("_cell"))
-    same = [F.col(f"_d.{c}") == F.col(f"_c.{c}") for c in (*by, "_cell")]
-    found = rows.alias("_d").join(hint_small(settle(cells)).alias("_c"), [*same, F.expr("_at >= _lo and _at < _hi")], "left")
-    found = found.select(*[F.col(f"_d.{c}").alias(c) for c in by], "sim", F.coalesce("_drawn", "_v").alias("value"))
-    samples = settle(found.groupBy(*by, "sim", "value").agg(F.count(F.lit(1)).alias("n")))
+    rows = rows.withColumn("_rest", F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, "sim", "value")]))
+    kinds = T.StructType([*[hist.schema[c] for c in by], T.StructField("sim", T.IntegerType()), T.StructField("value", T.LongType()), T.StructField("n", T.LongType())])
+    samples = settle(rows.groupBy("sim", *by).applyInArrow(lambda table: _redrawn(table, by, seed), kinds))
     refits = fit_power_law(samples, [*by, "sim"]).join(total.select(*by, "observed"), by)
     return refits.groupBy(*by).agg(F.count(F.lit(1)).alias("sims"), F.avg((F.col("ks") >= F.col("observed")).cast("double")).alias("p_value"))
 
